@@ -126,7 +126,7 @@ def _packed(entries: np.ndarray, parts: int):
     order = np.argsort(part, kind="stable")
     entries, part = entries[order], part[order]
     first = _group_starts(part)
-    stop = np.append(first[1:], len(part))
+    stop = np.append(first[1:], len(part))[: len(first)]
     return part[first].tolist(), [entries[a:b].tobytes() for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
 
 
@@ -206,14 +206,14 @@ def _cross_owner(percent: int):
         e = np.frombuffer(b"".join(blobs), ENTRY)
         e = e[np.lexsort((e["doc"], e["comp"], e["h"]))]
         first = _group_starts(e["h"])
-        stop = np.append(first[1:], len(e))
+        stop = np.append(first[1:], len(e))[: len(first)]
         mixed = np.flatnonzero(e["comp"][first] != e["comp"][stop - 1])
         found: list[np.ndarray] = []
         held = 0
         for a, b in zip(first[mixed].tolist(), stop[mixed].tolist(), strict=True):
             g = e[a:b]
             comps, begin = np.unique(g["comp"], return_index=True)
-            ends = np.append(begin[1:], len(g))
+            ends = np.append(begin[1:], len(g))[: len(begin)]
             large = int(np.argmax(ends - begin))
             rest = [k for k in range(len(comps)) if k != large]
             for k in rest:  # each entry beside the largest component with all of other components; those of the rest once

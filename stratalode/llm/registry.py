@@ -9,6 +9,7 @@ MODULES = {
     "op1_token_counts": "token_counts",
     "op3_bpe_codec": "bpe_codec",
     "op5_packing": "packing",
+    "op6_substring_dedup": "substring_dedup",
     "op9_ngram_jaccard_join": "jaccard_join",
     "op10_exact_dedup": "exact_dedup",
 }
