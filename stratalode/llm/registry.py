@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_token_counts": "token_counts",
     "op3_bpe_codec": "bpe_codec",
+    "op4_quality_crf": "quality_crf",
     "op5_packing": "packing",
     "op6_substring_dedup": "substring_dedup",
     "op9_ngram_jaccard_join": "jaccard_join",
