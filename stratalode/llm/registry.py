@@ -11,6 +11,7 @@ MODULES = {
     "op4_quality_crf": "quality_crf",
     "op5_packing": "packing",
     "op6_substring_dedup": "substring_dedup",
+    "op7_pii_sanitisation": "pii",
     "op9_ngram_jaccard_join": "jaccard_join",
     "op10_exact_dedup": "exact_dedup",
 }
