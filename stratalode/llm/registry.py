@@ -7,6 +7,7 @@ from importlib import import_module
 #: query -> module of this package that holds it
 MODULES = {
     "op1_token_counts": "token_counts",
+    "op2_embedding_dedup": "embedding_dedup",
     "op3_bpe_codec": "bpe_codec",
     "op4_quality_crf": "quality_crf",
     "op5_packing": "packing",
