@@ -13,6 +13,7 @@ MODULES = {
     "op5_packing": "packing",
     "op6_substring_dedup": "substring_dedup",
     "op7_pii_sanitisation": "pii",
+    "op8_quotation_linking": "quote_links",
     "op9_ngram_jaccard_join": "jaccard_join",
     "op10_exact_dedup": "exact_dedup",
 }
