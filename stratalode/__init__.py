@@ -1,0 +1 @@
+"""A Spark-native catalogue of the constants found in software artifacts."""
