@@ -12,6 +12,7 @@ from ..functions import classify
 from ..functions import text as T
 from ..operators import diff, jobs, lookup, search, store, units
 from ..operators import versions as V
+from ..sources import class_file, extract, interpreter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,6 +135,80 @@ def _(cat):
     return store.delete_project(cat.descriptors, P).select("id", "project")
 
 
+# Extraction: files that are made here, and the rows that they must give.
+
+#: A class with a static final field and a method that calls, stores, prints and adds.
+CLASS_BYTES = (
+    "cafebabe0000003d002801000853454c4543542031080001010003702f5107000301000372756e010015284c6a6176612f6c616e672f537472696e673b29560c000500060a00040007"
+    "0100046b657074080009010009702f4772656574657207000b0100046e616d650100124c6a6176612f6c616e672f537472696e673b0c000d000e09000c000f0100106a6176612f6c61"
+    "6e672f53797374656d0700110100036f75740100154c6a6176612f696f2f5072696e7453747265616d3b0c00130014090012001501000568656c6c6f0800170100136a6176612f696f"
+    "2f5072696e7453747265616d0700190100077072696e746c6e0c001b00060a001a001c01000f4c696e654e756d6265725461626c65010004436f64650100016d010003282949010003"
+    "6b657908002201000d436f6e7374616e7456616c75650100014b0100106a6176612f6c616e672f4f626a6563740700260001000c00270000000100180025000e000100240000000200"
+    "2300010001002000210001001f0000002f00090008000000171202b800082a120ab50010b200161218b6001d040560ac00000001001e000000060001000000070000"
+)
+YAML = b"server:\n  port: 8080\napp:\n  features: [one, two]\n  url: https://db.example.com/x\n---\nlog-dir: /var/log\n"
+PROPERTIES = b"# comment\ndb.url = jdbc\\\n   :x\ndate.format=yyyy\nname:v\\u0041\n"
+
+
+def _archive() -> bytes:
+    import io
+    import zipfile
+
+    def made(files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in files.items():
+                z.writestr(zipfile.ZipInfo(name), data)
+        return out.getvalue()
+
+    inner = made({"n.properties": b"k=v", "deep.jar": made({"z.properties": b"z=1"})})
+    return made({"p/Greeter.class": bytes.fromhex(CLASS_BYTES), "application.yml": b"a: 1", "BOOT-INF/lib/n.jar": inner, "BOOT-INF/lib/same.jar": inner, "other/x.jar": inner})
+
+
+def _files(spark, **files):
+    rows = [(name, bytearray(data)) for name, data in files.items()]
+    return spark.createDataFrame(rows, "path string, content binary")
+
+
+USAGES = "VALUES ('key','String','STATIC_FIELD_STORE','UNKNOWN',0.0::DOUBLE,0),('SELECT 1','String','METHOD_INVOCATION_PARAMETER','UNKNOWN',0.0,7),('kept','String','FIELD_STORE','UNKNOWN',0.0,7),('hello','String','METHOD_INVOCATION_PARAMETER','LOG_MESSAGE',0.85,7),('1','Integer','ARITHMETIC_OPERAND','UNKNOWN',0.0,7),('2','Integer','ARITHMETIC_OPERAND','UNKNOWN',0.0,7)"
+
+
+@query("S01_E01_E16_H01_H28_class_usages", f"SELECT * FROM ({USAGES}) t(value, value_type, structural_type, semantic_type, confidence, line_number)")
+def _(spark, sf_dir):
+    rows = extract.extract(_files(spark, **{"Greeter.class": bytes.fromhex(CLASS_BYTES)}))
+    return rows.select("value", "value_type", "structural_type", "semantic_type", "confidence", "line_number")
+
+
+@query("S02_S05_archive_entries", "SELECT * FROM (VALUES ('a.jar',0,'/p/Greeter.class'),('a.jar',0,'/application.yml'),('a.jar',0,'/other/x.jar'),('a.jar!/BOOT-INF/lib/n.jar',1,'/n.properties'),('a.jar!/BOOT-INF/lib/n.jar',1,'/deep.jar')) t(container, depth, path)")
+def _(spark, sf_dir):
+    return extract.archive_entries(_files(spark, **{"a.jar": _archive()})).select("container", "depth", "path")
+
+
+@query("S05_A13_fat_archive", "SELECT * FROM (VALUES ('a.jar',6),('a.jar!/BOOT-INF/lib/n.jar',1)) t(container, n)")
+def _(spark, sf_dir):
+    rows = extract.extract(_files(spark, **{"a.jar": _archive()})).where("source_kind <> 'YAML'")
+    return rows.groupBy(F.regexp_replace("path", "![^!]*$", "").alias("container")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("S08_S10_C22_yaml", "SELECT * FROM (VALUES ('server.port','8080','Integer','CONFIGURATION_VALUE','doc#0'),('app.features[0]','one','String','CONFIGURATION_VALUE','doc#0'),('app.features[1]','two','String','CONFIGURATION_VALUE','doc#0'),('app.url','https://db.example.com/x','String','URL_RESOURCE','doc#0'),('log-dir','/var/log','String','FILE_PATH','doc#1')) t(key_path, value, value_type, semantic_type, doc)")
+def _(spark, sf_dir):
+    rows = extract.extract(_files(spark, **{"application.yml": YAML}))
+    return rows.select(F.col("method_name").alias("key_path"), "value", "value_type", "semantic_type", F.col("method_descriptor").alias("doc"))
+
+
+@query("S09_S10_properties", "SELECT * FROM (VALUES ('db.url','jdbc:x','URL_RESOURCE'),('date.format','yyyy','DATE_FORMAT'),('name','vA','CONFIGURATION_VALUE')) t(key_path, value, semantic_type)")
+def _(spark, sf_dir):
+    rows = extract.extract(_files(spark, **{"a.properties": PROPERTIES}))
+    return rows.select(F.col("method_name").alias("key_path"), "value", "semantic_type")
+
+
+@query("C02_C16_names_and_numbers", "SELECT * FROM (VALUES ('(I[JLp/A$B;)V','(int,long[],p.A.B)void'),('i2b 300','44'),('i2c -1','65535'),('d2i 1e20','2147483647')) t(given, got)")
+def _(spark, sf_dir):
+    rows = [("(I[JLp/A$B;)V", class_file.java_descriptor("(I[JLp/A$B;)V"))]
+    rows += [(f"{name} {v if not isinstance(v, float) else '1e20'}", str(interpreter.narrowed(v, letter))) for name, v, letter in (("i2b", 300, "B"), ("i2c", -1, "C"), ("d2i", 1e20, "I"))]
+    return spark.createDataFrame(rows, "given string, got string")
+
+
 # Listings and filters.
 
 
