@@ -9,10 +9,9 @@ reveal an entity is estimated from the corpus: for a term t and an entity e,
 
 with counts over the lines of all documents. It is 1 when a term is met only
 beside the entity, so that whoever reads it knows the entity, and 0 when the
-two are independent. In documents that hold the entity, a term whose
+two are independent. What isn't said in ``least`` unlike contexts is no evidence. In documents that hold the entity, a term whose
 disclosure reaches ``generalise_at`` is replaced by its class, one that reaches
-``remove_at`` is removed. Pairs seen in fewer than ``least`` different contexts
-say nothing and are left alone; equal contexts (copies of a line) count once.
+``remove_at`` is removed. Copies of a line are one context.
 
 Patterns are written with possessive repetitions and look-behind, which find
 the same matches without backtracking, so a long run of digits or letters costs
@@ -23,7 +22,7 @@ it isn't. Sums are combined before each shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -39,6 +38,7 @@ TERM = "term"
 _IP = rf"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]|[0-9]))(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]|[0-9])){{3}}$"
 WORD = r"\p{L}[\p{L}\p{N}_'-]{3,}+"
 BROADCAST_ROWS = 200_000
+MATCH = "array<struct<place:int,kind:string,i:int,value:string,gap:int>>"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -65,36 +65,41 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _checked(kind: str):
-    return lambda s: _valid(kind, s["value"])
+def located(texts: DataFrame, kinds: dict[str, tuple[str | None, str]]) -> DataFrame:
+    """(doc_id, place, kind, start, end, value): all matches of the kinds' patterns in texts (doc_id, text), in code points.
 
+    The gaps between matches and the matches alternate, so a match ends after
+    all gaps and matches up to it: a running sum along the document's matches,
+    which costs time in proportion to them. place: the kind's number.
+    """
+    text = F.col("text")
+    parts = []
+    for place, (kind, (hint, pattern)) in enumerate(kinds.items()):
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), _numbered(place, kind))
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        both = F.zip_with(found, gaps, lambda m, g: m.withField("gap", g))  # one gap more than matches
+        parts.append(F.when(text.rlike(hint), both).otherwise(F.array().cast(MATCH)) if hint else both)
+    rows = texts.select("doc_id", F.explode(F.concat(*parts)).alias("m")).select("doc_id", "m.*").where("value is not null")
+    along = Window.partitionBy("doc_id", "place").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(along).cast("int"))
+    return rows.select("doc_id", "place", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value")
 
-def located(text: Column, pattern: str, kind: Column | str) -> Column:
-    """All matches of a Java pattern as (kind, start, end, value), in code points.
 
-    The gaps between matches and the matches alternate, so a match starts
-    after all gaps and matches before it.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(found, F.length)
-    label = F.lit(kind) if isinstance(kind, str) else kind
+def _numbered(place: int, kind: str):
+    return lambda m, i: F.struct(F.lit(place).alias("place"), F.lit(kind).alias("kind"), i.alias("i"), m.alias("value"), F.lit(0).alias("gap"))
 
-    def place(value, i):
-        before = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-        start = before(F.slice(gaps, F.lit(1), i + 1)) + before(F.slice(sizes, F.lit(1), i))
-        return F.struct(label.alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
 
-    return F.transform(found, place)
+def base_spans(texts: DataFrame) -> DataFrame:
+    """(doc_id, spans) of the documents in which the base detectors find something, by kind, then start."""
+    valid = F.lit(False)
+    for kind in KINDS:
+        valid = F.when(F.col("kind") == kind, _valid(kind, F.col("value"))).otherwise(valid)
+    return _gathered(located(texts, KINDS).where(valid), "spans")
 
 
-def base_spans(text: Column) -> Column:
-    """The base detectors' spans of a text, by kind, then start."""
-    parts = []
-    for kind, (hint, pattern) in KINDS.items():
-        spans = F.filter(located(text, pattern, kind), _checked(kind))
-        parts.append(F.when(text.rlike(hint), spans).otherwise(F.array().cast(SPAN)))
-    return F.concat(*parts)
+def _gathered(rows: DataFrame, as_: str) -> DataFrame:
+    got = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "start", "end", "kind", "value"))).alias("s"))
+    return got.select("doc_id", F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))).alias(as_))
 
 
 def listed(spans: Column) -> Column:
@@ -121,15 +126,14 @@ def disclosing_terms(texts: DataFrame, found: DataFrame, scratch: Scratch, *, le
     right = F.substring_index(F.expr(f"substring(text, s.end + 1, {reach})"), "\n", 1)
     contexts = held.select(F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.concat_ws(" ", left, right).alias("context"))
     contexts = scratch.write(contexts.groupBy("entity", "context").agg(F.count(F.lit(1)).alias("times")), "contexts")
-    often = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= least)
-    joint = contexts.join(often, "entity").select("entity", "n_e", F.explode(_words(F.col("context"))).alias("term"))
-    joint = joint.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= least)
+    often = contexts.groupBy("entity").agg(F.sum("times").alias("n_e"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") >= least)
+    joint = contexts.join(often, "entity").select("entity", "n_e", "times", F.explode(_words(F.col("context"))).alias("term"))
+    joint = joint.groupBy("entity", "n_e", "term").agg(F.sum("times").alias("n_te"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") >= least)
     joint = scratch.write(joint, "joint")
     terms = joint.select("term").distinct()
     lines = texts.select(F.explode(F.split(F.col("text"), "\n")).alias("line"))
     total = texts.agg(F.sum(F.size(F.split(F.col("text"), "\n"))).alias("n")).first()["n"] or 1
-    met = lines.select(F.xxhash64("line").alias("line"), F.explode(_words(F.col("line"))).alias("term")).join(_few(terms), "term", "left_semi")
-    met = met.groupBy("term", "line").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    met = lines.select(F.explode(_words(F.col("line"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(_few(terms), "term", "left_semi")
     ic = F.log(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log(F.col("n_te") * F.lit(float(total)) / (F.greatest("n_t", "n_te") * F.col("n_e")))
     scored = joint.join(met, "term").select("entity", "term", F.when(ic > 0, F.least(pmi / ic, F.lit(1.0))).otherwise(0.0).alias("disclosure"))
@@ -153,14 +157,14 @@ def find_pii(
     spark: SparkSession = docs.sparkSession
     scratch = scratch or Scratch(spark, "pii")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = scratch.write(texts.select("doc_id", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0), "found")
+    found = scratch.write(base_spans(texts), "found")
     terms = disclosing_terms(texts, found, scratch, least=least, generalise_at=generalise_at)
     entities = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.concat_ws(":", "s.kind", "s.value").alias("entity"))
     by_doc = entities.join(_few(terms), "entity").groupBy("doc_id", "term").agg(F.max("disclosure").alias("disclosure"))
     by_doc = scratch.write(by_doc.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told")), "told")
-    words = located(F.col("text"), WORD, TERM)
-    of = texts.join(_few(by_doc), "doc_id").select("doc_id", "told", F.filter(words, lambda w: F.map_contains_key("told", F.lower(w["value"]))).alias("words"))
-    of = scratch.write(of, "words")
+    words = located(texts.join(_few(by_doc.select("doc_id")), "doc_id", "left_semi"), {TERM: (None, WORD)})
+    words = words.join(by_doc, "doc_id").where(F.map_contains_key("told", F.lower("value")))
+    of = scratch.write(_gathered(words, "words").join(by_doc, "doc_id"), "words")
     inside = lambda w: F.exists("spans", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))
     joined = found.join(of, "doc_id", "left")
     kept = F.filter(F.coalesce("words", F.array().cast(SPAN)), lambda w: ~inside(w))
