@@ -12,11 +12,13 @@ prefixes go, cut by hash range, to owner tasks that pair documents:
 1. star pairs: each document of a shingle with the shingle's smallest one. A
    map task first does this among its own documents and passes on one document
    per shingle, so a shingle of a third of all documents is one entry a task;
-2. all pairs whose ends the first links left in different components and that
-   the lengths and the places in the order don't rule out.
+2. probes: of documents that are in other components after 1, one pair for each
+   shared shingle and component;
+3. all pairs whose ends are still in different components and that the lengths
+   and the places in the order don't rule out.
 
-Links found in 1 make 2 small: copies of one text are one class from the start
-and near copies are one component after the first step, so neither is ever
+Links found in 1 and 2 make 3 small: copies of one text are one class from the
+start and near copies are one component after the first steps, so neither is
 expanded into all pairs; yet no pair that could join two components is left out.
 """
 
@@ -66,7 +68,7 @@ def _batches(batches, columns: int = 1):
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         texts = [t or "" for t in batch.column(columns).to_pylist()]
-        for first, part in bpe.chunks(texts):
+        for first, part in bpe.chunks(texts, 700_000):
             yield ids[first : first + len(part)], part
 
 
@@ -91,7 +93,7 @@ def frequent_shingles(docs: DataFrame, size: int, least: int, most: int) -> tupl
             h, _ = shingle_sets(texts, size)
             held.append(h)
             n += len(h)
-            if n > 4_000_000:
+            if n > 2_000_000:
                 yield flush()
                 n = 0
         yield flush()
@@ -104,51 +106,84 @@ def frequent_shingles(docs: DataFrame, size: int, least: int, most: int) -> tupl
 
 
 ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("comp", "<i8")])
+STAR = ["h", "doc", "pos"]
 
 
 def _group_starts(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
 
 
+NEAR = np.uint64(1)
+
+
 def _stars(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first entry of each shingle, pairs of its document with the others): one row per pair."""
-    entries = entries[np.lexsort((entries["doc"], entries["h"]))]
-    first = _group_starts(entries["h"])
-    lead = np.repeat(entries["doc"][first], np.diff(np.append(first, len(entries))))
-    differ = entries["doc"] != lead
-    pairs = np.unique(np.stack([lead[differ], entries["doc"][differ]], 1), axis=0)
-    return entries[first], pairs
+    """(entries that stand for each shingle, rows (leader, document, shingles they share here)).
 
+    The lowest bit of ``h`` tells whether the shingle is near the front of the
+    document's order. Of two sets that link, the first shared shingle is near
+    the front of the smaller one, so a shingle without such a document pairs
+    nothing. The leader is the document with the fewest rarer shingles before
+    it: of near copies, the one that was changed least.
+    """
+    key = entries["h"] | NEAR
+    far = (entries["h"] & NEAR) == 0
+    order = np.lexsort((entries["doc"], entries["pos"], far, key))
+    entries, key, far = entries[order], key[order], far[order]
+    first = _group_starts(key)
+    size = np.diff(np.append(first, len(entries)))
+    lead = np.repeat(entries["doc"][first], size)
+    use = (entries["doc"] != lead) & ~np.repeat(far[first], size)
+    pairs, shared = np.unique(np.stack([lead[use], entries["doc"][use]], 1), axis=0, return_counts=True)
+    # Without a near one, the first entry stands for all until one is met elsewhere: all must go on.
+    on = ~np.repeat(~far[first], size)
+    on[first] = True
+    return entries[on], np.concatenate([pairs, shared[:, None]], 1).astype(np.int64)
+
+
+def _blob(entries: np.ndarray, fields: list[str]) -> bytes:
+    """The fields one after another; ids as differences, which compress."""
+    return b"".join(np.diff(entries[f], prepend=entries[f].dtype.type(0)).tobytes() if f in ("doc", "comp") else entries[f].tobytes() for f in fields)
+
+
+def _read(blobs: list[bytes], fields: list[str]) -> np.ndarray:
+    width = sum(ENTRY[f].itemsize for f in fields)
+    out = np.zeros(sum(map(len, blobs)) // width, ENTRY)
+    row = 0
+    for blob in blobs:
+        n, at = len(blob) // width, 0
+        for f in fields:
+            part = np.frombuffer(blob, ENTRY[f], n, at)
+            out[f][row : row + n] = np.cumsum(part) if f in ("doc", "comp") else part
+            at += n * ENTRY[f].itemsize
+        row += n
+    return out
 
-def _packed(entries: np.ndarray, parts: int):
-    """Rows (part, blob) of the entries by hash range."""
+
+def _packed(entries: np.ndarray, parts: int, fields: list[str]):
+    """(parts, blobs) of the entries by hash range; each blob by document."""
     part = (entries["h"] >> np.uint64(40)).astype(np.int64) % parts
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort((entries["doc"], part))
     entries, part = entries[order], part[order]
     first = _group_starts(part)
     stop = np.append(first[1:], len(part))[: len(first)]
-    return part[first].tolist(), [entries[a:b].tobytes() for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
+    return part[first].tolist(), [_blob(entries[a:b], fields) for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
 
 
-OWNED = "part int, blob binary, a long, b long"
+OWNED = "part int, blob binary, pairs binary"
 
 
-def _rows(parts, blobs, pairs):
-    k, p = len(parts), len(pairs)
+def _rows(parts: list[int], blobs: list[bytes], pairs: list[bytes]):
+    k = len(parts)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([*parts, *[None] * p], pa.int32()),
-            pa.array([*blobs, *[None] * p], pa.binary()),
-            pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(pairs[:, 0], pa.int64())]),
-            pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(pairs[:, 1], pa.int64())]),
+            pa.array([*parts, *range(len(pairs))], pa.int32()),
+            pa.array([*blobs, *[None] * len(pairs)], pa.binary()),
+            pa.array([*[None] * k, *pairs], pa.binary()),
         ],
-        names=["part", "blob", "a", "b"],
+        names=["part", "blob", "pairs"],
     )
 
 
-NO_PAIRS = np.zeros((0, 2), np.int64)
-
-
 def _entries(batch, with_component: bool) -> np.ndarray:
     """Prefix entries of a batch of (doc_id, n, prefix blob[, component])."""
     n = batch.column("n").to_numpy(zero_copy_only=False)
@@ -163,19 +198,27 @@ def _entries(batch, with_component: bool) -> np.ndarray:
     return out
 
 
-def _star_map(parts: int):
+def _flagged(entries: np.ndarray, percent: int) -> np.ndarray:
+    """Entries whose hashes tell in their lowest bit whether they are near the front: a link needs 2 p / (100 + p) of the smaller set at least."""
+    near = (100 + percent) * entries["pos"].astype(np.int64) <= (100 - percent) * entries["n"].astype(np.int64)
+    entries["h"] = (entries["h"] & ~NEAR) | near.astype(np.uint64)
+    return entries
+
+
+def _star_map(parts: int, percent: int):
     def run(batches):
         held, n = [], 0
 
         def flush():
-            firsts, pairs = _stars(np.concatenate(held)) if held else (np.zeros(0, ENTRY), NO_PAIRS)
+            firsts, pairs = _stars(np.concatenate(held)) if held else (np.zeros(0, ENTRY), np.zeros((0, 3), np.int64))
             held.clear()
-            return _rows(*_packed(firsts, parts), pairs)
+            spread = [pairs[k::parts].astype("<i8").tobytes() for k in range(parts) if k < len(pairs)]
+            return _rows(*_packed(firsts, parts, STAR), spread)
 
         for batch in batches:
-            held.append(_entries(batch, False))
+            held.append(_flagged(_entries(batch, False), percent))
             n += len(held[-1])
-            if n > 2_000_000:
+            if n > 600_000:
                 yield flush()
                 n = 0
         yield flush()
@@ -183,33 +226,48 @@ def _star_map(parts: int):
     return run
 
 
+def _pairs_batch(pairs: np.ndarray):
+    names = ["a", "b", "shared"][: pairs.shape[1]]
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in range(len(names))], names=names)
+
+
 def _star_owner(batches):
-    blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]
+    blobs, near = [], []
+    for batch in batches:
+        blobs += [b for b in batch.column("blob").to_pylist() if b]
+        near += [b for b in batch.column("pairs").to_pylist() if b]
+    pairs = [np.frombuffer(b, "<i8").reshape(-1, 3) for b in near]  # what the map tasks found
     if blobs:
-        _, pairs = _stars(np.frombuffer(b"".join(blobs), ENTRY))
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        pairs.append(_stars(_read(blobs, STAR))[1])
+    if pairs:
+        every = np.concatenate(pairs)
+        keys, which = np.unique(every[:, :2], axis=0, return_inverse=True)
+        yield _pairs_batch(np.concatenate([keys, np.bincount(which.ravel(), weights=every[:, 2]).astype(np.int64)[:, None]], 1))
 
 
 def _cross_map(parts: int):
     def run(batches):
         for batch in batches:
-            yield _rows(*_packed(_entries(batch, True), parts), NO_PAIRS)
+            yield _rows(*_packed(_entries(batch, True), parts, list(ENTRY.names)), [])
 
     return run
 
 
-def _cross_owner(percent: int):
+def _cross_owner(percent: int, probe: bool):
+    """probe: of each other component only the member of the nearest size and place."""
+
     def run(batches):
         blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]
         if not blobs:
             return
-        e = np.frombuffer(b"".join(blobs), ENTRY)
+        e = _read(blobs, list(ENTRY.names))
         e = e[np.lexsort((e["doc"], e["comp"], e["h"]))]
         first = _group_starts(e["h"])
         stop = np.append(first[1:], len(e))[: len(first)]
         mixed = np.flatnonzero(e["comp"][first] != e["comp"][stop - 1])
         found: list[np.ndarray] = []
         held = 0
+        best: dict[tuple[int, int], tuple[int, int]] = {}  # probe: (document, component) -> (gap, other)
         for a, b in zip(first[mixed].tolist(), stop[mixed].tolist(), strict=True):
             g = e[a:b]
             comps, begin = np.unique(g["comp"], return_index=True)
@@ -221,11 +279,20 @@ def _cross_owner(percent: int):
                     other = (g["comp"] != comps[k]) & ((g["comp"] == comps[large]) | (g["comp"] > comps[k]))
                     o = g[other]
                     n, m = int(g["n"][i]), o["n"].astype(np.int64)
+                    # If this is the first shared shingle, no more than the rest of both can be shared.
                     most = 1 + np.minimum(n - 1 - int(g["pos"][i]), m - 1 - o["pos"])
-                    most = np.minimum(most + np.minimum(int(g["pos"][i]), o["pos"]), np.minimum(n, m))
                     able = (100 + percent) * most >= percent * (n + m)
                     if able.any():
-                        d = o["doc"][able]
+                        o = o[able]
+                        if probe:
+                            gap = np.abs(o["n"].astype(np.int64) - n) + np.abs(o["pos"] - int(g["pos"][i]))
+                            first_ = np.lexsort((gap, o["comp"]))
+                            first_ = first_[np.concatenate([[True], o["comp"][first_][1:] != o["comp"][first_][:-1]])]
+                            for c, d, q in zip(o["comp"][first_].tolist(), o["doc"][first_].tolist(), gap[first_].tolist(), strict=True):
+                                at = (int(g["doc"][i]), c)
+                                best[at] = min(best.get(at, (q, d)), (q, d))
+                            continue
+                        d = o["doc"]
                         mine = np.full(len(d), g["doc"][i])
                         found.append(np.stack([np.minimum(mine, d), np.maximum(mine, d)], 1))
                         held += len(d)
@@ -233,26 +300,37 @@ def _cross_owner(percent: int):
                     found = [np.unique(np.concatenate(found), axis=0)]
                     held = 0
                     if len(found[0]) > 500_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(found[0][:, 0]), pa.array(found[0][:, 1])], names=["a", "b"])
+                        yield _pairs_batch(found[0])
                         found = []
+        if best:
+            yield _pairs_batch(np.array(sorted({(min(x, d), max(x, d)) for (x, _), (_, d) in best.items()}), np.int64))
         if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            yield _pairs_batch(np.unique(np.concatenate(found), axis=0))
 
     return run
 
 
-def partial_overlaps(docs: DataFrame, pairs: DataFrame, size: int, fragments: int) -> DataFrame:
-    """(a, b, overlap) of pairs of documents: overlaps counted per fragment of the order, then summed."""
+def _few(ids: DataFrame) -> DataFrame:
+    """Marked for broadcast if there are few (8 bytes each)."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def partial_overlaps(docs: DataFrame, pairs: DataFrame, size: int, fragments: int, which: tuple[int, int]) -> DataFrame:
+    """(a, b, overlap, in_a, in_b) of pairs of documents over fragments which[0] up to which[1].
+
+    Overlaps are counted per fragment of the order, then summed; in_a and in_b
+    are the shingles of the two in these fragments.
+    """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    shift = np.uint64(64 - (fragments - 1).bit_length()) if fragments > 1 else None
+    shift = np.uint64(64 - (fragments - 1).bit_length())
+    low, high = which
 
     def cut(batches):
         for d, texts in _batches(batches):
             h, o = shingle_sets(texts, size)
-            f = (h >> shift).astype(np.int64) if shift is not None else np.zeros(len(h), np.int64)
+            f = (h >> shift).astype(np.int64)
+            here = (f >= low) & (f < high)
+            h, o, f = h[here], o[here], f[here]
             key = o * fragments + f
             first = _group_starts(key)
             offsets = np.append(first, len(h)).astype(np.int32)
@@ -261,10 +339,13 @@ def partial_overlaps(docs: DataFrame, pairs: DataFrame, size: int, fragments: in
                 names=["doc_id", "fragment", "part"],
             )
 
-    segments = docs.join(ids, "doc_id", "left_semi").mapInArrow(cut, "doc_id long, fragment int, part array<long>")
-    left = pairs.join(segments.select(F.col("doc_id").alias("a"), "fragment", F.col("part").alias("x")), "a")
-    both = left.join(segments.select(F.col("doc_id").alias("b"), "fragment", F.col("part").alias("y")), ["b", "fragment"])
-    return both.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("x", "y"))).alias("overlap"))
+    segments = docs.join(_few(ids), "doc_id", "left_semi").mapInArrow(cut, "doc_id long, fragment int, part array<long>")
+    wide = pairs.select("a", "b", F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("fragment"))
+    left = wide.join(segments.select(F.col("doc_id").alias("a"), "fragment", F.col("part").alias("x")), ["a", "fragment"], "left")
+    both = left.join(segments.select(F.col("doc_id").alias("b"), "fragment", F.col("part").alias("y")), ["b", "fragment"], "left")
+    none = F.array().cast("array<long>")
+    x, y = F.coalesce("x", none), F.coalesce("y", none)
+    return both.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect(x, y))).alias("overlap"), F.sum(F.size(x)).alias("in_a"), F.sum(F.size(y)).alias("in_b"))
 
 
 def jaccard_join(
@@ -274,9 +355,9 @@ def jaccard_join(
     *,
     shingle: int = 5,
     percent: int = 80,
-    fragments: int = 8,
-    frequent_from: int = 24,
-    frequent_most: int = 200_000,
+    fragments: int = 4,
+    frequent_from: int = 12,
+    frequent_most: int = 500_000,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row.
@@ -292,10 +373,29 @@ def jaccard_join(
     scratch = scratch or Scratch(spark, "jaccard-join")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 2
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    heavy, heavy_count = frequent_shingles(one, shingle, frequent_from, frequent_most)
+
+    def keys(batches):
+        for d, texts in _batches(batches):
+            h, o = shingle_sets(texts, shingle)
+            n = np.bincount(o, minlength=len(texts)).astype(np.int64)
+            full = np.flatnonzero(n)
+            k1, k2 = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
+            if len(full):
+                first = (np.cumsum(n) - n)[full]
+                k1[full] = np.add.reduceat(h, first)
+                k2[full] = np.add.reduceat(textscan.mix64(h ^ np.uint64(0x5851F42D4C957F2D)), first)
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], names=["doc_id", "n", "k1", "k2"])
+
+    rows = scratch.write(one.mapInArrow(keys, "doc_id long, n long, k1 long, k2 long"), "keys")
+    classes = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("first"))
+    member = rows.join(classes, ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("class"))
+    member = scratch.write(member, "member")
+    scratch.drop("keys")
+    distinct = one.join(_few(member.where("class = doc_id and n > 0").select("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    heavy, heavy_count = frequent_shingles(distinct, shingle, frequent_from, frequent_most)
     given = spark.sparkContext.broadcast((heavy, heavy_count))
 
-    def sets(batches):
+    def prefixes(batches):
         known, often = given.value
         for d, texts in _batches(batches):
             h, o = shingle_sets(texts, shingle)
@@ -305,48 +405,48 @@ def jaccard_join(
                 rank = np.where(known[at] == h, often[at], 0)
             n = np.bincount(o, minlength=len(texts)).astype(np.int64)
             first = np.cumsum(n) - n
-            full = np.flatnonzero(n)
-            k1, k2 = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
-            if len(full):
-                k1[full] = np.add.reduceat(h, first[full])
-                k2[full] = np.add.reduceat(textscan.mix64(h ^ np.uint64(0x5851F42D4C957F2D)), first[full])
-            order = np.lexsort((h, rank, o))
-            ordered = h[order]
+            ordered = h[np.lexsort((h, rank, o))]
             take = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
             blobs = [ordered[s : s + t].tobytes() for s, t in zip(first.tolist(), take.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(d), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(blobs, pa.binary())],
-                names=["doc_id", "n", "k1", "k2", "prefix"],
-            )
-
-    rows = scratch.write(one.mapInArrow(sets, "doc_id long, n long, k1 long, k2 long, prefix binary"), "sets")
-    classes = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("first"))
-    member = rows.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"], "left")
-    member = scratch.write(member.select("doc_id", "n", F.coalesce("first", "doc_id").alias("class")), "member")
-    chosen = scratch.write(rows.select("doc_id", "n", "prefix").join(member.where("class = doc_id and n > 0").select("doc_id"), "doc_id", "left_semi"), "chosen")
-    scratch.drop("sets")
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(n), pa.array(blobs, pa.binary())], names=["doc_id", "n", "prefix"])
 
-    def owned(mapped: DataFrame, owner) -> DataFrame:
-        kept = scratch.write(mapped, "owned")
-        local = kept.where("part is null").select("a", "b")
-        return local.union(kept.where("part is not null").select("part", "blob").repartition(parts, "part").mapInArrow(owner, "a long, b long"))
+    chosen = scratch.write(distinct.mapInArrow(prefixes, "doc_id long, n long, prefix binary"), "chosen")
+    size_of = member.select("doc_id", "n")
 
-    size_of = chosen.select("doc_id", "n")
+    def able(counted: DataFrame, rest) -> DataFrame:
+        """Pairs that link if all shingles that aren't counted yet are shared as far as they can be."""
+        most = F.col("overlap") + rest
+        return counted.where(most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.write(pairs.distinct(), f"{name}-pairs")
-        counted = partial_overlaps(one, pairs, shingle, fragments)
-        counted = counted.join(size_of.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a")
-        counted = counted.join(size_of.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b")
-        good = counted.where(F.col("overlap") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
-        return scratch.write(good.select("a", "b"), f"{name}-links")
-
-    star = links(owned(chosen.mapInArrow(_star_map(parts), OWNED), _star_owner), "star")
-    so_far = components(scratch, star)
-    labelled = chosen.join(so_far.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    cross = owned(labelled.mapInArrow(_cross_map(parts), OWNED), _cross_owner(percent))
-    more = links(cross, "cross")
-    joined = components(scratch, star.union(more))
+        pairs = pairs.distinct().join(size_of.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a")
+        pairs = scratch.write(pairs.join(size_of.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b"), f"{name}-pairs")
+        # One fragment rules out most pairs that don't link; the others are read for the rest.
+        one_fragment = partial_overlaps(one, pairs, shingle, fragments, (0, 1))
+        rest = F.least(F.col("n_a") - F.col("in_a"), F.col("n_b") - F.col("in_b"))
+        able_ = able(one_fragment.join(pairs, ["a", "b"]), rest).select("a", "b", "n_a", "n_b", F.col("overlap").alias("first_overlap"))
+        able_ = scratch.write(able_, f"{name}-able")
+        others = partial_overlaps(one, able_, shingle, fragments, (1, fragments)).select("a", "b", F.col("overlap").alias("other_overlap"))
+        counted = others.join(able_, ["a", "b"]).withColumn("overlap", F.col("first_overlap") + F.col("other_overlap"))
+        return scratch.write(able(counted, F.lit(0)).select("a", "b"), f"{name}-links")
+
+    def owned(mapped: DataFrame, owner, schema: str) -> DataFrame:
+        return mapped.repartition(parts, "part").mapInArrow(owner, schema)
+
+    # Each document with the leader that it shares most prefix shingles with.
+    met = scratch.write(owned(chosen.mapInArrow(_star_map(parts, percent), OWNED), _star_owner, "a long, b long, shared long"), "stars")
+    summed = met.groupBy("a", "b").agg(F.sum("shared").alias("shared")).groupBy("b")
+    found = links(summed.agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"), "star")
+    # Documents that share no shingle in question with another are in no pair at all.
+    met = met.select(F.col("a").alias("doc_id")).union(met.select(F.col("b").alias("doc_id"))).distinct()
+    joined = components(scratch, found)
+    for name in ("probe", "cross"):
+        component = F.coalesce("component", "doc_id").alias("component")
+        labelled = scratch.write(met.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", component), f"{name}-labels")
+        rows = chosen.join(_few(labelled), "doc_id").select("doc_id", "n", "prefix", "component")
+        pairs = owned(rows.mapInArrow(_cross_map(parts), OWNED), _cross_owner(percent, name == "probe"), "a long, b long")
+        found = scratch.write(found.union(links(pairs, name)), f"{name}-found")
+        joined = components(scratch, found)
     out = member.join(joined.select(F.col("node").alias("class"), "component"), "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
 
