@@ -133,7 +133,7 @@ def disclosing_terms(texts: DataFrame, found: DataFrame, scratch: Scratch, *, le
     terms = joint.select("term").distinct()
     lines = texts.select(F.explode(F.split(F.col("text"), "\n")).alias("line"))
     total = texts.agg(F.sum(F.size(F.split(F.col("text"), "\n"))).alias("n")).first()["n"] or 1
-    met = lines.select(F.explode(_words(F.col("line"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(_few(terms), "term", "left_semi")
+    met = lines.select(F.explode(_words(F.col("line"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(_few(terms), "term")  # no semi-join: Spark would do that one before it counts
     ic = F.log(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log(F.col("n_te") * F.lit(float(total)) / (F.greatest("n_t", "n_te") * F.col("n_e")))
     scored = joint.join(met, "term").select("entity", "term", F.when(ic > 0, F.least(pmi / ic, F.lit(1.0))).otherwise(0.0).alias("disclosure"))
