@@ -245,6 +245,35 @@ def _star_owner(batches):
         yield _pairs_batch(np.concatenate([keys, np.bincount(which.ravel(), weights=every[:, 2]).astype(np.int64)[:, None]], 1))
 
 
+PARTNERS = "a long, chunk long, partners binary"
+
+
+def _partner_batch(pairs: np.ndarray):
+    """One row for each first document and chunk of second ones, so that a pair that many shingles give is packed."""
+    chunk = pairs[:, 1] >> 16
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:, 0] != pairs[:-1, 0]) | (chunk[1:] != chunk[:-1])
+    first = np.flatnonzero(new)
+    stop = np.append(first[1:], len(pairs))[: len(first)]
+    blobs = [pairs[a:b, 1].astype("<i8").tobytes() for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(pairs[first, 0], pa.int64()), pa.array(chunk[first], pa.int64()), pa.array(blobs, pa.binary())], names=["a", "chunk", "partners"])
+
+
+def _distinct_partners(batches):
+    """(a, b) of (a, lists of partners): each pair once."""
+    for batch in batches:
+        held, n = [], 0
+        for a, lists in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            b = np.unique(np.frombuffer(b"".join(lists), "<i8"))
+            held.append(np.stack([np.full(len(b), a), b], 1))
+            n += len(b)
+            if n > 200_000:
+                yield _pairs_batch(np.concatenate(held))
+                held, n = [], 0
+        if held:
+            yield _pairs_batch(np.concatenate(held))
+
+
 def _cross_map(parts: int):
     def run(batches):
         for batch in batches:
@@ -300,12 +329,12 @@ def _cross_owner(percent: int, probe: bool):
                     found = [np.unique(np.concatenate(found), axis=0)]
                     held = 0
                     if len(found[0]) > 500_000:
-                        yield _pairs_batch(found[0])
+                        yield _partner_batch(found[0])
                         found = []
         if best:
-            yield _pairs_batch(np.array(sorted({(min(x, d), max(x, d)) for (x, _), (_, d) in best.items()}), np.int64))
+            yield _partner_batch(np.array(sorted({(min(x, d), max(x, d)) for (x, _), (_, d) in best.items()}), np.int64))
         if found:
-            yield _pairs_batch(np.unique(np.concatenate(found), axis=0))
+            yield _partner_batch(np.unique(np.concatenate(found), axis=0))
 
     return run
 
@@ -355,7 +384,7 @@ def jaccard_join(
     *,
     shingle: int = 5,
     percent: int = 80,
-    fragments: int = 4,
+    fragments: int = 2,
     frequent_from: int = 12,
     frequent_most: int = 500_000,
     scratch: Scratch | None = None,
@@ -444,7 +473,9 @@ def jaccard_join(
         component = F.coalesce("component", "doc_id").alias("component")
         labelled = scratch.write(met.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", component), f"{name}-labels")
         rows = chosen.join(_few(labelled), "doc_id").select("doc_id", "n", "prefix", "component")
-        pairs = owned(rows.mapInArrow(_cross_map(parts), OWNED), _cross_owner(percent, name == "probe"), "a long, b long")
+        lists = owned(rows.mapInArrow(_cross_map(parts), OWNED), _cross_owner(percent, name == "probe"), PARTNERS)
+        lists = lists.groupBy("a", "chunk").agg(F.collect_list("partners").alias("partners")).select("a", "partners")  # 65536 ids a chunk
+        pairs = lists.mapInArrow(_distinct_partners, "a long, b long")
         found = scratch.write(found.union(links(pairs, name)), f"{name}-found")
         joined = components(scratch, found)
     out = member.join(joined.select(F.col("node").alias("class"), "component"), "class", "left")
