@@ -1,9 +1,11 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
 1. Equal vectors are one class; only a class's first vector goes on.
-2. Vectors go to their nearest cluster centres, several of them where these are
-   about as near: overlapping shards. A shard above the block size is dealt
-   into blocks.
+2. Vectors go to every cluster centre whose cell is within half the angle of a
+   link: overlapping shards. The middle of two vectors that link lies in some
+   cell, which both are then near enough to, so no link is lost. Centres are
+   fitted in several numbers, thinned where they crowd, and those kept that cost
+   least on a sample. A shard above the block size is dealt into blocks.
 3. Each block builds a flat graph: neighbours and some far vectors of a node
    are pruned robustly (a candidate goes if one that is kept is nearer to it by
    a factor), links are made to go both ways, and what the medoids don't reach
@@ -49,13 +51,52 @@ def fit_centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def shards_of(vectors: np.ndarray, centres: np.ndarray, overlap: int) -> np.ndarray:
-    """(n, overlap) shards of unit vectors, the nearest first."""
+def shards_of(vectors: np.ndarray, centres: np.ndarray, least: float) -> np.ndarray:
+    """(n, centres) whether a unit vector is in a shard; two of cosine >= least share one at least.
+
+    A vector within an angle t of a point of c's cell is no more than sin(t)
+    beyond the plane between c and any other centre, its nearest one too.
+    """
     near = vectors @ centres.T
-    m = min(overlap, len(centres))
-    top = np.argpartition(-near, m - 1, axis=1)[:, :m]
-    order = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
-    return np.take_along_axis(top, order, 1)
+    home = np.argmax(near, 1)
+    gaps = np.sqrt(np.maximum((centres**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * centres @ centres.T, 0))
+    reach = np.sin(np.arccos(least) / 2) * gaps[home] + 1e-6  # above all rounding
+    return near[np.arange(len(near)), home][:, None] - near <= reach
+
+
+def thinned(centres: np.ndarray, angle: float) -> np.ndarray:
+    """The centres without those within ``angle`` degrees of one before them."""
+    alike = centres @ centres.T >= np.cos(np.radians(angle))
+    alive = np.ones(len(centres), bool)
+    for c in range(len(centres)):
+        if alive[c]:
+            alive[c + 1 :] &= ~alike[c, c + 1 :]
+    return centres[alive]
+
+
+def choose_centres(sample: np.ndarray, n: int, block: int, k: int, least: float) -> np.ndarray:
+    """Of centres in several numbers and thinnings those by which n vectors are searched at the least cost.
+
+    A dense group that many centres cut would be in all of its centres' shards;
+    as one shard it is only dealt into blocks.
+    """
+    few = sample[:: max(1, len(sample) // 4000)]
+    best, least_cost = None, np.inf
+    while True:
+        fitted = fit_centres(sample, k)
+        tried = set()
+        for angle in (0, 10, 20, 30, 45):
+            centres = thinned(fitted, angle) if angle else fitted
+            if len(centres) in tried:
+                continue
+            tried.add(len(centres))
+            rows = shards_of(few, centres, least).mean(0) * n
+            cost = (rows * (np.ceil(rows / block) + 3) / 2).sum()
+            if cost < least_cost:
+                best, least_cost = centres, cost
+        if k == 1:
+            return best
+        k = max(1, k // 4)
 
 
 def medoids(x: np.ndarray, most: int = 8) -> np.ndarray:
@@ -230,13 +271,23 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), "<f4").reshape(len(blobs), -1)
 
 
+def _before(homes: list[bytes], shard: int) -> np.ndarray:
+    """(n, shards) membership, as numbers, in the shards before ``shard`` that any of the vectors is in."""
+    flat = np.frombuffer(b"".join(homes), "<i4")
+    row = np.repeat(np.arange(len(homes)), [len(h) // 4 for h in homes])
+    row, flat = row[flat < shard], flat[flat < shard]
+    found, at = np.unique(flat, return_inverse=True)
+    out = np.zeros((len(homes), len(found)), np.float32)
+    out[row, at] = 1
+    return out
+
+
 def near_duplicates(
     vectors: DataFrame,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     *,
     least: float = 0.95,
-    overlap: int = 3,
     block: int = 2048,
     sample: int = 20_000,
     scratch: Scratch | None = None,
@@ -265,9 +316,9 @@ def near_duplicates(
     n = classes.count()
     firsts = keys.join(classes.select(F.col("first").alias("vec_id"), "copies"), "vec_id").select("vec_id", "copies", "v")
     firsts = scratch.write(firsts, "firsts")
-    k = max(1, min(-(-n // (block // 2)), sample // 8))
+    k = max(1, min(-(-n // (block // 2)), sample // 8))  # at most; the sample tells how many pay
     chosen = firsts.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()["v"].combine_chunks() if n else None
-    centres = fit_centres(unit(np.asarray(chosen.values).reshape(-1, dims)), k) if n else np.zeros((1, 1))
+    centres = choose_centres(unit(np.asarray(chosen.values).reshape(-1, dims)), n, block, k, least) if n else np.zeros((1, 1))
     given = spark.sparkContext.broadcast(centres)
 
     def assign(batches):
@@ -275,18 +326,16 @@ def near_duplicates(
             if not batch.num_rows:
                 continue
             x = np.asarray(batch.column(2).flatten()).reshape(batch.num_rows, -1)
-            home = shards_of(unit(x), given.value, overlap)
-            m = home.shape[1]
-            row = np.repeat(np.arange(len(x)), m)
+            row, shard = np.nonzero(shards_of(unit(x), given.value, least))
             raw = [r.tobytes() for r in x.astype("<f4")]
-            homes = np.sort(home, 1)
+            homes = [h.astype("<i4").tobytes() for h in np.split(shard, np.searchsorted(row, np.arange(1, len(x))))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(homes.ravel(), pa.int64()),
+                    pa.array(shard, pa.int64()),
                     batch.column(0).take(pa.array(row)),
                     batch.column(1).take(pa.array(row)),
                     pa.array([raw[i] for i in row], pa.binary()),
-                    pa.array([homes[i].astype("<i8").tobytes() for i in row], pa.binary()),
+                    pa.array([homes[i] for i in row], pa.binary()),
                 ],
                 names=["shard", "vec_id", "copies", "x", "homes"],
             )
@@ -305,7 +354,7 @@ def near_duplicates(
         return pa.table({"vec_id": pa.array(ids), "near": pa.array([ids[g].astype("<i8").tobytes() for g in graph], pa.binary())})
 
     lists = placed.select("shard", "block", "vec_id", "x").groupBy("shard", "block").applyInArrow(build, "vec_id long, near binary")
-    united = scratch.write(lists.groupBy("vec_id").agg(F.collect_list("near").alias("near")), "united")  # overlap lists a vector at most
+    united = scratch.write(lists.groupBy("vec_id").agg(F.collect_list("near").alias("near")), "united")  # a list a shard that holds the vector
 
     # Queries of block i meet block j's graph for i <= j.
     index = placed.join(united, "vec_id").select("shard", "block", "blocks", "vec_id", "copies", "x", "homes", "near")
@@ -317,7 +366,7 @@ def near_duplicates(
         shard = int(t["shard"][0].as_py())
         mask = t["is_index"].to_numpy()
         ids, copies, x = t["vec_id"].to_numpy(), t["copies"].to_numpy(), unit(_matrix(t["x"]))
-        homes = np.frombuffer(b"".join(t["homes"].to_pylist()), "<i8").reshape(len(ids), -1)
+        before = _before(t["homes"].to_pylist(), shard)
         node_ids = ids[mask]
         graph = []
         for lists_ in t["near"].filter(pa.array(mask)).to_pylist():
@@ -333,12 +382,11 @@ def near_duplicates(
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
             a, b = both[:, 0], both[:, 1]
         # The first shard that holds both counts the pair.
-        first = np.full(len(a), np.iinfo(np.int64).max)
-        for p in range(homes.shape[1]):
-            held = (homes[b] == homes[a, p][:, None]).any(1)
-            first = np.where(held, np.minimum(first, homes[a, p]), first)
-        mine = first == shard
-        a, b = a[mine], b[mine]
+        if before.shape[1]:
+            place = np.empty(len(ids), np.int64)
+            place[here], place[asked] = np.arange(len(here)), np.arange(len(asked))
+            mine = ((before[asked] @ before[here].T) == 0)[place[a], place[b]]
+            a, b = a[mine], b[mine]
         cos = np.einsum("ij,ij->i", x[a], x[b])
         a, b = a[cos >= least], b[cos >= least]
         links = np.bincount(a, weights=copies[b], minlength=len(ids)) + np.bincount(b, weights=copies[a], minlength=len(ids))

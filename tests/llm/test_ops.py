@@ -277,6 +277,29 @@ def test_near_duplicates(spark, block):
     assert all(got[k].n_links >= 29 for k in range(200, 230))
 
 
+def hot_vectors(n, share, spread, d=64, seed=4):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    hot = rng.permutation(n)[: int(n * share)]
+    x[hot] = x[hot[0]] + rng.normal(size=(len(hot), d)) * spread
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("spread", [0.08, 0.2])
+def test_near_duplicates_of_a_dense_group(spark, spread):
+    """A third of the vectors in one group, tight or loose, and many centres for it."""
+    x = hot_vectors(4000, 1 / 3, spread)
+    u = embedding_dedup.unit(x)
+    near = u @ u.T >= 0.95
+    for k in (4, 20, 100):
+        held = embedding_dedup.shards_of(u, embedding_dedup.fit_centres(u, k), 0.95)
+        assert not (near & ~(held @ held.T)).any()
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, block=32).collect()}
+    found, links = np.array([got[k].n_links for k in range(len(x))]), near.sum(1) - 1
+    assert (found <= links).all() and found.sum() >= embedding_dedup.TARGET_RECALL * links.sum()
+
+
 def test_graph_reaches_all():
     x = embedding_dedup.unit(np.concatenate([vectors(400), -vectors(400, seed=9)[:50]]))
     graph = embedding_dedup.build_graph(x)
