@@ -5,13 +5,16 @@ pattern; the values they find are the protected entities. Which other terms
 reveal an entity is estimated from the corpus: for a term t and an entity e,
 
     disclosure(t, e) = PMI(t; e) / IC(e)
-                     = log(n(t,e) N / (n(t) n(e))) / log(N / n(e)),
+                     = log(p(e|t) N / n(e)) / log(N / n(e)),
+    p(e|t) = (n(t,e) + prior n(e) / N) / (n(t) + prior),
 
-with counts over the lines of all documents. It is 1 when a term is met only
-beside the entity, so that whoever reads it knows the entity, and 0 when the
-two are independent. What isn't said in ``least`` unlike contexts is no evidence. In documents that hold the entity, a term whose
-disclosure reaches ``generalise_at`` is replaced by its class, one that reaches
-``remove_at`` is removed. Copies of a line are one context.
+with counts over the lines of all documents. It nears 1 when a term is met only
+beside the entity, so that whoever reads it knows the entity, and is 0 when the
+two are independent. All terms of all entities are scored, however rare: the
+prior, ``prior`` lines in which the two are independent, holds back what few
+lines say. In documents that hold the entity, a term whose disclosure reaches
+``generalise_at`` is replaced by its class, one that reaches ``remove_at`` is
+removed. ``least`` above 1 asks for so many unlike contexts (copies are one).
 
 Patterns are written with possessive repetitions and look-behind, which find
 the same matches without backtracking, so a long run of digits or letters costs
@@ -36,9 +39,9 @@ KINDS = {
 }
 TERM = "term"
 _IP = rf"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]|[0-9]))(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]|[0-9])){{3}}$"
-WORD = r"\p{L}[\p{L}\p{N}_'-]{3,}+"
+WORD = r"[\p{L}\p{N}][\p{L}\p{N}_'-]*+"
 BROADCAST_ROWS = 200_000
-MATCH = "array<struct<place:int,kind:string,i:int,value:string,gap:int>>"
+MATCH = "array<struct<place:int,kind:string,i:int,value:string,gap:int,wanted:boolean>>"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -65,8 +68,8 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def located(texts: DataFrame, kinds: dict[str, tuple[str | None, str]]) -> DataFrame:
-    """(doc_id, place, kind, start, end, value): all matches of the kinds' patterns in texts (doc_id, text), in code points.
+def located(texts: DataFrame, kinds: dict[str, tuple[str | None, str]], wanted=lambda m: F.lit(True)) -> DataFrame:
+    """(doc_id, place, kind, start, end, value): all wanted matches of the kinds' patterns in texts (doc_id, text), in code points.
 
     The gaps between matches and the matches alternate, so a match ends after
     all gaps and matches up to it: a running sum along the document's matches,
@@ -75,18 +78,18 @@ def located(texts: DataFrame, kinds: dict[str, tuple[str | None, str]]) -> DataF
     text = F.col("text")
     parts = []
     for place, (kind, (hint, pattern)) in enumerate(kinds.items()):
-        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), _numbered(place, kind))
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), _numbered(place, kind, wanted))
         gaps = F.transform(F.split(text, pattern, -1), F.length)
         both = F.zip_with(found, gaps, lambda m, g: m.withField("gap", g))  # one gap more than matches
         parts.append(F.when(text.rlike(hint), both).otherwise(F.array().cast(MATCH)) if hint else both)
     rows = texts.select("doc_id", F.explode(F.concat(*parts)).alias("m")).select("doc_id", "m.*").where("value is not null")
     along = Window.partitionBy("doc_id", "place").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(along).cast("int"))
-    return rows.select("doc_id", "place", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value")
+    return rows.where("wanted").select("doc_id", "place", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value")
 
 
-def _numbered(place: int, kind: str):
-    return lambda m, i: F.struct(F.lit(place).alias("place"), F.lit(kind).alias("kind"), i.alias("i"), m.alias("value"), F.lit(0).alias("gap"))
+def _numbered(place: int, kind: str, wanted):
+    return lambda m, i: F.struct(F.lit(place).alias("place"), F.lit(kind).alias("kind"), i.alias("i"), m.alias("value"), F.lit(0).alias("gap"), wanted(m).alias("wanted"))
 
 
 def base_spans(texts: DataFrame) -> DataFrame:
@@ -115,7 +118,7 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
-def disclosing_terms(texts: DataFrame, found: DataFrame, scratch: Scratch, *, least: int, generalise_at: float, reach: int = 200) -> DataFrame:
+def disclosing_terms(texts: DataFrame, found: DataFrame, scratch: Scratch, *, least: int, prior: float, generalise_at: float, reach: int = 200) -> DataFrame:
     """(entity, term, disclosure) of the terms that reveal an entity.
 
     texts: (doc_id, text); found: (doc_id, spans). The context of an entity is
@@ -126,17 +129,19 @@ def disclosing_terms(texts: DataFrame, found: DataFrame, scratch: Scratch, *, le
     right = F.substring_index(F.expr(f"substring(text, s.end + 1, {reach})"), "\n", 1)
     contexts = held.select(F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.concat_ws(" ", left, right).alias("context"))
     contexts = scratch.write(contexts.groupBy("entity", "context").agg(F.count(F.lit(1)).alias("times")), "contexts")
-    often = contexts.groupBy("entity").agg(F.sum("times").alias("n_e"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") >= least)
-    joint = contexts.join(often, "entity").select("entity", "n_e", "times", F.explode(_words(F.col("context"))).alias("term"))
-    joint = joint.groupBy("entity", "n_e", "term").agg(F.sum("times").alias("n_te"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") >= least)
+    joint = contexts.select("entity", "times", F.explode(_words(F.col("context"))).alias("term"))
+    joint = joint.groupBy("entity", "term").agg(F.sum("times").alias("n_te"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") >= least)
     joint = scratch.write(joint, "joint")
     terms = joint.select("term").distinct()
     lines = texts.select(F.explode(F.split(F.col("text"), "\n")).alias("line"))
-    total = texts.agg(F.sum(F.size(F.split(F.col("text"), "\n"))).alias("n")).first()["n"] or 1
+    total = float(texts.agg(F.sum(F.size(F.split(F.col("text"), "\n"))).alias("n")).first()["n"] or 1)
     met = lines.select(F.explode(_words(F.col("line"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(_few(terms), "term")  # no semi-join: Spark would do that one before it counts
-    ic = F.log(F.lit(float(total)) / F.col("n_e"))
-    pmi = F.log(F.col("n_te") * F.lit(float(total)) / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    scored = joint.join(met, "term").select("entity", "term", F.when(ic > 0, F.least(pmi / ic, F.lit(1.0))).otherwise(0.0).alias("disclosure"))
+    met = scratch.write(met, "met")
+    said = contexts.groupBy("entity").agg(F.sum("times").alias("n_e"))
+    rows = joint.join(_few(met), "term").join(_few(said), "entity")
+    ic = F.log(F.lit(total) / F.col("n_e"))
+    told = (F.col("n_te") + prior * F.col("n_e") / total) / (F.greatest("n_t", "n_te") + prior)
+    scored = rows.select("entity", "term", F.when(ic > 0, F.least(1 + F.log(told) / ic, F.lit(1.0))).otherwise(0.0).alias("disclosure"))
     return scratch.write(scored.where(F.col("disclosure") >= generalise_at), "terms")
 
 
@@ -145,7 +150,8 @@ def find_pii(
     id_col: str = "doc_id",
     text_col: str = "text",
     *,
-    least: int = 5,
+    least: int = 1,
+    prior: float = 1.0,
     generalise_at: float = 0.8,
     scratch: Scratch | None = None,
 ) -> tuple[DataFrame, DataFrame]:
@@ -158,12 +164,14 @@ def find_pii(
     scratch = scratch or Scratch(spark, "pii")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = scratch.write(base_spans(texts), "found")
-    terms = disclosing_terms(texts, found, scratch, least=least, generalise_at=generalise_at)
-    entities = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.concat_ws(":", "s.kind", "s.value").alias("entity"))
-    by_doc = entities.join(_few(terms), "entity").groupBy("doc_id", "term").agg(F.max("disclosure").alias("disclosure"))
+    terms = disclosing_terms(texts, found, scratch, least=least, prior=prior, generalise_at=generalise_at)
+    # A document's own words are looked up: rows in proportion to its text, however many terms its entities have elsewhere.
+    entities = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    own = texts.join(_few(found), "doc_id").select("doc_id", entities.alias("entities"), F.explode(_words(F.col("text"))).alias("term"))
+    own = own.join(_few(terms.select("term").distinct()), "term").select("doc_id", "term", F.explode("entities").alias("entity"))
+    by_doc = own.join(_few(terms), ["entity", "term"]).groupBy("doc_id", "term").agg(F.max("disclosure").alias("disclosure"))
     by_doc = scratch.write(by_doc.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told")), "told")
-    words = located(texts.join(_few(by_doc.select("doc_id")), "doc_id", "left_semi"), {TERM: (None, WORD)})
-    words = words.join(by_doc, "doc_id").where(F.map_contains_key("told", F.lower("value")))
+    words = located(texts.join(_few(by_doc), "doc_id"), {TERM: (None, WORD)}, lambda m: F.map_contains_key("told", F.lower(m)))
     of = scratch.write(_gathered(words, "words").join(by_doc, "doc_id"), "words")
     inside = lambda w: F.exists("spans", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))
     joined = found.join(of, "doc_id", "left")

@@ -244,6 +244,16 @@ def test_pii_terms_that_reveal_an_entity(spark):
     assert clean[208] == "Quentinix alone is told nothing" and clean[100] == rows[100][1]
 
 
+def test_pii_terms_of_a_rare_entity(spark):
+    """One context, or two, of an entity: words met nowhere else reveal it, short and numeric ones too; common words don't."""
+    rows = list(enumerate(["said Zerbino of mail b@y.org to 7719", "said Qx of mail c@y.org", "mail Qx said c@y.org", *(f"said of mail to {prose(10)}" for _ in range(200)), "elsewhere said Qx alone"]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_term for r in pii.pii_spans(df).collect()}
+    assert [got[k] for k in range(3)] == [2, 1, 1] and sum(got.values()) == 4
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[0] == "said [TERM] of mail [EMAIL] to [TERM]" and clean[1] == "said [TERM] of mail [EMAIL]" and clean[203] == rows[203][1]
+
+
 def test_sanitise_overlaps_and_keeps_columns(spark):
     rows = [(1, "call +14155550123, 4111111111111111 or a@b.cc!", "x"), (2, None, "y"), (3, "plain", "z")]
     got = {r.doc_id: (r.text, r.spans) for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()}
