@@ -118,16 +118,35 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
-def disclosing_terms(texts: DataFrame, found: DataFrame, scratch: Scratch, *, least: int, prior: float, generalise_at: float, reach: int = 200) -> DataFrame:
+def _lines_of_entities(held: DataFrame) -> DataFrame:
+    """(entities, line, rest) of each line with base spans in texts (text, spans); rest: the line without them.
+
+    Spans are replaced by their numbers between two private characters, then the
+    text is cut into lines; no span holds a line break.
+    """
+    clean = F.translate("text", "\uE000\uE001", "  ")
+    numbered = F.transform("spans", lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("i")))
+    held = held.select("spans", clean.alias("text"), F.array_sort(numbered).alias("s"))
+    marked = F.expr(
+        "aggregate(s, named_struct('at', 0, 'out', ''), (a, c) -> named_struct('at', greatest(a.at, c.end), 'out', concat(a.out, substring(text, a.at + 1, greatest(c.start - a.at, 0)), '\uE000', c.i, '\uE001')),"
+        " a -> concat(a.out, substring(text, a.at + 1)))"
+    )
+    lines = F.arrays_zip(F.split("text", "\n").alias("line"), F.split(marked, "\n").alias("marked"))
+    rows = held.select("spans", F.explode(lines).alias("l")).select("spans", "l.line", "l.marked").where(F.col("marked").contains("\uE000"))
+    of = F.transform(F.regexp_extract_all("marked", F.lit("\uE000([0-9]+)\uE001"), F.lit(1)), lambda i: F.element_at("spans", i.cast("int") + 1))
+    entities = F.array_distinct(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    return rows.select(entities.alias("entities"), "line", F.regexp_replace("marked", "\uE000[0-9]+\uE001", " ").alias("rest"))
+
+
+def disclosing_terms(texts: DataFrame, found: DataFrame, scratch: Scratch, *, least: int, prior: float, generalise_at: float) -> DataFrame:
     """(entity, term, disclosure) of the terms that reveal an entity.
 
     texts: (doc_id, text); found: (doc_id, spans). The context of an entity is
-    what stands within ``reach`` characters of it on its line.
+    its whole line without the base spans. All four counts are of lines: an
+    entity or a term counts once in a line.
     """
-    held = texts.join(_few(found), "doc_id").select("text", F.explode("spans").alias("s"))
-    left = F.substring_index(F.expr(f"substring(text, greatest(s.start - {reach}, 0) + 1, least(s.start, {reach}))"), "\n", -1)
-    right = F.substring_index(F.expr(f"substring(text, s.end + 1, {reach})"), "\n", 1)
-    contexts = held.select(F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.concat_ws(" ", left, right).alias("context"))
+    held = scratch.write(_lines_of_entities(texts.join(_few(found), "doc_id")), "held")
+    contexts = held.select(F.explode("entities").alias("entity"), F.col("rest").alias("context"))
     contexts = scratch.write(contexts.groupBy("entity", "context").agg(F.count(F.lit(1)).alias("times")), "contexts")
     joint = contexts.select("entity", "times", F.explode(_words(F.col("context"))).alias("term"))
     joint = joint.groupBy("entity", "term").agg(F.sum("times").alias("n_te"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") >= least)
@@ -136,7 +155,8 @@ def disclosing_terms(texts: DataFrame, found: DataFrame, scratch: Scratch, *, le
     lines = texts.select(F.explode(F.split(F.col("text"), "\n")).alias("line"))
     total = float(texts.agg(F.sum(F.size(F.split(F.col("text"), "\n"))).alias("n")).first()["n"] or 1)
     met = lines.select(F.explode(_words(F.col("line"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(_few(terms), "term")  # no semi-join: Spark would do that one before it counts
-    met = scratch.write(met, "met")
+    inside = held.select(F.explode(F.array_except(_words(F.col("line")), _words(F.col("rest")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_in"))  # lines that hold a term in base spans only
+    met = scratch.write(met.join(_few(inside), "term", "left").select("term", (F.col("n_t") - F.coalesce("n_in", F.lit(0))).alias("n_t")), "met")
     said = contexts.groupBy("entity").agg(F.sum("times").alias("n_e"))
     rows = joint.join(_few(met), "term").join(_few(said), "entity")
     ic = F.log(F.lit(total) / F.col("n_e"))

@@ -254,6 +254,17 @@ def test_pii_terms_of_a_rare_entity(spark):
     assert clean[0] == "said [TERM] of mail [EMAIL] to [TERM]" and clean[1] == "said [TERM] of mail [EMAIL]" and clean[203] == rows[203][1]
 
 
+def test_pii_terms_far_along_the_line(spark):
+    """A term 600 characters from the entity on its line counts, one on the next line doesn't; no word is cut; counts are of whole lines."""
+    far = "said of mail " * 50
+    rows = list(enumerate([f"Zerbino {far}\u00e9\U0001F600 b@y.org, +14155550123 {far}Quorl\nNextline", *(f"said of mail to {prose(10)}" for _ in range(200))]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert got[0] == f"[TERM] {far}[TERM]\U0001F600 [EMAIL], [PHONE] {far}[TERM]\nNextline" and all(got[k] == t for k, t in rows[1:])
+    held = pii._lines_of_entities(df.join(pii.base_spans(df), "doc_id")).collect()
+    assert [(sorted(r.entities), r.line) for r in held] == [(["email:b@y.org", "phone:+14155550123"], rows[0][1].split("\n")[0])]
+
+
 def test_sanitise_overlaps_and_keeps_columns(spark):
     rows = [(1, "call +14155550123, 4111111111111111 or a@b.cc!", "x"), (2, None, "y"), (3, "plain", "z")]
     got = {r.doc_id: (r.text, r.spans) for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()}
