@@ -318,6 +318,12 @@ def _(cat):
     return rows.select(F.col("constant_value").alias("value"), F.col("constant_value_type").alias("value_type"), "structural_type", "confidence")
 
 
+@catalogue_query("F14_projection_whole", "SELECT constant_value AS value, constant_value_type AS value_type, structural_type, confidence FROM unit_constants c JOIN constant_usages u ON u.constant_id=c.id")
+def _(cat):
+    rows = cat.constants.withColumnRenamed("id", "constant_id").join(cat.usages, "constant_id")
+    return rows.select(F.col("constant_value").alias("value"), F.col("constant_value_type").alias("value_type"), "structural_type", "confidence")
+
+
 DETAILS = f"SELECT constant_value, constant_value_type, structural_type, semantic_type_name, confidence, metadata, count(*) AS n FROM unit_constants c JOIN constant_usages u ON u.constant_id=c.id WHERE snapshot_id IN (SELECT s.id FROM {SCOPE}) GROUP BY ALL"
 ORDER = "ORDER BY n DESC, constant_value, constant_value_type, structural_type, semantic_type_name, confidence, metadata"
 
@@ -765,6 +771,12 @@ def _(cat):
     return rows.select("snapshot_id", "constant_value", "structural_type").orderBy("snapshot_id", "constant_value")
 
 
+@catalogue_query("O07_rows_whole", "SELECT snapshot_id, constant_value, structural_type FROM unit_constants c JOIN constant_usages u ON u.constant_id=c.id ORDER BY 1,2")
+def _(cat):
+    rows = cat.constants.withColumnRenamed("id", "constant_id").join(cat.usages, "constant_id")
+    return rows.select("snapshot_id", "constant_value", "structural_type").orderBy("snapshot_id", "constant_value")
+
+
 @catalogue_query("X05_find_unit", f"{FIND} SELECT constant_value AS value, min_by(constant_value_type, c.id) AS value_type, count(*) AS n FROM eff e JOIN unit_constants c ON c.snapshot_id=e.snapshot_id JOIN constant_usages u ON u.constant_id=c.id WHERE project='ASIA' AND version=5 AND path=(SELECT min(path) FROM eff WHERE project='ASIA' AND version=5) GROUP BY constant_value")
 def _(cat):
     path = V.effective(cat, True, P).where("version = 5").agg(F.min("path")).first()[0]
