@@ -836,6 +836,13 @@ def _(cat):
     return got.agg(F.min(F.when((F.col("project") == P) & (F.col("total_found") >= 1), 1).otherwise(0)).cast("int").alias("ok"))
 
 
+@catalogue_query("R06_R09_search_hits")
+def _(cat):
+    name = cat.constants.agg(F.min("constant_value")).first()[0]
+    got = search.search(search.documents(cat), name, project=P, rows=10, fuzzy=1)
+    return got.select("doc_id", F.round("score", 4).alias("score"), "total_found").orderBy(F.desc("score"), "doc_id")
+
+
 @catalogue_query("R08_indexed_unit", f"SELECT constant_value AS value, array_to_string(list_sort(list(DISTINCT structural_type)),',') AS usages FROM {SCOPE} JOIN unit_constants c ON c.snapshot_id=s.id JOIN constant_usages u ON u.constant_id=c.id WHERE s.unit_name=(SELECT min(path) FROM unit_descriptors WHERE project='ASIA' AND version=2) GROUP BY constant_value")
 def _(cat):
     path = units.scoped(cat, P, W).agg(F.min("path")).first()[0]
