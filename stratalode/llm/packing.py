@@ -1,12 +1,13 @@
 """Hierarchical multi-length packing.
 
 Documents are routed by length to context tiers (powers of two up to the
-window). Each tier is packed on its own: a document longer than the window
-gives full windows, its rest goes on to the tier of the rest's length; a tier's
-open sequence takes documents until it is full. A long window's gap is filled
-from shorter tiers, longest first, before anything is cut; what no document
-fills is cut into sequences of a lower power of two, so nothing is padded.
-Sequences are then dealt into step groups of equal tokens.
+window). The tiers are queues, not packed at sizes of their own: a document
+longer than the window gives full windows, its rest goes on to the tier of the
+rest's length; sequences of the window's length take whole pieces from all
+tiers, longest first, before anything is cut; what no document fills is cut
+into sequences of a lower power of two, so nothing is padded. Sequences are
+then cut, as they come, into step groups of at most ``step_tokens`` tokens a
+task; tiers are not balanced over them.
 
 Each task packs the documents of its own input partition and holds one buffer
 of tokens at a time, so nothing is shuffled and a hot source or a very long
