@@ -1,8 +1,8 @@
-"""N-gram Jaccard join by vertical partitioning.
+"""N-gram Jaccard join, overlaps counted by fragments.
 
 A document is the set of its distinct word shingles. All shingles have one
-global order: rare ones by hash, then those met often, by how often. The order
-is cut into fragments; for a pair of documents the overlap is counted in each
+global order: rare ones by hash, then those met often, by how often. Shingles
+are cut into fragments by ranges of their hash, not of that order; for a pair of documents the overlap is counted in each
 fragment separately and the counts are summed per pair.
 
 Which pairs to count comes from the same order: two sets of Jaccard similarity
@@ -347,7 +347,7 @@ def _few(ids: DataFrame) -> DataFrame:
 def partial_overlaps(docs: DataFrame, pairs: DataFrame, size: int, fragments: int, which: tuple[int, int]) -> DataFrame:
     """(a, b, overlap, in_a, in_b) of pairs of documents over fragments which[0] up to which[1].
 
-    Overlaps are counted per fragment of the order, then summed; in_a and in_b
+    Overlaps are counted per fragment, a range of the shingle hash and not of the order, then summed; in_a and in_b
     are the shingles of the two in these fragments.
     """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
