@@ -19,6 +19,7 @@ import numpy as np
 from . import textscan
 
 NONE = np.int32(2**31 - 1)
+BITS = 31  # of an id in the key of a pair
 
 
 @lru_cache(maxsize=4)
@@ -38,7 +39,10 @@ class Vocabulary:
         back = {c: b for b, c in shown.items()}
         vocab = spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        if any(x.get(flag) for x in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: added tokens that depend on their neighbours aren't known")
         size = 1 + max([*vocab.values(), *self.special.values()])
+        self.id_type = np.uint16 if size <= 1 << 16 else np.uint32
         self.tokens: list[bytes] = [b""] * size
         for t, i in vocab.items():
             self.tokens[i] = bytes(back[c] for c in t)
@@ -46,7 +50,7 @@ class Vocabulary:
             self.tokens[i] = t.encode()
         self.byte_ids = np.array([vocab[shown[b]] for b in range(256)], np.int32)
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        pairs = np.array([(vocab[a] << 16) | vocab[b] for a, b in merges], np.int64)
+        pairs = np.array([(vocab[a] << BITS) | vocab[b] for a, b in merges], np.int64)
         made = np.array([vocab[a + b] for a, b in merges], np.int32)
         # The first rank of a pair counts.
         pairs, rank = np.unique(pairs, return_index=True)
@@ -74,7 +78,7 @@ class Vocabulary:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = (left.astype(np.int64) << 16) | right
+        key = (left.astype(np.int64) << BITS) | right
         slot = self._slot(key)
         got = self.slot_pair[slot]
         rank = np.where(got == key, self.slot_rank[slot], NONE)
@@ -170,7 +174,7 @@ class PrefixEncoder:
         split = np.full((len(vocabulary.tokens), 2), -1, np.int64)
         order = np.argsort(vocabulary.rank, kind="stable")[::-1]
         made = vocabulary.made_by_rank[vocabulary.rank[order]]
-        split[made, 0], split[made, 1] = vocabulary.pairs[order] >> 16, vocabulary.pairs[order] & 0xFFFF
+        split[made, 0], split[made, 1] = vocabulary.pairs[order] >> BITS, vocabulary.pairs[order] & ((1 << BITS) - 1)
         self.split = split.tolist()
         self.made_rank = [-1] * len(vocabulary.tokens)
         for m, k in zip(made.tolist(), vocabulary.rank[order].tolist(), strict=True):
@@ -207,7 +211,7 @@ class PrefixEncoder:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the encoding of the two tokens' joined bytes is just the two."""
-        key = (left << 16) | right
+        key = (left << BITS) | right
         got = self._fits.get(key)
         if got is None:
             if len(self._fits) > 2_000_000:
@@ -221,7 +225,7 @@ class PrefixEncoder:
         ranks, rank_of, split = self.v.ranks, self.made_rank, self.split
         limit = 1 << 30
         while True:
-            cross = ranks.get((a << 16) | b)
+            cross = ranks.get((a << BITS) | b)
             if cross is not None and cross < limit:
                 return False
             if rank_of[a] > rank_of[b]:
@@ -252,7 +256,7 @@ class PrefixEncoder:
                     last[i], size[i] = token, n
                     break
                 left = last[before]
-                ok = known.get((left << 16) | token)
+                ok = known.get((left << BITS) | token)
                 if ok is None:
                     ok = fits(left, token)
                 if ok:
@@ -268,20 +272,28 @@ class PrefixEncoder:
 
 
 class Memo:
-    """Ids of pre-tokens by hash, at most ``bound`` of them; the oldest half goes first."""
+    """Ids of pre-tokens, at most ``bound`` of them; beyond it all are forgotten and found again.
 
-    def __init__(self, encode, bound: int = 1_500_000):
-        self.encode, self.bound = encode, bound
+    A pre-token is known by two independent 64-bit hashes. One whose first hash
+    is another's is encoded for itself.
+    """
+
+    def __init__(self, encode, bound: int = 1_500_000, id_type=np.uint16):
+        self.encode, self.bound, self.id_type = encode, bound, id_type
+        self._forget()
+
+    def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
+        self.checks = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.uint16)
+        self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.id_type)
 
     def look_up(self, pieces: textscan.Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each piece: where its ids begin in ``ids``, and how many; then ``ids``."""
         keys, first, inverse = np.unique(pieces.hashes, return_index=True, return_inverse=True)
         if len(self.keys) > self.bound:
-            self.__init__(self.encode, self.bound)
+            self._forget()
         where = np.searchsorted(self.keys, keys)
         there = np.zeros(len(keys), bool)
         inside = where < len(self.keys)
@@ -290,20 +302,28 @@ class Memo:
         if len(fresh):
             ids, size = self.encode(pieces.strings(first[fresh]))
             at = len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-            self.ids = np.concatenate([self.ids, ids.astype(np.uint16)])
+            self.ids = np.concatenate([self.ids, ids.astype(self.id_type)])
             put = where[fresh]
             self.keys = np.insert(self.keys, put, keys[fresh])
+            self.checks = np.insert(self.checks, put, pieces.checks[first[fresh]])
             self.at = np.insert(self.at, put, at)
             self.size = np.insert(self.size, put, size)
             where = np.searchsorted(self.keys, keys)
-        return self.at[where][inverse], self.size[where][inverse], self.ids
+        where = where[inverse]
+        at, size, out = self.at[where], self.size[where], self.ids
+        odd = np.flatnonzero(self.checks[where] != pieces.checks)
+        if len(odd):
+            ids, own = self.encode(pieces.strings(odd))
+            at[odd], size[odd] = len(out) + np.cumsum(own) - own, own
+            out = np.concatenate([out, ids.astype(self.id_type)])
+        return at, size, out
 
 
 _memos: dict[tuple[str, str], Memo] = {}
 
 
 def memo(path: str, method: str) -> Memo:
-    """The worker's memo for a vocabulary and method: merge, prefix or library."""
+    """The worker's memo for a vocabulary and method: merge or prefix."""
     if (path, method) not in _memos:
         if method == "merge":
             encode = RankMerger(load(path)).encode
@@ -315,7 +335,7 @@ def memo(path: str, method: str) -> Memo:
                 return np.array([i for ids in got for i in ids], np.int32), np.array([len(x) for x in got], np.int64)
         else:
             raise ValueError(f"unknown method {method!r}")
-        _memos[path, method] = Memo(encode)
+        _memos[path, method] = Memo(encode, id_type=load(path).id_type)
     return _memos[path, method]
 
 
@@ -333,25 +353,24 @@ def chunks(texts: list[str], most: int = 1_500_000):
 
 def count(texts: list[str], path: str, method: str = "merge") -> np.ndarray:
     """Tokens of each text."""
-    parts, owner, special = textscan.segments(texts)
+    parts, owner, _, special = textscan.segments(texts, load(path).special)
     pieces = textscan.pretokens(parts)
     _, size, _ = memo(path, method).look_up(pieces)
     return special + np.bincount(owner[pieces.owner], weights=size, minlength=len(texts)).astype(np.int64)
 
 
 def encode(texts: list[str], path: str, method: str = "merge") -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in a row (uint16 vocabularies), and how many each text has."""
-    parts, owner, special = textscan.segments(texts)
+    """Ids of all texts in a row, and how many each text has."""
+    parts, owner, between, special = textscan.segments(texts, load(path).special)
     pieces = textscan.pretokens(parts)
     at, size, ids = memo(path, method).look_up(pieces)
-    size = size.astype(np.int64)
     total = int(size.sum())
     begin = np.cumsum(size) - size
-    out = ids[np.arange(total) + np.repeat(at - begin, size)] if total else np.zeros(0, np.uint16)
-    if special.any():  # one special id between the parts of a text
+    out = ids[np.arange(total) + np.repeat(at - begin, size)] if total else np.zeros(0, ids.dtype)
+    if len(between):  # one special id between the parts of a text
         per_part = np.bincount(pieces.owner, weights=size, minlength=len(parts)).astype(np.int64)
         stop = np.cumsum(per_part)
         inner = np.flatnonzero(np.append(owner[1:] == owner[:-1], False))
-        out = np.insert(out, stop[inner], load(path).special[textscan.SPECIAL])
+        out = np.insert(out, stop[inner], between)
     n = special + np.bincount(owner[pieces.owner], weights=size, minlength=len(texts)).astype(np.int64)
     return out, n

@@ -38,7 +38,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, v
         path = vocabulary or vocabulary_path()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = pa.array(list(_encoded(texts, path)), pa.list_(pa.uint16())).cast(pa.list_(pa.int32()))
+            ids = pa.array([x.astype(np.int32) for x in _encoded(texts, path)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -71,7 +71,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     if len(h) > 1:
         new[1:] = (h[1:] != h[:-1]) | (wl[1:] != wl[:-1])
     distinct = np.bincount(wl, weights=new, minlength=n)
-    line_hash = textscan.span_hashes(textscan._BYTES[data], starts, ends)
+    line_hash = textscan.piece_hashes(textscan._BYTES[data], starts, ends)
     order = np.lexsort((np.arange(n), line_hash, owner))
     seen = np.zeros(n)
     if n > 1:
@@ -185,7 +185,6 @@ def fit(own: np.ndarray, owner: np.ndarray, label: np.ndarray, rounds: int = 120
     mean, spread = x.mean(0), x.std(0) + 1e-6
     x = (x - mean) / spread
     chains = Chains(owner)
-    docs = len(chains.first)
     y = label.astype(float)
     same = owner[1:] == owner[:-1]
     seen = np.zeros((2, 2))
@@ -196,7 +195,7 @@ def fit(own: np.ndarray, owner: np.ndarray, label: np.ndarray, rounds: int = 120
         good, pair, _ = chains.marginals(x @ w + bias, move)
         miss = (good - y) / len(y)
         grad = np.concatenate([x.T @ miss, [miss.sum()], ((pair - seen) / len(y)).ravel()])
-        grad += decay * theta * (docs / docs)
+        grad += decay * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta - 0.08 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     return Model(mean, spread, theta[:WIDTH], float(theta[WIDTH]), theta[WIDTH + 1 :].reshape(2, 2))

@@ -6,21 +6,20 @@ Two scanners work on whole batches of texts held in one NumPy array:
   (contractions, optional leading blank, letters, digits, other, white space);
 * :func:`words` cuts at the ASCII blanks ``[\\x20\\x09-\\x0D]`` only.
 
-Both give every piece a 64-bit polynomial hash, computed with prefix sums, so
-no Python object is made for a piece unless a caller asks for it.
+Both give every piece a 64-bit hash, computed with prefix sums, so no Python
+object is made for a piece unless a caller asks for it.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
 
-SPECIAL = "<|endoftext|>"
 SPACE, LETTER, DIGIT, OTHER, END = range(5)
 _END = 0x110000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -34,27 +33,77 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_PRIME = np.uint64((1 << 61) - 1)
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def _multipliers(n: int, salt: int) -> np.ndarray:
+    """Odd pseudo-random multipliers of the first n places of a piece."""
+    size = max(64, 1 << (n - 1).bit_length())
+    held = _held.get(salt)
+    if held is None or len(held) < n:
+        held = _held[salt] = mix64(np.arange(1, size + 1, dtype=np.uint64) * _STEP + np.uint64(salt)) | np.uint64(1)
+    return held[:n]
+
+
+_held: dict[int, np.ndarray] = {}
+
+
+def piece_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes of ``values[start:end]`` (values: mixed uint64) of pieces that lie in order and don't overlap.
+
+    Each value is multiplied by a pseudo-random number of its place in the
+    piece, so no pattern of places and letters cancels out; another salt gives
+    hashes that don't depend on the first ones.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    began = np.zeros(len(values), np.int64)
+    began[starts] = starts
+    place = np.arange(len(values)) - np.maximum.accumulate(began)
+    place[: starts[0]] = 0
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _multipliers(int(place.max()) + 1, salt)[place], out=total[1:])
+    return mix64(total[ends] - total[starts] + (ends - starts).astype(np.uint64) * _STEP)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1 of numbers below it."""
+    a1, a0, b1, b0 = a >> np.uint64(32), a & _LOW, b >> np.uint64(32), b & _LOW
+    middle, low = a1 * b0 + a0 * b1, a0 * b0
+    high = (a1 * b1) << np.uint64(3)
+    middle = (middle >> np.uint64(29)) + ((middle & np.uint64((1 << 29) - 1)) << np.uint64(32))
+    return _fold(high + middle + (low & _PRIME) + (low >> np.uint64(61)))
+
+
+_BASE = 0x13B2A4D5C6E7F809 % ((1 << 61) - 1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            full = np.full(size, base, np.uint64)
-            full[0] = 1
-            _powers[k] = np.multiply.accumulate(full)
+def _base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n-1 of the base and of its inverse."""
+    prime = int(_PRIME)
+    for k, base in enumerate((_BASE, pow(_BASE, -1, prime))):
+        while len(_powers[k]) < n:
+            _powers[k] = np.concatenate([_powers[k], mulmod(_powers[k], np.uint64(pow(base, len(_powers[k]), prime)))])
     return _powers[0][:n], _powers[1][:n]
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Position-independent hashes of ``values[start:end]`` (values: mixed uint64)."""
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix64(h + (ends - starts).astype(np.uint64))
+def stretch_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ``values[start:end]`` of any stretches: polynomials modulo the prime 2**61 - 1."""
+    up, down = _base_powers(len(values) + 1)
+    terms = mulmod(_fold(values), up[: len(values)])
+    low, high = np.zeros(len(values) + 1, np.uint64), np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(terms & _LOW, out=low[1:])
+    np.cumsum(terms >> np.uint64(32), out=high[1:])
+    total = _fold(_fold(low) + mulmod(_fold(high), np.uint64(1 << 32)))
+    h = mulmod(_fold(total[ends] + (_PRIME - total[starts])), down[starts])
+    return mix64(h + (ends - starts).astype(np.uint64) * _STEP)
 
 
 @lru_cache(maxsize=1)
@@ -87,28 +136,31 @@ def _classes() -> np.ndarray:
     return table
 
 
-def segments(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts cut at the special string: pieces, the text of each piece, specials in each text."""
+def segments(texts: list[str], special: dict[str, int]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Texts cut at special strings, leftmost first and then longest: pieces, the text of each, the ids between pieces, specials in each text."""
+    cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
     pieces: list[str] = []
     owner: list[int] = []
-    special = np.zeros(len(texts), np.int64)
+    between: list[int] = []
+    count = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
-        if SPECIAL in t:
-            parts = t.split(SPECIAL)
-            special[i] = len(parts) - 1
-            pieces += parts
-            owner += [i] * len(parts)
-        else:
-            pieces.append(t)
-            owner.append(i)
-    return pieces, np.array(owner, np.int64), special
+        at = 0
+        if cut is not None:
+            for m in cut.finditer(t):
+                pieces.append(t[at : m.start()])
+                between.append(special[m[0]])
+                at = m.end()
+                count[i] += 1
+        pieces.append(t[at:])
+        owner += [i] * (int(count[i]) + 1)
+    return pieces, np.array(owner, np.int64), np.array(between, np.int64), count
 
 
 class Pieces:
-    """Pieces of a batch: start and end in ``cp``, the text each is of, and a hash."""
+    """Pieces of a batch: start and end in ``cp``, the text each is of, and two independent hashes."""
 
-    def __init__(self, cp, starts, ends, owner, hashes):
-        self.cp, self.starts, self.ends, self.owner, self.hashes = cp, starts, ends, owner, hashes
+    def __init__(self, cp, starts, ends, owner, hashes, checks):
+        self.cp, self.starts, self.ends, self.owner, self.hashes, self.checks = cp, starts, ends, owner, hashes, checks
 
     def strings(self, which: np.ndarray) -> list[str]:
         raw = self.cp.tobytes() if len(which) > 1000 else None
@@ -119,13 +171,13 @@ class Pieces:
 
 
 def pretokens(texts: list[str]) -> Pieces:
-    """Pre-tokens of texts that hold no special string (see :func:`segments`)."""
+    """Pre-tokens of texts that hold no special string (:func:`segments` cuts those out)."""
     end = b"\x00\x00\x11\x00"
     cp = np.frombuffer(b"".join([t.encode("utf-32-le") + end for t in texts]), "<u4")
     n = len(cp)
     if not n:
         none = np.zeros(0, np.int64)
-        return Pieces(cp, none, none, none, np.zeros(0, np.uint64))
+        return Pieces(cp, none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     kind = _classes()[cp]
     starts = np.empty(n, bool)
     starts[0] = True
@@ -161,7 +213,7 @@ def pretokens(texts: list[str]) -> Pieces:
     bounds, ends = bounds[real], ends[real]
     owner = np.searchsorted(np.flatnonzero(kind == END), bounds)
     values = mix64(cp.astype(np.uint64) + np.uint64(1))
-    return Pieces(cp, bounds, ends, owner, span_hashes(values, bounds, ends))
+    return Pieces(cp, bounds, ends, owner, piece_hashes(values, bounds, ends), piece_hashes(values, bounds, ends, 1))
 
 
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -181,8 +233,8 @@ class Words:
         self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
-def words(texts: list[bytes], lower: bool = False) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 texts; lower: A-Z count as a-z in the hashes."""
+def words(texts: list[bytes], lower: bool = False, salt: int = 0) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 texts; lower: A-Z count as a-z in the hashes; salt: see :func:`piece_hashes`."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     blank = _BLANK[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
@@ -190,7 +242,7 @@ def words(texts: list[bytes], lower: bool = False) -> Words:
     offsets = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
     owner = np.searchsorted(offsets, starts, side="right")
     values = _BYTES[_LOWER[data] if lower else data]
-    return Words(data, starts, ends, owner, span_hashes(values, starts, ends), len(texts))
+    return Words(data, starts, ends, owner, piece_hashes(values, starts, ends, salt), len(texts))
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
