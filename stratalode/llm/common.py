@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (local tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset one of our own, in local mode only: no other machine reads it."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="stratalode-")
         context.setCheckpointDir(folder)
     return folder
@@ -51,14 +54,42 @@ class Scratch:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+ROW = "__row"
+
+
+def own_rows(rows: DataFrame, scratch: Scratch, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
+    """(rows under ids of their own, (``ROW``, given id) of each row).
+
+    Where no id repeats and none is null these are the rows as they are, and
+    None. Else the rows are written in the order of their ids, null last, and
+    numbered in that order, so that a smaller number is never a larger id.
+    """
+    if not rows.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count():
+        return rows, None
+    ordered = rows.orderBy(F.col(id_col).asc_nulls_last(), *[c for c in rows.columns if c != id_col]).withColumn(ROW, F.monotonically_increasing_id())
+    written = scratch.write(ordered, "own-rows")
+    return written.withColumn(id_col, F.col(ROW)).drop(ROW), written.select(ROW, id_col)
+
+
+def given_ids(result: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """result with the ids that rows were given in place of their numbers, in each of the columns."""
+    if names is None:
+        return result
+    order = result.columns
+    for c in columns:
+        result = result.join(names.select(F.col(ROW).alias(c), F.col(names.columns[1]).alias("__given")), c).withColumn(c, F.col("__given")).drop("__given")
+    return result.select(*order)
+
+
 def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): rows (node, component), component the smallest node.
 
     Alternates two steps until no label falls: every node takes the smallest
-    label among its neighbours (sums are combined before they are shuffled, so
-    a hub costs one row per task), then labels are replaced by the labels of
-    their labels, which halves the height of the label trees. Only nodes with
-    an edge are returned. Each round's labels are a written table.
+    label among its neighbours, then labels are replaced by the labels of their
+    labels, which halves the height of the label trees. Minima are combined
+    before they are shuffled; the join that gives a hub's edges its label is
+    one that Spark splits where it is skewed. Only nodes with an edge are
+    returned. Each round's labels are a written table.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
     both = scratch.write(both, "edges")
