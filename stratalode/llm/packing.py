@@ -1,13 +1,15 @@
 """Hierarchical multi-length packing.
 
 Documents are routed by length to context tiers (powers of two up to the
-window). The tiers are queues, not packed at sizes of their own: a document
-longer than the window gives full windows, its rest goes on to the tier of the
-rest's length; sequences of the window's length take whole pieces from all
-tiers, longest first, before anything is cut; what no document fills is cut
-into sequences of a lower power of two, so nothing is padded. Sequences are
-then cut, as they come, into step groups of at most ``step_tokens`` tokens a
-task; tiers are not balanced over them.
+window); a document longer than the window gives full windows, and its rest is
+routed. Each tier, the longest first, is packed into sequences of its own size:
+a sequence begins with the tier's longest document that waits, its gap takes
+whole documents of the shorter tiers, longest first, and what no whole one
+fills takes the beginning of the shortest that waits; that one's rest goes to
+the tier of its length. So every sequence is full and nothing is padded; what is
+left of a task's last, unfilled sequence becomes lower powers of two. Sequences
+are then dealt, tier by tier, to step groups of about equal tokens, each group
+with its share of every tier.
 
 Each task packs the documents of its own input partition and holds one buffer
 of tokens at a time, so nothing is shuffled and a hot source or a very long
@@ -19,7 +21,8 @@ packs the same rows.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from bisect import bisect_right, insort
+from heapq import heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -37,66 +40,64 @@ PIECE = (
 PIECE_TYPES = [pa.int64()] * 10
 
 
-def pack_lengths(lengths: list[int], window: int, tiers: tuple[int, ...]) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (item, start, length) pieces that hold every token of the items once.
+Piece = tuple[int, int, int]  # item, start, length
 
-    All sequences but a few have the window's length; those few are shorter
-    powers of two. Items keep whole as far as a gap allows.
+
+def pack_lengths(lengths: list[int], window: int, tiers: tuple[int, ...]) -> list[tuple[int, list[Piece]]]:
+    """(tier, pieces) of sequences that hold every token of the items once.
+
+    All sequences but a few are as long as their tier; those few, of tier 0,
+    are lower powers of two. Items stay whole as far as a gap allows.
     """
-    out: list[list[tuple[int, int, int]]] = []
-    waiting: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # tier -> pieces, shortest tiers that hold them
+    out: list[tuple[int, list[Piece]]] = []
+    waiting: dict[int, list[tuple[int, int, int]]] = {t: [] for t in tiers}  # (length, item, start), shortest first
     for item, n in enumerate(lengths):
-        start = 0
-        while n - start >= window:
-            out.append([(item, start, window)])
-            start += window
-        if n > start:
-            rest = n - start
-            waiting[next(t for t in tiers if rest <= t)].append((item, start, rest))
-    for t in waiting:
-        waiting[t].sort(key=lambda p: (p[2], -p[0]))  # longest last: taken first
-    while any(waiting.values()):
-        sequence, room = [], window
-        for t in sorted(waiting, reverse=True):
-            line = waiting[t]
-            while line and line[-1][2] <= room:
-                piece = line.pop()
-                sequence.append(piece)
-                room -= piece[2]
-            if room and line:  # the longest doesn't fit: a shorter one of this tier may
-                k = _last_at_most(line, room)
-                while k >= 0:
-                    piece = line.pop(k)
-                    sequence.append(piece)
-                    room -= piece[2]
-                    k = _last_at_most(line, room)
-        if room:  # no whole piece fits: the shortest one that waits is cut
-            for t in sorted(waiting):
-                if waiting[t]:
-                    item, start, n = waiting[t].pop(0)
-                    sequence.append((item, start, room))
-                    left = (item, start + room, n - room)
-                    tier = next(x for x in tiers if left[2] <= x)
-                    line = waiting[tier]
-                    line.insert(_last_at_most(line, left[2]) + 1, left)
-                    room = 0
+        out += [(window, [(item, start, window)]) for start in range(0, n - window + 1, window)]
+        if n % window:
+            rest = n % window
+            waiting[next(t for t in tiers if rest <= t)].append((rest, item, n - rest))
+    for line in waiting.values():
+        line.sort()
+    for k in range(len(tiers) - 1, -1, -1):
+        own, shorter = waiting[tiers[k]], [waiting[t] for t in tiers[k::-1]]  # its own tier fills it too, where that fits
+        while own:
+            n, item, start = own.pop()
+            sequence, room = [(item, start, n)], tiers[k] - n
+            while room:
+                line = next((x for x in shorter if x and x[0][0] <= room), None)
+                if line is not None:  # the longest that fits
+                    n, item, start = line.pop(bisect_right(line, (room, len(lengths), 0)) - 1)
+                    sequence.append((item, start, n))
+                    room -= n
+                    continue
+                line = next((x for x in reversed(shorter) if x), None)
+                if line is None:
                     break
-        if room:
-            out += _powers(sequence, window - room)
-        else:
-            out.append(sequence)
+                n, item, start = line.pop(0)
+                sequence.append((item, start, room))
+                insort(waiting[next(t for t in tiers if n - room <= t)], (n - room, item, start + room))
+                room = 0
+            if room:
+                out += [(0, s) for s in _powers(sequence, tiers[k] - room)]
+            else:
+                out.append((tiers[k], sequence))
     return out
 
 
-def _last_at_most(line: list[tuple[int, int, int]], room: int) -> int:
-    lo, hi = 0, len(line)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if line[mid][2] <= room:
-            lo = mid + 1
-        else:
-            hi = mid
-    return lo - 1
+def deal(used: list[int], step_tokens: int) -> list[int]:
+    """Step group of each sequence, by the tokens it holds: as few groups as can be, each of at most step_tokens.
+
+    The longest are dealt first, each to the group with the fewest tokens; as
+    lengths are powers of two, groups differ by less than one sequence and each
+    gets its share of every length.
+    """
+    groups = [(0, g) for g in range(-(-sum(used) // step_tokens))]
+    out = [0] * len(used)
+    for s in sorted(range(len(used)), key=lambda s: -used[s]):
+        tokens, g = groups[0]
+        out[s] = g
+        heapreplace(groups, (tokens + used[s], g))
+    return out
 
 
 def _powers(pieces: list[tuple[int, int, int]], n: int) -> list[list[tuple[int, int, int]]]:
@@ -135,37 +136,37 @@ def pack(
     one piece; repeated rows are packed each. window and tiers: powers of two.
     buffer_tokens: a task packs whenever it holds that many (memory bound, not
     a limit of the input); only the last, unfilled window of a task is carried.
-    step_group: sequences of a task in runs of at most step_tokens tokens.
+    step_group: groups of a task's buffer of at most step_tokens tokens (a
+    multiple of the window), equal to within one sequence. Ids are only handed
+    on: rows of one id and rows without one are packed each.
     """
 
     def run(batches):
         path = vocabulary or vocabulary_path()
         part = TaskContext.get().partitionId()
-        next_id = [part << 36]
-        step = [part << 36, 0]
+        next_id, next_group = part << 36, part << 36
         held: list[tuple[int, np.ndarray, int, int]] = []  # doc_id, ids, start of the ids in the document, tokens of the document
 
         def flush(last: bool):
-            nonlocal held
+            nonlocal held, next_id, next_group
             sequences = pack_lengths([len(x[1]) for x in held], window, tiers)
-            keep = []
-            if not last:  # what fills no window goes on to the next buffer
-                keep = [p for s in sequences if sum(x[2] for x in s) < window for p in s]
-                sequences = [s for s in sequences if sum(x[2] for x in s) == window]
+            keep: list[Piece] = []
+            if not last:  # what fills no sequence goes on to the next buffer
+                keep = [p for tier, s in sequences if not tier for p in s]
+                sequences = [x for x in sequences if x[0]]
+            used = [sum(p[2] for p in s) for _, s in sequences]
             columns = [[] for _ in PIECE_TYPES]
-            for s in sequences:
-                used, offset = sum(x[2] for x in s), 0
-                if step[1] + used > step_tokens:
-                    step[:] = [step[0] + 1, 0]
-                step[1] += used
-                for item, start, n in s:
+            for (tier, pieces), size, group in zip(sequences, used, deal(used, step_tokens), strict=True):
+                offset = 0
+                for item, start, n in pieces:
                     doc, ids, base, total = held[item]
                     crc = zlib.crc32(ids[start : start + n].astype("<u4").tobytes())
-                    row = (doc, base + start, n, crc, total, next_id[0], offset, used, next(t for t in (1, 2, 4, 8, 16, 32, 64, 128, *tiers) if used <= t), step[0])
+                    row = (doc, base + start, n, crc, total, next_id, offset, size, tier or size, next_group + group)
                     for c, x in zip(columns, row, strict=True):
                         c.append(x)
                     offset += n
-                next_id[0] += 1
+                next_id += 1
+            next_group += -(-sum(used) // step_tokens)
             held = [(held[i][0], held[i][1][s : s + n], held[i][2] + s, held[i][3]) for i, s, n in sorted(keep)]
             names = [f.split()[0] for f in PIECE.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PIECE_TYPES, strict=True)], names=names)
@@ -178,7 +179,7 @@ def pack(
                 ids, n = bpe.encode(some, path, "merge")
                 stop = np.cumsum(n)
                 for k, (s, e) in enumerate(zip((stop - n).tolist(), stop.tolist(), strict=True)):
-                    own = np.append(ids[s:e], np.uint16(end_id))
+                    own = np.append(ids[s:e], ids.dtype.type(end_id))
                     held.append((doc_ids[first + k], own, 0, len(own)))
                     waiting += len(own)
                 if waiting >= buffer_tokens:
