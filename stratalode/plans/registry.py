@@ -866,3 +866,7 @@ def _(events):
 @table_query("T05_dead_letters", "events", f"SELECT id, payload_json FROM ({QUEUE}) WHERE attempts>=10")
 def _(events):
     return jobs.exhausted(_queue(events))[0].select("id", "payload_json")
+
+
+# Those that show extraction add themselves.
+from . import extraction  # noqa: E402, F401

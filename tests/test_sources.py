@@ -8,61 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalode.operators import store
+from stratalode.plans.assembler import Assembler, op, u2
 from stratalode.sources import archives, config_files, extract
 from stratalode.sources.class_file import java_descriptor, java_name, java_number, modified_utf8, storable
 from stratalode.sources.interpreter import narrowed
 from stratalode.streaming import job_tracking, outbox
 
 
-class Assembler:
-    """A small class-file writer for tests."""
-
-    def __init__(self, name):
-        self.pool, self.at, self.wide = [], {}, 0
-        self.name, self.fields, self.methods, self.attributes = name, [], [], []
-
-    def add(self, tag, *body):
-        key = (tag, body)
-        if key not in self.at:
-            form = {1: None, 3: ">Bi", 4: ">Bf", 5: ">Bq", 6: ">Bd", 7: ">BH", 8: ">BH", 9: ">BHH", 10: ">BHH", 12: ">BHH", 15: ">BBH", 18: ">BHH"}[tag]
-            self.pool.append(struct.pack(">BH", 1, len(body[0])) + body[0] if tag == 1 else struct.pack(form, tag, *body))
-            self.at[key] = len(self.pool) + self.wide
-            self.wide += tag in (5, 6)
-        return self.at[key]
-
-    def utf8(self, s):
-        return self.add(1, s.encode())
-
-    def cls(self, n):
-        return self.add(7, self.utf8(n))
-
-    def text(self, s):
-        return self.add(8, self.utf8(s))
-
-    def ref(self, owner, name, descriptor, tag=10):
-        return self.add(tag, self.cls(owner), self.add(12, self.utf8(name), self.utf8(descriptor)))
-
-    def attribute(self, name, body):
-        return struct.pack(">HI", self.utf8(name), len(body)) + body
-
-    def method(self, name, descriptor, code, flags=9, handlers=(), locals_=8, more=()):
-        lines = self.attribute("LineNumberTable", struct.pack(">HHH", 1, 0, 7))
-        body = struct.pack(">HHI", 9, locals_, len(code)) + code + struct.pack(">H", len(handlers)) + b"".join(struct.pack(">HHHH", *h) for h in handlers)
-        attributes = [self.attribute("Code", body + struct.pack(">H", 1) + lines), *more]
-        self.methods.append(struct.pack(">HHHH", flags, self.utf8(name), self.utf8(descriptor), len(attributes)) + b"".join(attributes))
-
-    def field(self, name, descriptor, constant=None, flags=0x18):
-        attributes = [self.attribute("ConstantValue", struct.pack(">H", constant))] if constant else []
-        self.fields.append(struct.pack(">HHHH", flags, self.utf8(name), self.utf8(descriptor), len(attributes)) + b"".join(attributes))
-
-    def bytes(self):
-        this, parent = self.cls(self.name), self.cls("java/lang/Object")
-        tail = struct.pack(">HHHH", 1, this, parent, 0)
-        for part in (self.fields, self.methods, self.attributes):
-            tail += struct.pack(">H", len(part)) + b"".join(part)
-        return struct.pack(">IHHH", 0xCAFEBABE, 0, 61, len(self.pool) + self.wide + 1) + b"".join(self.pool) + tail
-
-
 def golden(data):
     """{value: usages}"""
     out = {}
@@ -72,14 +24,6 @@ def golden(data):
     return out
 
 
-def op(*parts):
-    return b"".join(bytes([p]) if isinstance(p, int) else p for p in parts)
-
-
-def u2(n):
-    return struct.pack(">h", n)
-
-
 def test_calls_fields_and_semantics():
     a = Assembler("p/Greeter")
     code = op(
