@@ -52,7 +52,16 @@ PROPERTY_ANNOTATIONS = (
     "jakarta.inject.Named",
     "javax.inject.Named",
 )
-SQL_ANNOTATIONS = tuple(f"{root}.persistence.{name}" for name in ("Table", "Column", "NamedQuery", "NamedNativeQuery") for root in ("jakarta", "javax"))
+SQL_ANNOTATIONS = (
+    "jakarta.persistence.Table",
+    "javax.persistence.Table",
+    "jakarta.persistence.Column",
+    "javax.persistence.Column",
+    "jakarta.persistence.NamedQuery",
+    "javax.persistence.NamedQuery",
+    "jakarta.persistence.NamedNativeQuery",
+    "javax.persistence.NamedNativeQuery",
+)
 REGEX_ANNOTATIONS = ("jakarta.validation.constraints.Pattern", "javax.validation.constraints.Pattern")
 
 #: rule id -> semantic type, metadata keys of class and method, ((classes, methods, confidence), ...); the first part that fits gives the confidence

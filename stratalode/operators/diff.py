@@ -47,7 +47,7 @@ def effective_pair(cat: Catalogue, project: str, old: int, new: int, match_conta
     known = {r[0] for r in cat.versions.where((F.col("project") == project) & F.col("version").isin(old, new)).select("version").distinct().collect()}
     if not {old, new} <= known:
         raise LookupError(f"{project} has no version {sorted({old, new} - known)}")
-    units = V.effective(cat, False, project, match_container)
+    units = V.effective(cat, False, project, match_container, wanted=(old, new))
     return unit_matches(units.where(F.col("version") == old), units.where(F.col("version") == new))
 
 

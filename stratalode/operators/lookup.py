@@ -12,11 +12,13 @@ from . import versions as V
 def merged_constants(cat: Catalogue, snapshots: DataFrame) -> DataFrame:
     """(snapshot_id, value, value_type, usages) of snapshots (snapshot_id).
 
-    Constants of one value are one: usages together, the first one's type.
+    Constants of one value are one: usages together, the first one's type. Only
+    usages of the snapshots' own constants are gathered.
     """
     usage = F.struct("structural_type", "semantic_type_kind", "semantic_type_name", "location_method_name", "location_line_number", "confidence")
-    usages = cat.usages.groupBy("constant_id").agg(F.collect_list(usage).alias("usages"))
-    rows = cat.constants.join(snapshots.select("snapshot_id"), "snapshot_id", "left_semi").withColumnRenamed("id", "constant_id").join(usages, "constant_id", "left")
+    own = cat.constants.join(snapshots.select("snapshot_id"), "snapshot_id", "left_semi").withColumnRenamed("id", "constant_id")
+    usages = cat.usages.join(own.select("constant_id"), "constant_id", "left_semi").groupBy("constant_id").agg(F.collect_list(usage).alias("usages"))
+    rows = own.join(usages, "constant_id", "left")
     merged = rows.groupBy("snapshot_id", F.col("constant_value").alias("value")).agg(
         F.min_by("constant_value_type", "constant_id").alias("value_type"), F.sort_array(F.flatten(F.collect_list("usages"))).alias("usages")
     )
@@ -25,7 +27,7 @@ def merged_constants(cat: Catalogue, snapshots: DataFrame) -> DataFrame:
 
 def find_unit(cat: Catalogue, project: str, path: str, version: int) -> DataFrame:
     """(value, value_type, usages) of a unit, its own or inherited; no rows if there is none."""
-    unit = V.effective(cat, True, project, match_container=True).where((F.col("version") == version) & (F.col("path") == path))
+    unit = V.effective(cat, True, project, match_container=True, wanted=(version,)).where((F.col("version") == version) & (F.col("path") == path))
     return merged_constants(cat, unit).drop("snapshot_id")
 
 

@@ -1,12 +1,16 @@
 """Text search over units: documents, postings, exact, prefix and fuzzy tokens, BM25 ranks.
 
-A unit's document holds its constants' values; the postings (doc_id, token, tf)
-and lengths are plain tables, so an index is written once and read by token.
+A unit's document holds its constants' values. An index is three tables: the
+postings (doc_id, token, tf), the distinct tokens and the documents' lengths; it
+is written once (:func:`write_index`) and read by token. What a query's tokens
+meet is looked for among the distinct tokens, then joined with their postings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Catalogue
@@ -48,6 +52,35 @@ def postings(docs: DataFrame, id_col: str, values: Column) -> DataFrame:
     return rows.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
+@dataclass
+class Index:
+    """postings (doc_id, token, tf), tokens (token), lengths (doc_id, len)."""
+
+    postings: DataFrame
+    tokens: DataFrame
+    lengths: DataFrame
+
+    @classmethod
+    def of(cls, posting: DataFrame) -> Index:
+        """The index that postings make, not written."""
+        return cls(posting, posting.select("token").distinct(), posting.groupBy("doc_id").agg(F.sum("tf").alias("len")))
+
+    @classmethod
+    def at(cls, spark: SparkSession, path: str) -> Index:
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "tokens", "lengths")])
+
+
+def write_index(docs: DataFrame, id_col: str, values: Column, path: str) -> Index:
+    """Writes the index of documents under a folder, postings sorted by token, and opens it."""
+    spark = docs.sparkSession
+    posting = postings(docs, id_col, values)
+    posting.repartitionByRange("token").sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    made = Index.of(spark.read.parquet(f"{path}/postings"))
+    made.tokens.write.mode("overwrite").parquet(f"{path}/tokens")
+    made.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    return Index.at(spark, path)
+
+
 def close(token: Column, asked: str, distance: int, transpositions: bool = False) -> Column:
     """Whether a token is within an edit distance of what is asked; with transpositions two neighbours that change places are one edit."""
     if distance == 0:
@@ -68,26 +101,26 @@ def check_request(rows: int | None, fuzzy: int | None) -> tuple[int, int]:
     return min(100, max(1, 10 if rows is None else rows)), fuzzy
 
 
-def matches(posting: DataFrame, asked: list[str], distance: int, transpositions: bool = False) -> DataFrame:
+def matches(index: Index, asked: list[str], distance: int, transpositions: bool = False) -> DataFrame:
     """(doc_id, q, token, tf, exact, prefix) of the postings that a query's tokens meet.
 
-    The query's few tokens are literals of one filter, so the postings are
-    read once and nothing is joined.
+    The query's few tokens are literals of one filter over the distinct tokens;
+    those that are met are joined with their postings.
     """
     hits = []
     for q in dict.fromkeys(asked):
         exact = close(F.col("token"), q, distance, transpositions)
         prefix = F.col("token").startswith(q) & F.lit(LEAST_GRAM <= len(q) <= MOST_GRAM)
         hits.append(F.when(exact | prefix, F.struct(F.lit(q).alias("q"), exact.alias("exact"), prefix.alias("prefix"))))
-    found = posting.withColumn("hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
-    return found.select("doc_id", "token", "tf", "hit.q", "hit.exact", "hit.prefix")
+    met = index.tokens.select("token", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("hit"))
+    return index.postings.join(met, "token").select("doc_id", "token", "tf", "hit.q", "hit.exact", "hit.prefix")
 
 
-def ranked(posting: DataFrame, asked: list[str], distance: int = 1, transpositions: bool = False) -> DataFrame:
+def ranked(index: Index, asked: list[str], distance: int = 1, transpositions: bool = False) -> DataFrame:
     """(doc_id, score): for each query token the better of twice its BM25 as a word and its BM25 as a beginning, summed; 6 decimals."""
-    lengths = posting.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+    lengths = index.lengths
     whole = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    found = matches(posting, asked, distance, transpositions)
+    found = matches(index, asked, distance, transpositions)
     per = found.groupBy("doc_id", "q").agg(F.sum(F.when(F.col("exact"), F.col("tf"))).alias("tf_w"), F.sum(F.when(F.col("prefix"), F.col("tf"))).alias("tf_p"))
     df = per.groupBy("q").agg(F.count("tf_w").alias("df_w"), F.count("tf_p").alias("df_p"))
     rows = per.join(F.broadcast(df), "q").join(lengths, "doc_id").crossJoin(F.broadcast(whole))  # a row a query token, and one row
@@ -107,14 +140,25 @@ def phrase_boost(docs: DataFrame, id_col: str, values: Column, asked: list[str],
     return docs.where(holds).select(F.col(id_col).alias("doc_id"), F.lit(boost).alias("boost"))
 
 
-def search(docs: DataFrame, term: str, *, project: str | None = None, rows: int | None = None, fuzzy: int | None = None, transpositions: bool = False) -> DataFrame:
-    """Best documents of a term, with ``total_found``; a null or blank project is all of them."""
+def search(
+    docs: DataFrame, term: str, *, project: str | None = None, rows: int | None = None, fuzzy: int | None = None, transpositions: bool = False, index: Index | None = None
+) -> DataFrame:
+    """Best documents of a term, with ``total_found``; a null or blank project is all of them.
+
+    index: one that is written, of docs; else it is made for this search. Ranks
+    are over the documents of the project.
+    """
     rows, distance = check_request(rows, fuzzy)
-    if project and project.strip():
+    scoped = bool(project and project.strip())
+    if scoped:
         docs = docs.where(F.col("project") == project)
     asked = [t.lower() for t in term.split()]
-    posting = postings(docs, "id", F.col("constant_values"))
-    scored = ranked(posting, asked, distance, transpositions)
+    if index is None:
+        index = Index.of(postings(docs, "id", F.col("constant_values")))
+    elif scoped:
+        ids = docs.select(F.col("id").alias("doc_id"))
+        index = Index(index.postings.join(ids, "doc_id", "left_semi"), index.tokens, index.lengths.join(ids, "doc_id", "left_semi"))
+    scored = ranked(index, asked, distance, transpositions)
     boost = phrase_boost(docs, "id", F.col("constant_values"), asked)
     scored = scored.join(boost, "doc_id", "left").select("doc_id", (F.col("score") + F.coalesce("boost", F.lit(0.0))).alias("score"))
     total = F.broadcast(scored.agg(F.count(F.lit(1)).alias("total_found")))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -53,6 +57,59 @@ def clear(table: DataFrame, path: str) -> None:
     table.limit(0).write.mode("overwrite").parquet(path)
 
 
+def clear_all(spark: SparkSession, root: str, names: tuple[str, ...]) -> None:
+    """Leaves every table under a folder, a search index's too, empty."""
+    for name in names:
+        clear(spark.read.parquet(f"{root}/{name}"), f"{root}/{name}")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables: under spark.checkpoint.dir, or of this machine where that is unset and Spark runs on it alone."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="stratalode-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+class Rounds:
+    """A table that is written anew each round, under the round's name; a round that is repeated overwrites itself.
+
+    A round's rows come from the last one before it, so a repeat starts from
+    what the first try started from.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def before(self, name: str | None = None) -> DataFrame:
+        """Rows as the last round left them; name: the last before that one."""
+        rounds = self._read("rounds", "round string, rows long")
+        if name is not None:
+            rounds = rounds.where(F.col("round") < name)
+        last = rounds.agg(F.max("round")).first()[0]
+        if last is None:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/rows/{last}")
+
+    def last(self) -> str | None:
+        return self._read("rounds", "round string, rows long").agg(F.max("round")).first()[0]
+
+    def write(self, name: str, rows: DataFrame) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{self.path}/rows/{name}")
+        written = self.spark.read.schema(rows.schema).parquet(f"{self.path}/rows/{name}")
+        told = self.spark.createDataFrame([(name, written.count())], "round string, rows long")
+        told.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/rounds/of={name}")  # last: the round counts from here
+        return written
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{name}")
+
+
 def snapshot_json(constants: DataFrame) -> DataFrame:
     """(unit_name, json) of (unit_name, source_kind, value, usages array<string>): one document a unit, constants by value."""
     items = F.sort_array(F.collect_list(F.struct("value", "usages")))

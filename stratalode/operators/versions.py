@@ -14,21 +14,22 @@ class VersionConflict(Exception):
     """The version's state doesn't allow it."""
 
 
-def chain(versions: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
-    """(project, version, anc, depth): each version with its ancestors, itself at depth 0.
+def chain(versions: DataFrame, most_depth: int = MOST_DEPTH, wanted: tuple[int, ...] | None = None) -> DataFrame:
+    """(project, version, anc, depth): each version with its ancestors, itself at depth 0; wanted: of these versions only.
 
-    A recursive query over the version edges, which are few beside the facts;
-    give it the versions asked for only, so that it stays small.
+    A recursive query over the version edges, which are few beside the facts.
     """
     spark = versions.sparkSession
+    begin = versions if wanted is None else versions.where(F.col("version").isin(*wanted))
     return spark.sql(
         """WITH RECURSIVE chain(project, version, anc, depth) AS (
-             SELECT project, version, version, 0 FROM {versions}
+             SELECT project, version, version, 0 FROM {begin}
              UNION ALL
              SELECT c.project, c.version, p.parent_version, c.depth + 1
              FROM chain c JOIN {versions} p ON p.project = c.project AND p.version = c.anc
              WHERE p.parent_version IS NOT NULL AND c.depth < {most})
            SELECT * FROM chain""",
+        begin=begin.select("project", "version"),
         versions=versions.select("project", "version", "parent_version"),
         most=most_depth,
     )
@@ -40,18 +41,21 @@ def cutoffs(steps: DataFrame, deletions: DataFrame) -> DataFrame:
     return steps.join(dead, ["project", "anc"]).groupBy("project", "version", "path").agg(F.min("depth").alias("cutoff"))
 
 
-def effective(cat: Catalogue, own_level_wins: bool, project: str | None = None, match_container: bool = False, most_depth: int = MOST_DEPTH) -> DataFrame:
+def effective(
+    cat: Catalogue, own_level_wins: bool, project: str | None = None, match_container: bool = False, most_depth: int = MOST_DEPTH, wanted: tuple[int, ...] | None = None
+) -> DataFrame:
     """(project, version, path, snapshot_id, depth): units a version has, its own or inherited.
 
     The nearest ancestor's unit counts unless a tombstone hides it. With
     own_level_wins (lookup) a unit stored beside a tombstone of its own version
     stays; without it (diff) the tombstone hides it too. match_container also
     takes units inside archives, whose name isn't their descriptor's path.
+    wanted: of these versions only.
     """
     versions, descriptors, deletions = cat.versions, cat.descriptors, cat.deletions
     if project is not None:
         versions, descriptors, deletions = (t.where(F.col("project") == project) for t in (versions, descriptors, deletions))
-    steps = chain(versions, most_depth)
+    steps = chain(versions, most_depth, wanted)
     units = descriptors.select(F.col("id").alias("descriptor_id"), "project", F.col("version").alias("anc"), F.col("path").alias("container"))
     units = units.join(cat.snapshots.select(F.col("id").alias("snapshot_id"), "descriptor_id", F.col("unit_name").alias("path")), "descriptor_id")
     if not match_container:
@@ -66,7 +70,8 @@ def effective(cat: Catalogue, own_level_wins: bool, project: str | None = None,
 def removals(cat: Catalogue, project: str, version: int, uploaded: DataFrame) -> DataFrame:
     """(unit_path): what the parent has and ``uploaded`` (path) lacks; nothing without a parent."""
     parent = cat.versions.where((F.col("project") == project) & (F.col("version") == version)).select("project", F.col("parent_version").alias("version"))
-    has = effective(cat, True, project).join(parent, ["project", "version"], "left_semi").select("path")
+    above = tuple(r[0] for r in parent.where("version is not null").select("version").distinct().collect())  # one, or none
+    has = effective(cat, True, project, wanted=above or (version,)).join(parent, ["project", "version"], "left_semi").select("path")
     return has.join(uploaded.select("path"), "path", "left_anti").select(F.col("path").alias("unit_path")).distinct()
 
 

@@ -6,18 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import jobs
+from ..operators import jobs, store
+
+KINDS = ("started", "processed", "failed", "completed")
 
 
 def track(steps: DataFrame, by: list[str]) -> DataFrame:
-    """Counters of a batch or stream of steps; in a stream, state is one row per job."""
+    """Counters of a batch of steps, or of a stream's (state is one row per job)."""
     return jobs.job_counters(steps, by)
 
 
-def start(spark: SparkSession, source: str, schema, table: str, checkpoint: str, by: list[str], kind) -> StreamingQuery:
-    """Tracks jobs from a folder of step files into a memory table of the given name."""
+class Jobs:
+    """The jobs' table under a folder, one row a job: counts of its steps, summed over micro-batches, and what they tell."""
+
+    def __init__(self, spark: SparkSession, path: str, by: list[str], key_schema: str):
+        self.by = by
+        self.totals = store.Rounds(spark, path, ", ".join([key_schema, *(f"{k} long" for k in KINDS)]))
+
+    def batch(self, steps: DataFrame, number: int) -> None:
+        name = f"{number:012}"
+        counts = steps.groupBy(*self.by).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in KINDS])
+        both = self.totals.before(name).unionByName(counts).groupBy(*self.by).agg(*[F.sum(k).alias(k) for k in KINDS])
+        self.totals.write(name, both)
+
+    def table(self) -> DataFrame:
+        """(keys, nested_processed, nested_failed, nested_total, status)."""
+        status = F.when(F.col("completed") > 0, "COMPLETED").when(F.col("failed") > 0, "FAILED").otherwise("STARTED")
+        done, failed = F.col("processed"), F.col("failed")
+        return self.totals.before().select(*self.by, done.alias("nested_processed"), failed.alias("nested_failed"), (done + failed).alias("nested_total"), status.alias("status"))
+
+
+def start(spark: SparkSession, source: str, schema, path: str, checkpoint: str, by: list[str], key_schema: str, kind) -> StreamingQuery:
+    """Tracks jobs from a folder of step files into the table of :class:`Jobs` under path."""
     steps = spark.readStream.schema(schema).parquet(source).withColumn("kind", kind)
-    return track(steps, by).writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return steps.writeStream.foreachBatch(Jobs(spark, path, by, key_schema).batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def progress(steps: DataFrame, every: int = 1000) -> DataFrame:

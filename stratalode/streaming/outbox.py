@@ -10,38 +10,79 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import jobs, store
 
+Deliver = Callable[[DataFrame], DataFrame]
+
 
 def enqueue(units: DataFrame, now) -> DataFrame:
     """Queue rows of stored units (id, project, unit_path, version, payload_json)."""
     return units.select("id", "project", "unit_path", "version", "payload_json", F.lit(0).alias("attempts"), now.alias("next_attempt_at"))
 
 
-def drain_once(queue: DataFrame, now, deliver: Callable[[DataFrame], DataFrame], most: int = jobs.MOST_ATTEMPTS, batch: int = jobs.BATCH) -> tuple[DataFrame, DataFrame, DataFrame]:
+def attempted(claimed: DataFrame, deliver: Deliver, now, most: int = jobs.MOST_ATTEMPTS) -> tuple[DataFrame, DataFrame]:
+    """(claimed rows delivered, the others with one attempt more and a later time).
+
+    deliver: claimed rows to (id, ok, corrupt); a row that it doesn't answer
+    has failed. Callers write the answer first, so that it is asked for once.
+    """
+    told = claimed.join(deliver(claimed).select("id", "ok", "corrupt"), "id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("ok", "corrupt")})
+    done = told.where("ok and not corrupt").select(*claimed.columns)
+    return done, jobs.after_attempt(told, now, ~F.col("ok"), F.col("corrupt"), most).select(*claimed.columns)
+
+
+def drain_once(queue: DataFrame, now, deliver: Deliver, most: int = jobs.MOST_ATTEMPTS, batch: int = jobs.BATCH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(queue after, dead letters, delivered) of one round.
 
-    deliver: claimed rows to (id, ok, corrupt). What isn't claimed stays as it
-    is, delivered rows go, failed ones wait, those out of attempts are dead.
+    What isn't claimed stays as it is, delivered rows go, failed ones wait,
+    those out of attempts are dead.
     """
-    claimed = jobs.claim(queue, now, most, batch)
-    told = claimed.join(deliver(claimed), "id")
-    back = jobs.after_attempt(told, now, ~F.col("ok"), F.col("corrupt"), most).select(*queue.columns)
-    rest = store.upsert(queue, back, ["id"]).join(told.where("ok and not corrupt").select("id"), "id", "left_anti")
+    done, back = attempted(jobs.claim(queue, now, most, batch), deliver, now, most)
+    rest = store.upsert(queue, back, ["id"]).join(done.select("id"), "id", "left_anti")
     dead, alive = jobs.exhausted(rest, most)
-    return alive, dead, told.where("ok and not corrupt").select("id")
+    return alive, dead, done.select("id")
+
 
+class Outbox:
+    """The queue's tables under a folder: rows that wait, delivered ones and dead letters, each written round by round."""
 
-def start(
-    spark: SparkSession, source: str, schema, sink: str, dead: str, checkpoint: str, *, deliver: Callable[[DataFrame], DataFrame], most_files: int = 1, once: bool = True, interval: str = "5 seconds"
-) -> StreamingQuery:
-    """Drains a folder of queue files as a stream; each micro-batch is written under its number, so a repeat overwrites itself."""
+    def __init__(self, spark: SparkSession, path: str, schema: str, deliver: Deliver, most: int = jobs.MOST_ATTEMPTS):
+        self.spark, self.path, self.deliver, self.most = spark, path, deliver, most
+        self.waiting = store.Rounds(spark, f"{path}/waiting", schema)
 
-    def batch(df: DataFrame, number: int) -> None:
-        told = df.join(deliver(df), "id")
-        told.where("ok and not corrupt").drop("ok", "corrupt").write.mode("overwrite").parquet(f"{sink}/batch={number}")
-        told.where("not ok or corrupt").drop("ok", "corrupt").write.mode("overwrite").parquet(f"{dead}/batch={number}")
+    def round(self, name: str, fresh: DataFrame | None = None, now=None) -> None:
+        """Tries fresh rows and those of the last round that are due; the others wait. The same name again gives the same."""
+        now = F.current_timestamp() if now is None else now
+        before = self.waiting.before(name)
+        if fresh is not None:
+            before = before.unionByName(fresh.select(*before.columns))
+        due = F.coalesce(F.col("next_attempt_at") <= now, F.lit(True))
+        claimed = before.where(due)
+        told = claimed.join(self.deliver(claimed).select("id", "ok", "corrupt"), "id", "left")
+        told.write.mode("overwrite").parquet(f"{self.path}/answers/{name}")  # delivery is asked for once a round
+        told = self.spark.read.schema(told.schema).parquet(f"{self.path}/answers/{name}")
+        done, back = attempted(told.select(*before.columns), lambda _: told, now, self.most)
+        dead, alive = jobs.exhausted(back, self.most)
+        done.write.mode("overwrite").parquet(f"{self.path}/delivered/round={name}")
+        dead.write.mode("overwrite").parquet(f"{self.path}/dead/round={name}")
+        self.waiting.write(name, before.where(~due).unionByName(alive))
 
+    def batch(self, fresh: DataFrame, number: int) -> None:
+        """A micro-batch of the stream."""
+        self.round(f"{number:012}-0000", fresh)
+
+    def retry(self, now=None) -> None:
+        """A round without fresh rows, between micro-batches: what is due is tried."""
+        number, _, again = (self.waiting.last() or "000000000000-0000").partition("-")
+        self.round(f"{number}-{int(again) + 1:04}", now=now)
+
+
+def start(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, *, deliver: Deliver, most_files: int = 1, once: bool = True, interval: str = "5 seconds") -> StreamingQuery:
+    """Drains a folder of queue files as a stream into the tables of an :class:`Outbox` under path.
+
+    Failed rows wait longer each time and are tried again by later
+    micro-batches, or by :meth:`Outbox.retry` while nothing arrives.
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(source)
-    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(Outbox(spark, path, schema, deliver).batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 

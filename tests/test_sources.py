@@ -166,20 +166,40 @@ def test_queue_round(spark):
     assert {(r.id, r.attempts, str(r.next_attempt_at)) for r in alive.collect()} == {(0, 1, "2024-01-02 00:00:02"), (4, 1, "2024-01-02 00:00:02")}
 
 
+def test_queue_round_of_unanswered_rows(spark):
+    """A row that delivery doesn't answer has failed; it isn't lost."""
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    alive, dead, done = outbox.drain_once(queue(spark), now, lambda df: deliver(df).where("id <> 1"))
+    assert {r.id for r in done.collect()} == {5} and {r.id for r in dead.collect()} == {2, 3} and {(r.id, r.attempts) for r in alive.collect()} == {(0, 1), (1, 1), (4, 1)}
+
+
 def test_queue_stream(spark, tmp_path):
-    queue(spark).repartition(2).write.parquet(str(tmp_path / "q"))
-    q = outbox.start(spark, str(tmp_path / "q"), QUEUE, str(tmp_path / "sink"), str(tmp_path / "dead"), str(tmp_path / "cp"), deliver=deliver)
-    q.awaitTermination()
-    assert {r.id for r in spark.read.parquet(str(tmp_path / "sink")).collect()} == {1, 5}
-    assert {r.id for r in spark.read.parquet(str(tmp_path / "dead")).collect()} == {0, 2, 3, 4}
+    """Delivered rows leave; failed and unanswered ones wait, are tried when they are due and die after ten attempts; a repeated round changes nothing."""
+    queue(spark).coalesce(1).write.parquet(str(tmp_path / "q"))
+    path, asked = str(tmp_path / "out"), lambda df: deliver(df).where("id <> 1")
+    outbox.start(spark, str(tmp_path / "q"), QUEUE, path, str(tmp_path / "cp"), deliver=asked).awaitTermination()
+    box = outbox.Outbox(spark, path, QUEUE, asked)
+    read = lambda name: sorted(r.id for r in spark.read.parquet(f"{path}/{name}").collect())
+    assert read("delivered") == [5] and read("dead") == [2, 3]
+    assert {(r.id, r.attempts) for r in box.waiting.before().collect()} == {(0, 1), (1, 1), (4, 1)}
+    later = F.lit("2099-01-01 00:00:00").cast("timestamp")
+    box.retry(F.lit("2000-01-01 00:00:00").cast("timestamp"))  # nothing is due
+    assert {(r.id, r.attempts) for r in box.waiting.before().collect()} == {(0, 1), (1, 1), (4, 1)}
+    outbox.Outbox(spark, path, QUEUE, lambda df: df.select("id", F.lit(True).alias("ok"), F.lit(False).alias("corrupt")).where("id <> 4")).retry(later)
+    assert read("delivered") == [0, 1, 5] and [(r.id, r.attempts) for r in box.waiting.before().collect()] == [(4, 2)]
+    last = box.waiting.last()
+    box.round(last, now=later)  # a repeat starts from the round before
+    assert box.waiting.last() == last and {(r.id, r.attempts) for r in box.waiting.before().collect()} == {(0, 2), (1, 2), (4, 2)}
 
 
 def test_job_stream(spark, tmp_path):
-    steps = spark.createDataFrame([(1, "started"), (1, "processed"), (1, "failed"), (2, "processed"), (2, "completed")], "job long, k string")
-    steps.write.parquet(str(tmp_path / "s"))
-    q = job_tracking.start(spark, str(tmp_path / "s"), "job long, k string", "tracked", str(tmp_path / "cp"), ["job"], F.col("k"))
-    q.awaitTermination()
-    assert {tuple(r) for r in spark.table("tracked").collect()} == {(1, 1, 1, 2, "FAILED"), (2, 1, 0, 1, "COMPLETED")}
+    """Counters go on over restarts of the stream."""
+    schema, by = "job long, k string", ["job"]
+    for steps in ([(1, "started"), (1, "processed"), (1, "failed"), (2, "processed")], [(2, "completed"), (1, "processed")]):
+        spark.createDataFrame(steps, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+        job_tracking.start(spark, str(tmp_path / "s"), schema, str(tmp_path / "jobs"), str(tmp_path / "cp"), by, "job long", F.col("k")).awaitTermination()
+    got = job_tracking.Jobs(spark, str(tmp_path / "jobs"), by, "job long").table()
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 1, 3, "FAILED"), (2, 1, 0, 1, "COMPLETED")}
     assert [r.n for r in job_tracking.progress(spark.range(2500)).collect()] == [1000, 2000]
 
 
