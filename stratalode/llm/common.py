@@ -66,7 +66,8 @@ def own_rows(rows: DataFrame, scratch: Scratch, id_col: str = "doc_id") -> tuple
     """
     if not rows.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count():
         return rows, None
-    ordered = rows.orderBy(F.col(id_col).asc_nulls_last(), *[c for c in rows.columns if c != id_col]).withColumn(ROW, F.monotonically_increasing_id())
+    others = [c for c, kind in rows.dtypes if c != id_col and "map<" not in kind and kind != "variant"]  # those that have an order
+    ordered = rows.orderBy(F.col(id_col).asc_nulls_last(), *others).withColumn(ROW, F.monotonically_increasing_id())
     written = scratch.write(ordered, "own-rows")
     return written.withColumn(id_col, F.col(ROW)).drop(ROW), written.select(ROW, id_col)
 

@@ -13,8 +13,8 @@ beside the entity, so that whoever reads it knows the entity, and is 0 when the
 two are independent. All terms of all entities are scored, however rare: the
 prior, ``prior`` lines in which the two are independent, holds back what few
 lines say. In documents that hold the entity, a term whose disclosure reaches
-``generalise_at`` is replaced by its class, one that reaches ``remove_at`` is
-removed. ``least`` above 1 asks for so many unlike contexts (copies are one).
+``generalise_at`` is replaced by its class (number, code, name or word), one
+that reaches ``remove_at`` is removed. ``least`` above 1 asks for so many unlike contexts (copies are one).
 
 Patterns are written with possessive repetitions and look-behind, which find
 the same matches without backtracking, so a long run of digits or letters costs
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, given_ids, own_rows, table
 
 #: kind -> (what a text must hold, Java pattern); the order is the order of the result
 KINDS = {
@@ -39,8 +39,11 @@ KINDS = {
 }
 TERM = "term"
 _IP = rf"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]|[0-9]))(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]|[0-9])){{3}}$"
+#: what a term is generalised to: pattern -> class, the first that fits
+CLASSES = {r"^[\p{N}_'-]+$": "[NUMBER]", r"\p{N}": "[CODE]", r"^\p{Lu}": "[NAME]", "": "[WORD]"}
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}_'-]*+"
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32_000_000
 MATCH = "array<struct<place:int,kind:string,i:int,value:string,gap:int,wanted:boolean>>"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -105,13 +108,22 @@ def _gathered(rows: DataFrame, as_: str) -> DataFrame:
     return got.select("doc_id", F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))).alias(as_))
 
 
+def class_of(term: Column) -> Column:
+    """The class that a term is generalised to."""
+    out = F.lit(None).cast("string")
+    for pattern, name in reversed(CLASSES.items()):
+        out = F.when(term.rlike(pattern), name).otherwise(out)
+    return out
+
+
 def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _few(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has few rows and, as text, few bytes."""
+    size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_BYTES else df
 
 
 def _words(text: Column) -> Column:
@@ -202,31 +214,38 @@ def find_pii(
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) of each row.
 
-    Null and empty texts have no spans. Rows that repeat are listed each, but
-    ids are taken as unique. Other columns are ignored.
+    Null and empty texts have no spans. Rows of one id are documents of their
+    own, and so are rows without one. Other columns are ignored.
     """
-    found, _ = find_pii(docs, id_col, text_col, **options)
+    scratch = options.pop("scratch", None) or Scratch(docs.sparkSession, "pii")
+    docs, names = own_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), scratch)
+    found, _ = find_pii(docs, scratch=scratch, **options)
     none = F.array().cast(SPAN)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id")).join(found, "doc_id", "left")
+    rows = docs.select("doc_id").join(found, "doc_id", "left")
     rows = rows.select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return rows.select(
+    out = rows.select(
         "doc_id",
         *[count(kind) for kind in KINDS],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.concat("base", "terms")).alias("spans"),
         F.size("terms").cast("long").alias("n_term"),
     )
+    return given_ids(out, names, "doc_id")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, remove_at: float = 0.95, **options) -> DataFrame:
     """docs with ``text_col`` sanitised; all other columns and rows as they are.
 
-    Base spans become ``[KIND]``; a term becomes ``[TERM]``, or nothing from
-    remove_at on. Spans that overlap are replaced once, as the first of them.
-    Documents without spans keep their text byte for byte; null stays null.
+    Base spans become ``[KIND]``; a term becomes its class, see CLASSES, or
+    nothing from remove_at on. Spans that overlap are replaced once, as the
+    first of them. Documents without spans keep their text byte for byte; null
+    stays null. Rows of one id are documents of their own, and so are rows
+    without one.
     """
-    found, _ = find_pii(docs, id_col, text_col, **options)
+    scratch = options.pop("scratch", None) or Scratch(docs.sparkSession, "pii")
+    docs, names = own_rows(docs, scratch, id_col)
+    found, _ = find_pii(docs, id_col, text_col, scratch=scratch, **options)
     key = "__pii_doc"
     all_ = F.array_sort(F.concat("base", "terms"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     keep = "aggregate(spans, cast(array() as array<struct<start:int,end:int,put:string>>), (done, s) -> if(size(done) = 0 or element_at(done, -1).end <= s.start, array_append(done, named_struct('start', s.start, 'end', s.end, 'put', s.put)), done))"
@@ -237,7 +256,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
             s["end"].alias("end"),
             F.when(s["kind"] != TERM, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
             .when(F.element_at("told", F.lower(s["value"])) >= remove_at, "")
-            .otherwise("[TERM]")
+            .otherwise(class_of(s["value"]))
             .alias("put"),
         ),
     )
@@ -248,7 +267,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         f" substring(`{text_col}`, element_at(__pii_cuts, -1).end + 1))"
     )
     text = F.when(F.col("__pii_cuts").isNull(), F.col(text_col)).otherwise(rebuilt)
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    return given_ids(joined.withColumn(text_col, text).select(*docs.columns), names, id_col)
 
 
 def op7_pii_sanitisation(spark, sf_dir):

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
+from .bpe import chunks
 from .common import table
-from .jaccard_join import _batches
 
 OWN = 14
 WIDTH = 3 * OWN + 2  # own, line before, line after, at the start, at the end
@@ -207,6 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, fit_lines
     The rows of smallest hash are taken, so the sample doesn't depend on how
     the tables are partitioned. Labels that are null are passed over.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     usable = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
     usable = usable.where(~held_out("doc_id"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
@@ -245,21 +246,28 @@ def quality_scores(
     threshold: float = 0.7,
     fit_rows: int = 4000,
     fit_lines: int = 128,
+    model: Model | None = None,
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row.
 
-    labels: (doc_id, quality). Null and empty texts are scored as one empty
-    line. Without labels of both kinds every score is the one label, or 1.
+    labels: (doc_id, quality); of unlike labels of one id the lower counts.
+    Null and empty texts are scored as one empty line. Without labels of both
+    kinds every score is the one label, or 1. model: one that is fitted already.
+    Each row is scored for itself,
+    rows of one id and rows without one too (these aren't held out). Other
+    columns are ignored.
     """
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model = one.sparkSession.sparkContext.broadcast(train(one, labels, fit_rows=fit_rows, fit_lines=fit_lines))
+    given = one.sparkSession.sparkContext.broadcast(model or train(one, labels, fit_rows=fit_rows, fit_lines=fit_lines))
 
     def run(batches):
-        for ids, texts in _batches(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(model.value.score(texts), pa.float64())], names=["doc_id", "score"])
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for first, part in chunks(texts, 700_000):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(given.value.score(part), pa.float64())], names=["doc_id", "score"])
 
     scored = one.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op4_quality_crf(spark, sf_dir):
