@@ -32,6 +32,7 @@ QUOTED = r"(?m)^(?:[ \t]*+>)++[^\n]*+(?:\n|\z)"
 ANNOUNCED = r"(?m)^[^\n>]*?(?:wrote|writes|schrieb|écrit|escribió):[ \t\r]*+\n(?=[ \t]*+>)"
 MARK = r"^((?:[ \t]*+>)++)"
 STRETCH = 1024
+NO_CONVERSATION = -(2**63)
 
 
 def normal(text: Column) -> Column:
@@ -75,10 +76,13 @@ def link_quotes(messages: DataFrame, scratch: Scratch) -> DataFrame:
     units = units.select("conv_id", "turn", F.explode("units").alias("said")).withColumn("h", F.xxhash64("said"))
     said = units.join(F.broadcast(hashes) if few else hashes, "h", "left_semi")
     said = scratch.write(said.groupBy("conv_id", "h", "said").agg(F.min("turn").alias("first")), "said")
-    anywhere = said.groupBy("h", "said").agg(F.min(F.struct("conv_id", "first")).alias("any"))
+    # The earliest of the corpus, and the earliest of the other conversations: one of them is elsewhere for any message.
+    anywhere = scratch.write(said.groupBy("h", "said").agg(F.min(F.struct("conv_id", "first")).alias("any")), "anywhere")
+    others = said.join(anywhere, ["h", "said"]).where("conv_id <> any.conv_id").groupBy("h", "said").agg(F.min(F.struct("conv_id", "first")).alias("other"))
+    anywhere = scratch.write(anywhere.join(others, ["h", "said"], "left"), "anywhere-else")
     here = asked.join(said, ["conv_id", "h", "said"], "left").select(asked["*"], F.when(F.col("first") < F.col("turn"), F.col("first")).alias("first"))
     both = here.join(anywhere, ["h", "said"], "left")
-    elsewhere = F.when(F.col("any.conv_id") != F.col("conv_id"), F.col("any"))
+    elsewhere = F.when(F.col("any.conv_id") != F.col("conv_id"), F.col("any")).otherwise(F.col("other"))
     source = F.when(F.col("first").isNotNull(), F.struct("conv_id", "first")).otherwise(elsewhere)
     votes = both.select("mid", "level", "place", "whole", F.col("first").isNotNull().alias("inside"), source.alias("source")).where("source is not null")
     votes = votes.groupBy("mid", "level", "place", "whole", "inside", "source").agg(F.count(F.lit(1)).alias("votes"))
@@ -106,21 +110,17 @@ def reply_paths(heads: DataFrame, scratch: Scratch) -> DataFrame:
     placed = scratch.write(_latest_start(heads, starts), "placed")
     branches = placed.where("branch = turn").select("conv_id", F.col("turn").alias("branch"), F.col("reply_to").alias("parent"))
     up = placed.select("conv_id", F.col("turn").alias("parent"), F.col("branch").alias("upper"))
-    waiting = scratch.write(branches.join(up, ["conv_id", "parent"], "left"), "branches-0")
-    empty = F.array().cast("array<long>")
     own = F.array(F.col("parent"), F.col("branch")).cast("array<long>")
-    done = waiting.where("upper is null").select("conv_id", "branch", own.alias("head"))
-    level, parts = 0, [done]
-    while True:  # one level of nesting a round
-        level += 1
-        here = waiting.where("upper is not null").join(parts[-1].select("conv_id", F.col("branch").alias("upper"), F.col("head").alias("over")), ["conv_id", "upper"])
-        here = scratch.write(here.select("conv_id", "branch", F.concat("over", own).alias("head")), f"branches-{level}")
-        if not here.limit(1).count():
-            break
-        parts.append(here)
-    heads_ = parts[0]
-    for p in parts[1:]:
-        heads_ = heads_.union(p)
+    heads_ = scratch.write(branches.join(up, ["conv_id", "parent"], "left").select("conv_id", "branch", "upper", own.alias("head")), "heads-0")
+    hop = 0
+    while heads_.where("upper is not null").limit(1).count():  # each hop is twice as far as the one before
+        hop += 1
+        over = heads_.select("conv_id", F.col("branch").alias("upper"), F.col("upper").alias("next"), F.col("head").alias("over"))
+        longer = F.when(F.col("over").isNull(), F.col("head")).otherwise(F.concat("over", "head"))
+        heads_ = scratch.write(heads_.join(over, ["conv_id", "upper"], "left").select("conv_id", "branch", F.col("next").alias("upper"), longer.alias("head")), f"heads-{hop}")
+        scratch.drop(f"heads-{hop - 1}")
+    heads_ = heads_.drop("upper")
+    empty = F.array().cast("array<long>")
     out = placed.join(heads_, ["conv_id", "branch"], "left")
     return out.select("conv_id", "turn", "branch", F.concat(F.coalesce("head", empty), F.array(F.col("turn").cast("long"))).alias("path"))
 
@@ -130,11 +130,11 @@ def link_conversations(
 ) -> DataFrame:
     """(conv_id, turn, role, reply_path, reply_to, n_quotes, n_linked, max_level, outside, text) of each row.
 
-    reply_path: turns joined by dots, padded so that it sorts as text within a
-    conversation. reply_to: turn of the message answered, null if none is
+    reply_path: turns plus 2**63, padded to 20 digits and joined by dots, so that
+    it sorts as text within a conversation. reply_to: turn of the message answered, null if none is
     quoted. outside: passages whose original is in another conversation. text:
-    without quotes; null stays null. A null conversation is one of its own; a
-    null turn counts as 0. Rows that repeat count as one message and are each
+    without quotes; null stays null. Rows without a conversation are one, that of
+    the smallest long; a null turn counts as 0. Rows that repeat count as one message and are each
     returned; of unlike rows of one turn, one reply counts for the order.
     """
     spark: SparkSession = messages.sparkSession
@@ -146,7 +146,7 @@ def link_conversations(
         F.col(role_col).cast("string").alias("role"),
         F.col(text_col).cast("string").alias("text"),
     )
-    rows = rows.withColumn("group", F.coalesce("conv_id", F.lit(-(2**62)).cast("long"))).withColumn("mid", F.xxhash64("group", "turn", "role", "text"))
+    rows = rows.withColumn("group", F.coalesce("conv_id", F.lit(NO_CONVERSATION))).withColumn("mid", F.xxhash64("group", "turn", "role", "text"))
     one = rows.select("mid", F.col("group").alias("conv_id"), "turn", F.coalesce("text", F.lit("")).alias("text"))
     links = link_quotes(one, scratch)
     inside = (F.col("source_conv") == F.col("conv_id")) & (F.col("source_turn") < F.col("turn"))
@@ -169,7 +169,7 @@ def link_conversations(
         "conv_id",
         F.col("given_turn").alias("turn"),
         "role",
-        F.array_join(F.transform("path", lambda t: F.lpad(t.cast("string"), 10, "0")), ".").alias("reply_path"),
+        F.array_join(F.transform("path", lambda t: F.lpad((t.cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")), ".").alias("reply_path"),
         "reply_to",
         *[F.coalesce(c, zero).alias(c) for c in ("n_quotes", "n_linked", "max_level", "outside")],
         own_text(F.col("text")).alias("text"),
