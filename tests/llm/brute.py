@@ -106,3 +106,125 @@ def pii(text):
                 continue
             out.append(f"{kind}:{m.start()}:{m.end()}")
     return out
+
+
+# -- quotation linking --------------------------------------------------------------------------------
+
+
+def _normal(text):
+    return re.sub(r"[ \t\n\x0b\f\r]+", " ", text.lower()).strip(" ")
+
+
+def _level(line):
+    """(quote level, what is said after the marks)."""
+    at = level = 0
+    for i, c in enumerate(line):
+        if c == ">":
+            level, at = level + 1, i + 1
+        elif c not in " \t":
+            break
+    return level, _normal(line[at:])
+
+
+def own_lines(text):
+    """Lines of a text that are no quotes and announce none."""
+    lines = text.split("\n")
+    out = []
+    for i, line in enumerate(lines):
+        announces = re.search(r"(?:wrote|writes|schrieb|écrit|escribió):[ \t\r]*$", line) and ">" not in line and i + 1 < len(lines) and _level(lines[i + 1])[0]
+        if not _level(line)[0] and not announces:
+            out.append(line)
+    return out
+
+
+def quote_links(messages):
+    """{(conv, turn): (reply_to, quotes, linked, outside)} and {conv: turns in reply order} of messages (conv, turn, text), one of each turn."""
+    says = defaultdict(dict)  # said -> conversation -> first turn
+    for conv, turn, text in messages:
+        own = "\n".join(own_lines(text))
+        for unit in {_normal(u) for u in [own, *re.split(r"\n[ \t\r]*\n", own), *own.split("\n")]} - {""}:
+            says[unit][conv] = min(turn, says[unit].get(conv, turn))
+
+    def source(conv, turn, said):
+        first = says[said].get(conv)
+        if first is not None and first < turn:
+            return True, (conv, first)
+        others = sorted((c, t) for c, t in says[said].items() if c != conv)
+        return (False, others[0]) if others else None
+
+    told = {}
+    for conv, turn, text in messages:
+        passages, before = [], None
+        for place, (level, said) in enumerate(map(_level, text.split("\n"))):
+            if level != before:
+                passages.append((level, place, []))
+            before = level
+            if level and said:
+                if not passages[-1][2]:
+                    passages[-1] = (level, place, [])
+                passages[-1][2].append(said)
+        quotes = linked = outside = 0
+        replies = []
+        for level, place, lines in passages:
+            if not lines:
+                continue
+            quotes += 1
+            votes = defaultdict(int)
+            for whole, units in ((True, [" ".join(lines)]), (False, set(lines))):
+                for unit in units:
+                    if (got := source(conv, turn, unit)) is not None:
+                        votes[whole, got[0], got[1]] += 1
+            if votes:
+                linked += 1
+                (_, inside, (c, t)), _ = max(votes.items(), key=lambda v: (v[0][0], v[0][1], v[1], v[0][2][1], v[0][2]))
+                if inside:
+                    replies.append((level, -place, t))
+                else:
+                    outside += 1
+        told[conv, turn] = (min(replies)[2] if replies else None, quotes, linked, outside)
+    order = {}
+    for conv in {c for c, _, _ in messages}:
+        turns = sorted(t for c, t, _ in messages if c == conv)
+        paths, branch, heads = {}, None, {None: []}
+        of = {}
+        for t in turns:
+            to = told[conv, t][0]
+            if to is not None and to != t - 1:
+                heads[t], branch = [*heads[of[to]], to, t], t
+            of[t] = branch
+            paths[t] = [*heads[branch], t]
+        order[conv] = sorted(turns, key=paths.get)
+    return told, order
+
+
+# -- disclosure -----------------------------------------------------------------------------------------
+
+
+def disclosures(docs, prior=1.0):
+    """{(entity, term): disclosure} of all terms that share a line with an entity; docs: (id, text)."""
+    import math
+
+    term = re.compile(r"[^\W_](?:[\w'-])*")
+    n_e, n_t, n_te, total = defaultdict(int), defaultdict(int), defaultdict(int), 0
+    for _, text in docs:
+        for line in (text or "").split("\n"):
+            total += 1
+            spans = sorted(((kind, *map(int, rest.split(":"))) for kind, rest in (x.split(":", 1) for x in pii(line))), key=lambda s: s[1])
+            rest, at = "", 0
+            for _, a, b in spans:
+                rest += line[at : max(a, at)] + " "
+                at = max(at, b)
+            rest += line[at:]
+            words = set(term.findall(rest.lower()))
+            for w in words:
+                n_t[w] += 1
+            for e in {f"{kind}:{line[a:b]}" for kind, a, b in spans}:
+                n_e[e] += 1
+                for w in words:
+                    n_te[e, w] += 1
+    out = {}
+    for (e, w), n in n_te.items():
+        ic = math.log(total / n_e[e])
+        told = (n + prior * n_e[e] / total) / (n_t[w] + prior)
+        out[e, w] = min(1 + math.log(told) / ic, 1.0) if ic > 0 else 0.0
+    return out

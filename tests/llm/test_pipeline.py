@@ -72,3 +72,34 @@ def test_packing_holds_all(stages):
 
 def test_run_gives_the_stages_rows(spark, stages):
     assert corpus_pipeline.run(spark, SMALL).count() == stages["packing"].count()
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_stages_of_odd_rows(spark, tmp_path, kind):
+    """Nulls in any column, repeated rows and ids, and further columns with the operators' own names."""
+    extra = ["n", "h", "sha", "kept", "keep_id", "component_id", "spans", "score", "label", "predicted", "class", "told", "record"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    good = "The meeting was moved to the morning. Everyone agreed that this was better for all of them, and nobody asked why."
+    given = [(1, good), (1, good), (1, good + " Later a@b.cc wrote again."), (None, good + " Nobody knew."), (2, None), (None, ""), (3, "x " * 9000), (4, good.replace(" ", "  "))]
+    data = [(k, t, None, None, None, *("z" for _ in extra)) for k, t in given] if kind == "odd" else []
+    docs = spark.createDataFrame(data, schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, SMALL, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, Scratch(spark, "odd").write(stage(spark, docs, str(tmp_path)), name)
+        if name != "packing":
+            assert docs.columns == before.columns and docs.count() <= before.count()
+        if name == "pii":
+            assert docs.count() == before.count() and not docs.where("text like '%a@b.cc%'").count()
+        if kind == "empty":
+            assert docs.count() == 0
+    assert (docs.count() > 0) == (kind == "odd")
+
+
+def test_exact_and_near_stages_keep_one_of_equal_rows(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text + " "), (None, "other"), (7, None), (7, "")], "doc_id long, text string")
+    exact = corpus_pipeline.exact(spark, docs, SMALL)
+    assert sorted((str(r.doc_id), r.text or "") for r in exact.collect()) == [("7", ""), ("None", "other"), ("None", text + " ")]
+    near = corpus_pipeline.near(spark, docs, SMALL)
+    assert sorted((str(r.doc_id), r.text or "") for r in near.collect()) == [("1", text), ("7", ""), ("7", ""), ("None", "other")]
