@@ -896,5 +896,5 @@ def _(events):
     return jobs.exhausted(_queue(events))[0].select("id", "payload_json")
 
 
-# Those that show extraction add themselves.
-from . import extraction  # noqa: E402, F401
+# Further modules add theirs.
+from . import extraction, services  # noqa: E402, F401
