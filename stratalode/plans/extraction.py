@@ -6,7 +6,9 @@ rows that must come out, written by hand.
 
 from __future__ import annotations
 
+import io
 import struct
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -158,6 +160,36 @@ def _(spark, sf_dir):
     return rows.groupBy("path").agg(F.count(F.when(F.col("error").isNull(), 1)).alias("n"), F.count("error").alias("errors"))
 
 
+@query("A13_extraction_counters", "SELECT * FROM (VALUES ('processed', 3), ('BadClass', 2), ('ValueError', 1)) t(outcome, files)")
+def _(spark, sf_dir):
+    good, bad = Assembler("p/Good"), Assembler("p/Bad")
+    good.method("m", "()V", op(8, use(good), 177))
+    bad.method("n", "()V", op(87, 177))
+    files = {"a.class": good.bytes(), "b.properties": b"k=v", "c.yml": b"a: 1", "d.class": b"nothing", "e.class": b"", "f.class": bad.bytes()}
+    return extract.counters(extract.extract(_file(spark, **files)))
+
+
+SEEDED = "(1,'a.jar','stored'),(1,'b.jar','stored'),(2,'a.jar','stored'),(2,'b.jar','deleted'),(3,'a.jar','stored'),(3,'b.jar','stored'),(3,'c.jar','stored')"
+
+
+@query("S20_S19_V10_seeding", f"SELECT * FROM (VALUES {SEEDED}) t(version, path, state)")
+def _(spark, sf_dir):
+    """Three folders of archives: the second lacks b.jar, the third has it again and c.jar besides."""
+
+    def jar(**entries: str) -> bytearray:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in entries.items():
+                z.writestr(zipfile.ZipInfo(f"{name}.properties"), text)
+        return bytearray(out.getvalue())
+
+    rows = [("v1/b.jar", jar(x="k=1"), 1), ("v1/a.jar", jar(x="k=1", y="l=2"), 1), ("v1/notes.txt", bytearray(b""), 1), ("v2/a.jar", jar(x="k=3"), 2)]
+    rows += [(f"v3/{n}.jar", jar(x="k=4"), 3) for n in "abc"]
+    tables = extract.seed(spark.createDataFrame(rows, "path string, content binary, version int"), "p")
+    stored = tables["unit_descriptors"].select("version", "path", F.lit("stored").alias("state"))
+    return stored.union(tables["version_deletions"].select("version", F.col("unit_path").alias("path"), F.lit("deleted").alias("state")))
+
+
 # Kinds of instruction: what a call is given after them.
 
 

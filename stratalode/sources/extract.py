@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -166,8 +166,8 @@ def counters(usages: DataFrame) -> DataFrame:
     return usages.select("path", outcome.alias("outcome")).distinct().groupBy("outcome").agg(F.count(F.lit(1)).alias("files"))
 
 
-def catalogue_rows(usages: DataFrame, project: str, version: int) -> dict[str, DataFrame]:
-    """The four catalogue tables of extracted usages; ids are hashes of their keys."""
+def catalogue_rows(usages: DataFrame, project: str, version: int | Column) -> dict[str, DataFrame]:
+    """The four catalogue tables of extracted usages; ids are hashes of their keys. version: a number, or the column that holds it."""
     fine = usages.where("error is null").withColumn("container", F.substring_index("path", "!", 1)).withColumns({"project": F.lit(project), "version": F.lit(version)})
     fine = fine.withColumn("descriptor_id", F.xxhash64("project", "version", "container")).withColumn("snapshot_id", F.xxhash64("descriptor_id", "unit_name"))
     fine = fine.withColumn("constant_id", F.xxhash64("snapshot_id", "value", "value_type"))
@@ -182,3 +182,22 @@ def catalogue_rows(usages: DataFrame, project: str, version: int) -> dict[str, D
             F.col("line_number").alias("location_line_number"), "confidence", "metadata",
         ).distinct(),
     }
+
+
+def seed(files: DataFrame, project: str) -> dict[str, DataFrame]:
+    """The catalogue's tables, versions and tombstones too, when the archives (path, content, version) are stored version by version.
+
+    An archive is the unit of its file name; each version is synchronised (what
+    the one before it has and it lacks gets a tombstone) and finalised.
+    """
+    name = F.substring_index("path", "/", -1)
+    jars = files.where(F.lower(name).endswith(".jar")).select(F.concat_ws("/", F.col("version").cast("string"), name).alias("path"), "content")
+    usages = extract(jars).withColumn("version", F.substring_index("path", "/", 1).cast("int")).withColumn("path", F.regexp_replace("path", "^[^/]*/", ""))
+    tables = catalogue_rows(usages, project, F.col("version"))
+    stored = jars.select(F.substring_index("path", "/", 1).cast("int").alias("version"), F.substring_index("path", "/", -1).alias("unit_path")).distinct()
+    by_number = Window.orderBy("version")  # one row a version of one project
+    versions = stored.select("version").distinct().withColumns({"parent_version": F.lag("version").over(by_number), "next_version": F.lead("version").over(by_number)})
+    tables["project_versions"] = versions.select(F.lit(project).alias("project"), "version", "parent_version", F.lit("FINALIZED").alias("status"))
+    before = stored.join(versions.where("next_version is not null"), "version").select(F.col("next_version").alias("version"), "unit_path")
+    tables["version_deletions"] = before.join(stored, ["version", "unit_path"], "left_anti").select(F.lit(project).alias("project"), "version", "unit_path")
+    return tables
