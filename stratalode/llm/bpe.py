@@ -278,7 +278,7 @@ class Memo:
     is another's is encoded for itself.
     """
 
-    def __init__(self, encode, bound: int = 1_500_000, id_type=np.uint16):
+    def __init__(self, encode, bound: int = 700_000, id_type=np.uint16):
         self.encode, self.bound, self.id_type = encode, bound, id_type
         self._forget()
 
@@ -339,7 +339,7 @@ def memo(path: str, method: str) -> Memo:
     return _memos[path, method]
 
 
-def chunks(texts: list[str], most: int = 1_500_000):
+def chunks(texts: list[str], most: int = 500_000):
     """(first, texts) of runs of texts of about ``most`` characters; a longer text stands alone."""
     first, size = 0, 0
     for i, t in enumerate(texts):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import table, vocabulary_path
+from .common import lean, table, vocabulary_path
 
 
 def _encoded(texts: list[str], path: str):
@@ -42,7 +42,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, v
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return one.mapInArrow(run, "doc_id long, ids array<int>")
+    return one.mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *, vocabulary: str | None = None) -> DataFrame:
@@ -55,7 +55,7 @@ def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *, voc
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(
-        run, "doc_id long, text string"
+        lean(run), "doc_id long, text string"
     )
 
 
@@ -78,7 +78,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
 
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return one.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return one.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe_codec(spark, sf_dir):

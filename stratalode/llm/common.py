@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +59,25 @@ class Scratch:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean(run: Callable, rows: int = 1024) -> Callable:
+    """A function over Arrow batches for mapInArrow, given slices of at most ``rows`` rows; at its end freed memory goes back to the system.
+
+    Workers are used again by other tasks, and what a task has freed would else
+    count against the executor as long as the worker lives.
+    """
+
+    def held(batches):
+        try:
+            yield from run(batch.slice(at, rows) for batch in batches for at in range(0, max(1, batch.num_rows), rows))
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library isn't glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return held
+
+
 ROW = "__row"
 
 

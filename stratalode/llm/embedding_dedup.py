@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, given_ids, own_rows, table
+from .common import Scratch, components, given_ids, lean, own_rows, table
 
 TARGET_RECALL = 0.99
 #: cosines in single precision are off by less
@@ -360,7 +360,7 @@ def _routed(firsts: DataFrame, centres: dict[int, np.ndarray], least: float, ove
                 columns += [pa.array([raw[i] for i in row], pa.binary()), pa.array([homes[i] for i in row], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["shard", "vec_id", "copies", "x", "homes"])
 
-    return firsts.mapInArrow(assign, MEMBER)
+    return firsts.mapInArrow(lean(assign), MEMBER)
 
 
 def _by_length(batch: pa.RecordBatch):
@@ -454,7 +454,7 @@ def audit(firsts: DataFrame, found: DataFrame, least: float, queries: int) -> tu
                     near = (q @ x.T >= least) & (ids[:, None] != rows.column("vec_id").to_numpy())
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((near * rows.column("copies").to_numpy()).sum(1))], names=["vec_id", "links"])
 
-    there = firsts.mapInArrow(count, "vec_id long, links long").groupBy("vec_id").agg(F.sum("links").alias("there"))
+    there = firsts.mapInArrow(lean(count), "vec_id long, links long").groupBy("vec_id").agg(F.sum("links").alias("there"))
     got = found.where("vec_id is not null").groupBy("vec_id").agg(F.sum("links").alias("links"))
     row = there.join(got, "vec_id", "left").agg(F.sum(F.coalesce("links", F.lit(0))), F.sum("there")).first()
     return int(row[0] or 0), int(row[1] or 0)

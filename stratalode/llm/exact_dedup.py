@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, given_ids, own_rows, table
+from .common import Scratch, given_ids, lean, own_rows, table
 
 _BLANKS = b" \t\n\x0b\x0c\r"
 BROADCAST_IDS = 500_000
@@ -190,9 +190,9 @@ def build_index(scratch: Scratch, records: DataFrame, texts: DataFrame, capacity
             yield batch.append_column("bucket", pa.array(bucket, pa.int64()))
 
     columns = "record long, h long, sha string, size long, best_chars long, best_id long, first long"
-    placed = scratch.write(records.select(*[c.split()[0] for c in columns.split(", ")]).mapInArrow(place, f"{columns}, bucket long"), "placed")
+    placed = scratch.write(records.select(*[c.split()[0] for c in columns.split(", ")]).mapInArrow(lean(place), f"{columns}, bucket long"), "placed")
     owners = min(len(buckets), partitions)
-    entries = scratch.write(placed.repartitionByRange(owners, "bucket").mapInArrow(_settled, ENTRY), "entries")
+    entries = scratch.write(placed.repartitionByRange(owners, "bucket").mapInArrow(lean(_settled), ENTRY), "entries")
     open_ = entries.where("keep_id is null").select("record")
     few = open_.limit(BROADCAST_IDS + 1).count()
     if not few:
@@ -200,7 +200,7 @@ def build_index(scratch: Scratch, records: DataFrame, texts: DataFrame, capacity
     open_ = placed.join(F.broadcast(open_) if few <= BROADCAST_IDS else open_, "record", "left_semi")
     of = texts.select(F.col("doc_id").alias("first"), "text")
     open_ = of.join(F.broadcast(open_) if few <= BROADCAST_IDS // 4 else open_, "first")  # a record's row is some 150 bytes
-    chained = open_.repartition(owners, "bucket").sortWithinPartitions("h", "record").mapInArrow(_chained, ENTRY)
+    chained = open_.repartition(owners, "bucket").sortWithinPartitions("h", "record").mapInArrow(lean(_chained), ENTRY)
     chained = scratch.write(chained, "chained")
     scratch.drop("placed")
     return entries.where("keep_id is not null").union(chained)
@@ -213,7 +213,7 @@ def exact_dedup(
     *,
     bucket_capacity: int | None = None,
     key_of: Callable[[bytes], int] = leading_bits,
-    held_bytes: int = 64_000_000,
+    held_bytes: int = 16_000_000,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of each row.
@@ -228,7 +228,7 @@ def exact_dedup(
     spark: SparkSession = docs.sparkSession
     scratch = scratch or Scratch(spark, "exact-dedup")
     one, names = own_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), scratch)
-    records = scratch.write(one.mapInArrow(_records(key_of, held_bytes), RECORD), "records")
+    records = scratch.write(one.mapInArrow(lean(_records(key_of, held_bytes)), RECORD), "records")
     index = build_index(scratch, records, one, bucket_capacity)
 
     def members(batches):
@@ -239,7 +239,7 @@ def exact_dedup(
             yield pa.RecordBatch.from_arrays([every, *[batch.column(c).take(row) for c in ("keep_id", "group_size", "sha")]], names=["doc_id", "keep_id", "group_size", "sha"])
 
     told = records.select("record", "members").join(index.select("record", "keep_id", "group_size", "sha"), "record").drop("record")
-    rows = told.mapInArrow(members, "doc_id long, keep_id long, group_size long, sha string")
+    rows = told.mapInArrow(lean(members), "doc_id long, keep_id long, group_size long, sha string")
     rows = rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
     return given_ids(rows, names, "doc_id", "keep_id")
 

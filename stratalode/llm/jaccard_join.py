@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import Scratch, components, given_ids, own_rows, table
+from .common import Scratch, components, given_ids, lean, own_rows, table
 
 BROADCAST_IDS = 500_000
 
@@ -642,7 +642,7 @@ def partial_overlaps(docs: DataFrame, pairs: DataFrame, fragments: int, order) -
                 names=["doc_id", "fragment", "part"],
             )
 
-    segments = docs.join(_few(ids), "doc_id", "left_semi").mapInArrow(cut, "doc_id long, fragment int, part array<long>")
+    segments = docs.join(_few(ids), "doc_id", "left_semi").mapInArrow(lean(cut), "doc_id long, fragment int, part array<long>")
     wide = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
     left = wide.join(segments.select(F.col("doc_id").alias("a"), "fragment", F.col("part").alias("x")), ["a", "fragment"])
     both = left.join(segments.select(F.col("doc_id").alias("b"), "fragment", F.col("part").alias("y")), ["b", "fragment"])
@@ -682,7 +682,7 @@ def _joined(one: DataFrame, shingle: int, percent: int, fragments: int, frequent
     """jaccard_join of (doc_id, text) with ids that are unique."""
     spark = one.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 2
-    keys = scratch.write(one.mapInArrow(_set_keys(shingle), KEYS), "keys")
+    keys = scratch.write(one.mapInArrow(lean(_set_keys(shingle)), KEYS), "keys")
     order = spark.sparkContext.broadcast(global_order(keys.where("h is not null").select("kind", "h", "c"), shingle, frequent_from, frequent_most))
     rows = keys.where("n is not null").select("doc_id", "n", "k1", "k2")
     classes = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
@@ -703,7 +703,7 @@ def _joined(one: DataFrame, shingle: int, percent: int, fragments: int, frequent
             yield pa.RecordBatch.from_arrays(batch, names=["doc_id", "n", "prefix", "sketch"]).filter(pa.array(n > 0))
 
     others = member.where("class <> doc_id").select("doc_id")
-    chosen = one.mapInArrow(prefixes, "doc_id long, n long, prefix binary, sketch binary").join(_few(others), "doc_id", "left_anti")
+    chosen = one.mapInArrow(lean(prefixes), "doc_id long, n long, prefix binary, sketch binary").join(_few(others), "doc_id", "left_anti")
     chosen = scratch.write(chosen, "chosen")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
@@ -713,16 +713,16 @@ def _joined(one: DataFrame, shingle: int, percent: int, fragments: int, frequent
         return out
 
     def owned(mapped: DataFrame, owner, schema: str) -> DataFrame:
-        return mapped.repartition(parts, "part").mapInArrow(owner, schema)
+        return mapped.repartition(parts, "part").mapInArrow(lean(owner), schema)
 
     # Each document with the leader that it shares most prefix shingles with.
-    met = owned(chosen.select("doc_id", "n", "prefix").mapInArrow(_star_map(parts, percent), OWNED), _star_owner(percent), STARS)
+    met = owned(chosen.select("doc_id", "n", "prefix").mapInArrow(lean(_star_map(parts, percent)), OWNED), _star_owner(percent), STARS)
     met = scratch.write(met, "stars")
     pairs = met.where("a is not null").groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
     best = pairs.groupBy("b", "n_b").agg(F.max_by(F.struct("a", "n_a"), F.struct("shared", -F.col("a"))).alias("best"))
     of = lambda c: chosen.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
     led = best.select(F.col("best.a").alias("a"), "b", F.col("best.n_a").alias("n_a"), "n_b").join(of("a"), "a").join(of("b"), "b")
-    found = links(led.mapInArrow(_apart_in_sketch(percent), PAIRS), "star")
+    found = links(led.mapInArrow(lean(_apart_in_sketch(percent)), PAIRS), "star")
     joined = components(scratch, found)
 
     def marked(rows: DataFrame) -> DataFrame:
@@ -731,7 +731,7 @@ def _joined(one: DataFrame, shingle: int, percent: int, fragments: int, frequent
     def crossed(rows: DataFrame, owner, schema: str) -> DataFrame:
         """What owner makes of documents (doc_id, n, marks, sketch if there is one) under their components."""
         rows = rows.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        return owned(rows.mapInArrow(_cross_map(parts), CROSSED), owner, schema)
+        return owned(rows.mapInArrow(lean(_cross_map(parts)), CROSSED), owner, schema)
 
     # Only shingles that documents of different components share go on, and only their documents need sketches.
     mixed = crossed(marked(met).join(chosen.select("doc_id", "n"), "doc_id"), _mixed_owner(percent), "doc long, marks binary")
@@ -742,7 +742,7 @@ def _joined(one: DataFrame, shingle: int, percent: int, fragments: int, frequent
         probe = name == "probe"
         lists = crossed(shared, _cross_owner(percent, probe), PARTNERS)
         lists = lists.groupBy("a", "n_a", "chunk").agg(F.collect_list("partners").alias("partners")).select("a", "n_a", "partners")  # 65536 ids a chunk
-        found = scratch.write(found.union(links(lists.mapInArrow(_merged(probe), PAIRS), name)), f"{name}-found")
+        found = scratch.write(found.union(links(lists.mapInArrow(lean(_merged(probe)), PAIRS), name)), f"{name}-found")
         joined = components(scratch, found)
     out = member.join(joined.select(F.col("node").alias("class"), "component"), "class", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))

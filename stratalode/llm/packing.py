@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import table, vocabulary_path
+from .common import lean, table, vocabulary_path
 
 PIECE = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -188,7 +188,7 @@ def pack(
         yield flush(True)
 
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return one.mapInArrow(run, PIECE)
+    return one.mapInArrow(lean(run), PIECE)
 
 
 def op5_packing(spark, sf_dir):

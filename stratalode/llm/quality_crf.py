@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textscan
 from .bpe import chunks
-from .common import table
+from .common import lean, table
 
 OWN = 14
 WIDTH = 3 * OWN + 2  # own, line before, line after, at the start, at the end
@@ -223,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, fit_lines
             yield pa.RecordBatch.from_arrays([ids, labels_, pa.array(blobs, pa.binary())], names=["doc_id", "label", "lines"])
 
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    got = rows.mapInArrow(run, "doc_id long, label int, lines binary").toPandas().sort_values(["doc_id", "label"])
+    got = rows.mapInArrow(lean(run), "doc_id long, label int, lines binary").toPandas().sort_values(["doc_id", "label"])
     got = got[got["lines"].map(len) > 0].drop_duplicates("doc_id")
     if not len(got):
         return fit(np.zeros((0, OWN)), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -266,7 +266,7 @@ def quality_scores(
             for first, part in chunks(texts, 700_000):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(given.value.score(part), pa.float64())], names=["doc_id", "score"])
 
-    scored = one.mapInArrow(run, "doc_id long, score double")
+    scored = one.mapInArrow(lean(run), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

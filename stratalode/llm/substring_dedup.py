@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import textscan
 from .bpe import chunks
-from .common import Scratch, given_ids, own_rows, table
+from .common import Scratch, given_ids, lean, own_rows, table
 from .jaccard_join import _batches
 
 #: key and same: hashes by which places are equal (key alone brings candidates
@@ -259,9 +259,9 @@ def covered_spans(docs: DataFrame, *, window: int, scratch: Scratch) -> DataFram
     covered = None
     rows = docs
     for name, rule, places in (("5", _first_level, find), ("10", _middle_level, again(extensions)), ("20", _last_level, again(windows))):
-        sent = scratch.write(rows.mapInArrow(_mapper(places, rule, parts), KINDS), f"{name}-places")
+        sent = scratch.write(rows.mapInArrow(lean(_mapper(places, rule, parts)), KINDS), f"{name}-places")
         owned = sent.where("part is not null").select("part", "blob").repartition(parts, "part")
-        owned = scratch.write(owned.mapInArrow(_owner(rule), KINDS), f"{name}-owned")
+        owned = scratch.write(owned.mapInArrow(lean(_owner(rule)), KINDS), f"{name}-owned")
         told = sent.where("part is null").union(owned).select("doc_id", "spans", "open")
         more = told.where("not open").select("doc_id", "spans")
         covered = more if covered is None else covered.union(more)
@@ -334,7 +334,7 @@ def substring_dedup(
             columns = [ids, pa.array(words_, pa.int64()), pa.array(gone_, pa.int64()), pa.array(sha_, pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(text_, pa.string())] * with_text], names=["doc_id", "n_words", "n_removed", "kept_sha256", *["text"] * with_text])
 
-    return given_ids(one.join(covered, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut, schema), names, "doc_id")
+    return given_ids(one.join(covered, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(lean(cut), schema), names, "doc_id")
 
 
 def op6_substring_dedup(spark, sf_dir):

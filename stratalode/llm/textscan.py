@@ -120,14 +120,16 @@ def _classes() -> np.ndarray:
 
     table = np.full(_END + 1, OTHER, np.uint8)
     kinds = {"L": LETTER, "N": DIGIT, "Z": SPACE}
-    whole = "".join(map(chr, (*range(0xD800), *range(0xE000, _END))))
+    patterns = [(LETTER, regex.compile(r"\p{L}")), (DIGIT, regex.compile(r"\p{N}"))]
     newer = table.copy()
-    for kind, pattern in ((LETTER, r"\p{L}"), (DIGIT, r"\p{N}")):
-        found = "".join(regex.findall(pattern, whole))
-        newer[np.frombuffer(found.encode("utf-32-le"), "<u4")] = kind
-    for c in whole:
-        if (k := kinds.get(category(c)[0])) is not None:
-            table[ord(c)] = k
+    for first in range(0, _END, 0x8000):  # some at a time: the table is made in every worker
+        some = "".join(chr(c) for c in range(first, min(first + 0x8000, _END)) if not 0xD800 <= c < 0xE000)
+        for kind, pattern in patterns:
+            found = "".join(pattern.findall(some))
+            newer[np.frombuffer(found.encode("utf-32-le"), "<u4")] = kind
+        for c in some:
+            if (k := kinds.get(category(c)[0])) is not None:
+                table[ord(c)] = k
     cut = ByteLevel(add_prefix_space=False).pre_tokenize_str
     for c in np.flatnonzero((newer != table) & (table != SPACE)).tolist():
         table[c] = next((k for k, before in ((LETTER, "a"), (DIGIT, "1")) if len(cut(before + chr(c))) == 1), OTHER)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import vocabulary_path
+from .common import lean, vocabulary_path
 
 
 def token_counts(
@@ -41,7 +41,7 @@ def token_counts(
             )
 
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return one.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return one.mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op1_token_counts(spark, sf_dir):
