@@ -49,7 +49,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", "snappy").parquet(path)  # others' buffers grow the executors outside their heap
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -60,11 +60,17 @@ class Scratch:
 
 
 def lean(run: Callable, rows: int = 1024) -> Callable:
-    """A function over Arrow batches for mapInArrow, given slices of at most ``rows`` rows; at its end freed memory goes back to the system.
+    """A function over Arrow batches for mapInArrow, given at most ``rows`` rows at a time; at its end freed memory goes back to the system.
 
-    Workers are used again by other tasks, and what a task has freed would else
-    count against the executor as long as the worker lives.
+    Long texts make batches of Spark's default 10,000 rows large, in the
+    executor's JVM outside its heap too, so the session's batches are held to
+    ``rows`` where they would be larger. Workers are used again by other tasks,
+    and what a task has freed would else count against the executor as long as
+    the worker lives.
     """
+    session, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if session is not None and not 0 < int(session.conf.get(key)) <= rows:
+        session.conf.set(key, str(rows))
 
     def held(batches):
         try:
