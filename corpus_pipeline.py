@@ -25,10 +25,12 @@ from stratalode.llm.common import Scratch, given_ids, own_rows, table
 
 
 def _kept(docs: DataFrame, name: str, choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The rows of docs whose id choose gives; for few ids Spark picks the join by size."""
+    """The rows of docs whose id choose gives; up to 500,000 ids (8 bytes each) are broadcast, more are joined by a shuffle."""
     scratch = Scratch(docs.sparkSession, f"pipeline-{name}")
     rows, names = own_rows(docs, scratch)
     ids = scratch.write(choose(rows).select("doc_id"), "kept")
+    if ids.count() <= 500_000:
+        ids = F.broadcast(ids)
     return given_ids(rows.join(ids, "doc_id", "left_semi").select(*docs.columns), names, "doc_id")
 
 
