@@ -59,6 +59,12 @@ class Scratch:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few(df: DataFrame, rows: int = 200_000, size: int = 20_000_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows and, as text, characters; else as it is, for a join that shuffles."""
+    n, long = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= rows and (long or 0) <= size else df
+
+
 def lean(run: Callable, rows: int = 1024) -> Callable:
     """A function over Arrow batches for mapInArrow, given at most ``rows`` rows at a time; at its end freed memory goes back to the system.
 
