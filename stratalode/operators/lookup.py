@@ -26,8 +26,8 @@ def merged_constants(cat: Catalogue, snapshots: DataFrame) -> DataFrame:
 
 
 def find_unit(cat: Catalogue, project: str, path: str, version: int) -> DataFrame:
-    """(value, value_type, usages) of a unit, its own or inherited; no rows if there is none."""
-    unit = V.effective(cat, True, project, match_container=True, wanted=(version,)).where((F.col("version") == version) & (F.col("path") == path))
+    """(value, value_type, usages) of a unit, its own or inherited over at most 50 parents; no rows if there is none."""
+    unit = V.effective(cat, True, project, match_container=True, most_depth=V.MOST_DEPTH, wanted=(version,)).where((F.col("version") == version) & (F.col("path") == path))
     return merged_constants(cat, unit).drop("snapshot_id")
 
 

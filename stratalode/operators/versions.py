@@ -6,33 +6,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalogue
+from . import store
 
+#: How far a lookup follows parents; diffs and removals follow them to the first version.
 MOST_DEPTH = 50
+#: A round's jumps reach this many times as far as those of the round before.
+RADIX = 8
 
 
 class VersionConflict(Exception):
     """The version's state doesn't allow it."""
 
 
-def chain(versions: DataFrame, most_depth: int = MOST_DEPTH, wanted: tuple[int, ...] | None = None) -> DataFrame:
-    """(project, version, anc, depth): each version with its ancestors, itself at depth 0; wanted: of these versions only.
+def _jumps(edges: DataFrame) -> DataFrame:
+    """(project, version, a1, ..., a8): a version's ancestors by one to eight edges (project, version, parent)."""
+    rows = edges.withColumnRenamed("parent", "a1")
+    for k in range(2, RADIX + 1):
+        rows = rows.join(edges.select("project", F.col("version").alias(f"a{k - 1}"), F.col("parent").alias(f"a{k}")), ["project", f"a{k - 1}"], "left")
+    return rows.select("project", "version", *[f"a{k}" for k in range(1, RADIX + 1)])
 
-    A recursive query over the version edges, which are few beside the facts.
+
+def chain(versions: DataFrame, most_depth: int | None = None, wanted: tuple[int, ...] | None = None) -> DataFrame:
+    """(project, version, anc, depth): each version with its ancestors, itself at depth 0.
+
+    most_depth: no further than so many parents, else to the first version.
+    wanted: of these versions only. Jumps over the version edges grow eightfold
+    each round, and each round's are a written table, so that a chain of n
+    versions takes log8(n) rounds and one join for each, whatever its shape.
     """
     spark = versions.sparkSession
     begin = versions if wanted is None else versions.where(F.col("version").isin(*wanted))
-    return spark.sql(
-        """WITH RECURSIVE chain(project, version, anc, depth) AS (
-             SELECT project, version, version, 0 FROM {begin}
-             UNION ALL
-             SELECT c.project, c.version, p.parent_version, c.depth + 1
-             FROM chain c JOIN {versions} p ON p.project = c.project AND p.version = c.anc
-             WHERE p.parent_version IS NOT NULL AND c.depth < {most})
-           SELECT * FROM chain""",
-        begin=begin.select("project", "version"),
-        versions=versions.select("project", "version", "parent_version"),
-        most=most_depth,
-    )
+    rows = begin.select("project", "version", F.col("version").alias("anc"), F.lit(0).alias("depth")).distinct()
+    edges = versions.where("parent_version is not null").select("project", "version", F.col("parent_version").alias("parent")).distinct()
+    root, step, most_steps = store.work_folder(spark, "jumps"), 1, None
+    while most_depth is None or step <= most_depth:
+        jumps = _jumps(edges)
+        jumps.write.mode("overwrite").parquet(f"{root}/{step}")
+        jumps = spark.read.schema(jumps.schema).parquet(f"{root}/{step}")
+        ups = F.array(F.struct(F.lit(0).alias("far"), F.col("anc").alias("up")), *[F.struct(F.lit(k * step).alias("far"), F.col(f"a{k}").alias("up")) for k in range(1, RADIX)])
+        rows = rows.join(jumps.withColumnRenamed("version", "anc"), ["project", "anc"], "left")
+        rows = rows.select("project", "version", "depth", F.inline(F.filter(ups, lambda u: u["up"].isNotNull()))).select("project", "version", F.col("up").alias("anc"), (F.col("depth") + F.col("far")).alias("depth"))
+        if most_depth is not None:
+            rows = rows.where(F.col("depth") <= most_depth)
+        edges = jumps.where(f"a{RADIX} is not null").select("project", "version", F.col(f"a{RADIX}").alias("parent"))
+        if edges.isEmpty():
+            break
+        most_steps = jumps.count() if most_steps is None else most_steps
+        step *= RADIX
+        if step > most_steps:
+            raise ValueError("parents of versions go round")
+    return rows
 
 
 def cutoffs(steps: DataFrame, deletions: DataFrame) -> DataFrame:
@@ -42,7 +65,7 @@ def cutoffs(steps: DataFrame, deletions: DataFrame) -> DataFrame:
 
 
 def effective(
-    cat: Catalogue, own_level_wins: bool, project: str | None = None, match_container: bool = False, most_depth: int = MOST_DEPTH, wanted: tuple[int, ...] | None = None
+    cat: Catalogue, own_level_wins: bool, project: str | None = None, match_container: bool = False, most_depth: int | None = None, wanted: tuple[int, ...] | None = None
 ) -> DataFrame:
     """(project, version, path, snapshot_id, depth): units a version has, its own or inherited.
 
@@ -50,7 +73,8 @@ def effective(
     own_level_wins (lookup) a unit stored beside a tombstone of its own version
     stays; without it (diff) the tombstone hides it too. match_container also
     takes units inside archives, whose name isn't their descriptor's path.
-    wanted: of these versions only.
+    wanted: of these versions only; most_depth: from ancestors no further than
+    that, as lookups do.
     """
     versions, descriptors, deletions = cat.versions, cat.descriptors, cat.deletions
     if project is not None:
