@@ -73,41 +73,33 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-class Rounds:
-    """A table that is written anew each round, under the round's name; a round that is repeated overwrites itself.
-
-    A round's rows come from the last one before it, so a repeat starts from
-    what the first try started from.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def before(self, name: str | None = None) -> DataFrame:
-        """Rows as the last round left them; name: the last before that one."""
-        rounds = self._read("rounds", "round string, rows long")
-        if name is not None:
-            rounds = rounds.where(F.col("round") < name)
-        last = rounds.agg(F.max("round")).first()[0]
-        if last is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/rows/{last}")
-
-    def last(self) -> str | None:
-        return self._read("rounds", "round string, rows long").agg(F.max("round")).first()[0]
-
-    def write(self, name: str, rows: DataFrame) -> DataFrame:
-        rows.write.mode("overwrite").parquet(f"{self.path}/rows/{name}")
-        written = self.spark.read.schema(rows.schema).parquet(f"{self.path}/rows/{name}")
-        told = self.spark.createDataFrame([(name, written.count())], "round string, rows long")
-        told.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/rounds/of={name}")  # last: the round counts from here
-        return written
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{name}")
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name, in whatever store Spark reads."""
+    files, at = _folder(spark, path)
+    return files.exists(at)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, in order; none where there is no folder."""
+    files, at = _folder(spark, path)
+    return sorted(e.getPath().getName() for e in files.listStatus(at)) if files.exists(at) else []
+
+
+def numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers n of a folder's entries named prefix + n."""
+    return sorted(int(n.removeprefix(prefix)) for n in names(spark, path) if n.startswith(prefix) and n.removeprefix(prefix).isdigit())
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Removes folders of written tables."""
+    for path in paths:
+        files, at = _folder(spark, path)
+        files.delete(at, True)
 
 
 def snapshot_json(constants: DataFrame) -> DataFrame:

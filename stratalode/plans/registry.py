@@ -897,4 +897,4 @@ def _(events):
 
 
 # Further modules add theirs.
-from . import extraction, services  # noqa: E402, F401
+from . import chains, extraction, services, streams  # noqa: E402, F401

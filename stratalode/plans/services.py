@@ -87,7 +87,7 @@ def _(events):
         return rows.where("id % 17 <> 0 OR unit_path = 'error'").select("id", F.lit(True).alias("ok"), (F.col("unit_path") == "error").alias("corrupt"))
 
     outbox.start(spark, f"{root}/queue", schema, f"{root}/tables", f"{root}/offsets", deliver=deliver, most_files=100_000).awaitTermination()  # one micro-batch
-    ends = {"delivered": spark.read.parquet(f"{root}/tables/delivered"), "dead": spark.read.parquet(f"{root}/tables/dead"), "waiting": outbox.Outbox(spark, f"{root}/tables", schema, deliver).waiting.before()}
+    ends = {"delivered": spark.read.parquet(f"{root}/tables/delivered"), "dead": spark.read.parquet(f"{root}/tables/dead"), "waiting": outbox.Outbox(spark, f"{root}/tables", schema, deliver).waiting()}
     rows = [df.select(F.lit(name).alias("outcome")) for name, df in ends.items()]
     return rows[0].union(rows[1]).union(rows[2]).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 

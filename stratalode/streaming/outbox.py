@@ -1,4 +1,11 @@
-"""The indexing queue as a stream: deliver, retry with longer waits, give up to the dead letters."""
+"""The indexing queue as a stream: deliver, retry with longer waits, give up to the dead letters.
+
+Rows that wait stand in folders by the time they are due, a bucket of ``width``
+seconds each, like the slots of a timer wheel. A round opens the buckets that
+are due and no others, and writes what it gives back into the buckets of the
+new times, so its cost follows what is due, whatever waits. Which folders count
+is told by a manifest that a round writes last.
+"""
 
 from __future__ import annotations
 
@@ -35,23 +42,63 @@ def drain_once(queue: DataFrame, now, deliver: Deliver, most: int = jobs.MOST_AT
     What isn't claimed stays as it is, delivered rows go, failed ones wait,
     those out of attempts are dead.
     """
-    done, back = attempted(jobs.claim(queue, now, most, batch), deliver, now, most)
-    rest = store.upsert(queue, back, ["id"]).join(done.select("id"), "id", "left_anti")
+    claimed = jobs.claim(queue, now, most, batch)
+    done, back = attempted(claimed, deliver, now, most)
+    rest = queue.join(F.broadcast(claimed.select("id")), "id", "left_anti").unionByName(back)  # ids of a batch
     dead, alive = jobs.exhausted(rest, most)
     return alive, dead, done.select("id")
 
 
 class Outbox:
-    """The queue's tables under a folder: rows that wait, delivered ones and dead letters, each written round by round."""
+    """The queue's tables under a folder: ``waiting`` by due bucket, ``delivered`` and ``dead`` by round.
+
+    width: seconds of a bucket. keep: how many rounds can be repeated with the
+    same outcome; folders that only older ones read, and their answers, go.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, deliver: Deliver, most: int = jobs.MOST_ATTEMPTS, *, width: int = 60, keep: int = 3):
+        self.spark, self.path, self.schema, self.deliver, self.most, self.width, self.keep = spark, path, schema, deliver, most, width, keep
+
+    def rounds(self) -> list[str]:
+        """Names of the rounds that are over and kept, in order."""
+        return [n for n in store.names(self.spark, f"{self.path}/manifests") if store.exists(self.spark, f"{self.path}/manifests/{n}/_SUCCESS")]
+
+    def last(self) -> str | None:
+        return max(self.rounds(), default=None)
+
+    def folders(self, name: str | None = None) -> list[tuple[int, str]]:
+        """(bucket, round) of the folders that count after the last round; name: the last before that one."""
+        before = max((n for n in self.rounds() if name is None or n < name), default=None)
+        if before is None:
+            return []
+        rows = self.spark.read.schema("bucket long, of string").parquet(f"{self.path}/manifests/{before}").collect()  # buckets times rounds that wrote to them
+        return sorted(tuple(r) for r in rows if r.of)
+
+    def _rows(self, folders: list[tuple[int, str]]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/waiting/{of}/bucket={bucket}" for bucket, of in folders])
+
+    def waiting(self, name: str | None = None) -> DataFrame:
+        """All rows that wait after the last round; name: the last before that one."""
+        return self._rows(self.folders(name))
+
+    def due(self, now, name: str | None = None) -> DataFrame:
+        """Rows of the buckets that have begun by ``now``, a timestamp column."""
+        bucket = self.spark.range(1).select(self._bucket(now)).first()[0]
+        return self._rows([f for f in self.folders(name) if f[0] <= bucket])
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, deliver: Deliver, most: int = jobs.MOST_ATTEMPTS):
-        self.spark, self.path, self.deliver, self.most = spark, path, deliver, most
-        self.waiting = store.Rounds(spark, f"{path}/waiting", schema)
+    def _bucket(self, at):
+        """A row without a time is due at once."""
+        return F.coalesce(F.floor(F.unix_seconds(at.cast("timestamp")) / self.width), F.lit(0)).cast("long")
 
     def round(self, name: str, fresh: DataFrame | None = None, now=None) -> None:
-        """Tries fresh rows and those of the last round that are due; the others wait. The same name again gives the same."""
-        now = F.current_timestamp() if now is None else now
-        before = self.waiting.before(name)
+        """Tries fresh rows and waiting ones that are due; the others wait. The same name again gives the same."""
+        now = F.lit(self.spark.range(1).select(F.current_timestamp().cast("string")).first()[0] if now is None else now).cast("timestamp")
+        bucket = self.spark.range(1).select(self._bucket(now)).first()[0]
+        folders = self.folders(name)
+        opened = [f for f in folders if f[0] <= bucket]
+        before = self._rows(opened)
         if fresh is not None:
             before = before.unionByName(fresh.select(*before.columns))
         due = F.coalesce(F.col("next_attempt_at") <= now, F.lit(True))
@@ -63,7 +110,26 @@ class Outbox:
         dead, alive = jobs.exhausted(back, self.most)
         done.write.mode("overwrite").parquet(f"{self.path}/delivered/round={name}")
         dead.write.mode("overwrite").parquet(f"{self.path}/dead/round={name}")
-        self.waiting.write(name, before.where(~due).unionByName(alive))
+        rest = before.where(~due).unionByName(alive).withColumn("bucket", self._bucket(F.col("next_attempt_at")))
+        rest.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/waiting/{name}")
+        written = store.numbers(self.spark, f"{self.path}/waiting/{name}", "bucket=")
+        live = [f for f in folders if f not in opened] + [(b, name) for b in written]
+        manifest = self.spark.createDataFrame(live or [(0, "")], "bucket long, of string")
+        manifest.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifests/{name}")  # last: the round counts from here
+        self._forget()
+
+    def _forget(self) -> None:
+        """Removes what no kept round reads: a round reads the folders of the one before it."""
+        rounds = self.rounds()
+        old, kept = rounds[: -self.keep - 1], rounds[-self.keep - 1 :]
+        if not old:
+            return
+        read = {f for n in kept for f in self.folders(f"{n}\0")}
+        gone = {f for n in old for f in self.folders(f"{n}\0")} - read
+        store.remove(self.spark, *[f"{self.path}/waiting/{of}/bucket={bucket}" for bucket, of in sorted(gone)])
+        live = {of for _, of in read}
+        store.remove(self.spark, *[f"{self.path}/waiting/{of}" for of in {of for _, of in gone} - live])
+        store.remove(self.spark, *[f"{self.path}/{kind}/{n}" for n in old for kind in ("answers", "manifests")])
 
     def batch(self, fresh: DataFrame, number: int) -> None:
         """A micro-batch of the stream."""
@@ -71,7 +137,7 @@ class Outbox:
 
     def retry(self, now=None) -> None:
         """A round without fresh rows, between micro-batches: what is due is tried."""
-        number, _, again = (self.waiting.last() or "000000000000-0000").partition("-")
+        number, _, again = (self.last() or "000000000000-0000").partition("-")
         self.round(f"{number}-{int(again) + 1:04}", now=now)
 
 
