@@ -1,24 +1,39 @@
 """Text search over units: documents, postings, exact, prefix and fuzzy tokens, BM25 ranks.
 
-A unit's document holds its constants' values. An index is three tables: the
-postings (doc_id, token, tf), the distinct tokens and the documents' lengths; it
-is written once (:func:`write_index`) and read by token. What a query's tokens
-meet is looked for among the distinct tokens, then joined with their postings.
+A unit's document holds its constants' values. An index is written once
+(:func:`write_index`) and is these tables:
+
+* ``postings`` (doc_id, token, tf) and ``lengths`` (doc_id, len), ``stats``, one row;
+* ``tokens`` (token, df), sorted: a beginning is a range of it;
+* ``keys`` (key, cut, token): what is left of a token's first seven characters
+  when at most two are deleted. Tokens within two edits of each other share a
+  key, so a fuzzy lookup is an equi-join of few keys, verified by distance;
+* ``blocks`` (token, window, n, max_tf, min_len, docs): a token's postings in a
+  window of some 64 documents, with what bounds their scores.
+
+Keys and blocks stand in folders by a hash, of which a lookup opens those it needs.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Catalogue
 from ..functions import text as T
+from . import store
 
 TOKEN = r"[\p{L}\p{N}_]+(?:[.'][\p{L}\p{N}_]+)*"
 K1, B = 1.2, 0.75
 LEAST_GRAM, MOST_GRAM = 2, 20
+PREFIX, MOST_EDITS = 7, 2
+BUCKETS, WINDOW_DOCS = 64, 64
+FEW_ROWS = 200_000
 
 
 def tokens(text: Column) -> Column:
@@ -54,31 +69,80 @@ def postings(docs: DataFrame, id_col: str, values: Column) -> DataFrame:
 
 @dataclass
 class Index:
-    """postings (doc_id, token, tf), tokens (token), lengths (doc_id, len)."""
+    """postings (doc_id, token, tf), tokens (token, df), lengths (doc_id, len); path: where it is written, with keys and blocks, or None."""
 
     postings: DataFrame
     tokens: DataFrame
     lengths: DataFrame
+    path: str | None = None
 
     @classmethod
     def of(cls, posting: DataFrame) -> Index:
         """The index that postings make, not written."""
-        return cls(posting, posting.select("token").distinct(), posting.groupBy("doc_id").agg(F.sum("tf").alias("len")))
+        return cls(posting, posting.groupBy("token").agg(F.count(F.lit(1)).alias("df")), posting.groupBy("doc_id").agg(F.sum("tf").alias("len")))
 
     @classmethod
     def at(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "tokens", "lengths")])
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "tokens", "lengths")], path)
+
+    def table(self, name: str) -> DataFrame:
+        return self.tokens.sparkSession.read.parquet(f"{self.path}/{name}")
+
+
+TABLES = ("postings", "tokens", "lengths", "stats", "keys", "blocks")
+
+
+def _bucket(text: Column) -> Column:
+    return (F.crc32(F.encode(text, "UTF-8")) % BUCKETS).cast("int")
+
+
+def _buckets(texts: list[str]) -> list[int]:
+    return sorted({zlib.crc32(t.encode()) % BUCKETS for t in texts})
+
+
+def deletion_keys(token: Column) -> Column:
+    """array<struct<key, cut>>: the first characters of a token without none, one or two of them."""
+    start = F.substring(token, 1, PREFIX)
+
+    def cuts(t: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.length(t)), lambda i: i > 0)
+        return F.transform(places, lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.lit(PREFIX))))
+
+    told = lambda keys, n: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(n).alias("cut")))
+    once = cuts(start)
+    return F.array_distinct(F.concat(told(F.array(start), 0), told(once, 1), told(F.flatten(F.transform(once, cuts)), 2)))
+
+
+def _keys_of(asked: str, edits: int) -> set[str]:
+    """The keys by which a query token finds those within so many edits."""
+    keys = level = {asked[:PREFIX]}
+    for _ in range(edits):
+        level = {k[:i] + k[i + 1 :] for k in level for i in range(len(k))}
+        keys = keys | level
+    return keys
 
 
 def write_index(docs: DataFrame, id_col: str, values: Column, path: str) -> Index:
-    """Writes the index of documents under a folder, postings sorted by token, and opens it."""
+    """Writes the index of documents under a folder and opens it."""
     spark = docs.sparkSession
-    posting = postings(docs, id_col, values)
-    posting.repartitionByRange("token").sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    write = lambda rows, name, *by: rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
+    write(postings(docs, id_col, values).repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id"), "postings")
     made = Index.of(spark.read.parquet(f"{path}/postings"))
-    made.tokens.write.mode("overwrite").parquet(f"{path}/tokens")
-    made.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    return Index.at(spark, path)
+    write(made.tokens.repartitionByRange("token").sortWithinPartitions("token"), "tokens")
+    write(made.lengths, "lengths")
+    made = Index.at(spark, path)
+    stats = made.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    write(stats.withColumn("windows", F.greatest(F.lit(1), F.ceil(F.col("n") / WINDOW_DOCS))).coalesce(1), "stats")
+    windows = made.table("stats").first()["windows"]
+    keys = made.tokens.select("token", F.inline(deletion_keys(F.col("token")))).withColumn("bucket", _bucket(F.col("key")))
+    write(keys.repartitionByRange("bucket", "key", "token").sortWithinPartitions("bucket", "key"), "keys", "bucket")
+    rows = made.postings.join(made.lengths, "doc_id").withColumn("window", F.pmod(F.xxhash64("doc_id"), F.lit(windows)))
+    blocks = rows.groupBy("token", "window").agg(
+        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("docs")
+    )
+    blocks = blocks.withColumn("bucket", _bucket(F.col("token")))
+    write(blocks.repartitionByRange("bucket", "token", "window").sortWithinPartitions("bucket", "token", "window"), "blocks", "bucket")
+    return made
 
 
 def close(token: Column, asked: str, distance: int, transpositions: bool = False) -> Column:
@@ -101,19 +165,40 @@ def check_request(rows: int | None, fuzzy: int | None) -> tuple[int, int]:
     return min(100, max(1, 10 if rows is None else rows)), fuzzy
 
 
-def matches(index: Index, asked: list[str], distance: int, transpositions: bool = False) -> DataFrame:
-    """(doc_id, q, token, tf, exact, prefix) of the postings that a query's tokens meet.
+def met_tokens(index: Index, asked: list[str], distance: int, transpositions: bool = False) -> DataFrame:
+    """(token, q, exact, prefix): the index's tokens that a query's tokens meet, as words within the distance or as beginnings.
 
-    The query's few tokens are literals of one filter over the distinct tokens;
-    those that are met are joined with their postings.
+    In a written index beginnings are ranges of the sorted tokens, and words are
+    found by their keys; in another one the distinct tokens are filtered.
     """
-    hits = []
-    for q in dict.fromkeys(asked):
-        exact = close(F.col("token"), q, distance, transpositions)
-        prefix = F.col("token").startswith(q) & F.lit(LEAST_GRAM <= len(q) <= MOST_GRAM)
-        hits.append(F.when(exact | prefix, F.struct(F.lit(q).alias("q"), exact.alias("exact"), prefix.alias("prefix"))))
-    met = index.tokens.select("token", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("hit"))
-    return index.postings.join(met, "token").select("doc_id", "token", "tf", "hit.q", "hit.exact", "hit.prefix")
+    asked = list(dict.fromkeys(asked))
+    within = lambda q: close(F.col("token"), q, distance, transpositions)
+    grams = [q for q in asked if LEAST_GRAM <= len(q) <= MOST_GRAM]
+    spark = index.tokens.sparkSession
+    none = spark.createDataFrame([], "token string, q string")
+    begun = reduce(DataFrame.unionByName, [index.tokens.where(F.col("token").startswith(q)).select("token", F.lit(q).alias("q")) for q in grams], none)
+    if index.path is None:
+        words = reduce(DataFrame.unionByName, [index.tokens.where(within(q)).select("token", F.lit(q).alias("q")) for q in asked], none)
+    else:
+        pairs = {(q, k) for q in asked for k in _keys_of(q, distance)}
+        if transpositions and distance:
+            pairs |= {(q, k) for q in asked for i in range(len(q) - 1) for k in _keys_of(q[:i] + q[i + 1] + q[i] + q[i + 2 :], distance - 1)}
+        keys = index.table("keys").where(F.col("bucket").isin(_buckets([k for _, k in pairs])) & (F.col("cut") <= distance))
+        wanted = spark.createDataFrame(sorted(pairs), "q string, key string")  # some 30 for each query token
+        near = keys.join(F.broadcast(wanted), "key").select("token", "q").distinct()
+        words = near.where(reduce(or_, [(F.col("q") == q) & within(q) for q in asked], F.lit(False)))
+    both = words.withColumns({"exact": F.lit(True), "prefix": F.lit(False)}).unionByName(begun.withColumns({"exact": F.lit(False), "prefix": F.lit(True)}))
+    return both.groupBy("token", "q").agg(F.max("exact").alias("exact"), F.max("prefix").alias("prefix"))
+
+
+def matches(index: Index, asked: list[str], distance: int, transpositions: bool = False) -> DataFrame:
+    """(doc_id, q, token, tf, exact, prefix) of the postings that a query's tokens meet."""
+    return index.postings.join(met_tokens(index, asked, distance, transpositions), "token").select("doc_id", "token", "tf", "q", "exact", "prefix")
+
+
+def _bm25(tf: Column, length: Column, df: Column, n: Column, avg_len: Column) -> Column:
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    return F.coalesce(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len)), F.lit(0.0))
 
 
 def ranked(index: Index, asked: list[str], distance: int = 1, transpositions: bool = False) -> DataFrame:
@@ -124,13 +209,63 @@ def ranked(index: Index, asked: list[str], distance: int = 1, transpositions: bo
     per = found.groupBy("doc_id", "q").agg(F.sum(F.when(F.col("exact"), F.col("tf"))).alias("tf_w"), F.sum(F.when(F.col("prefix"), F.col("tf"))).alias("tf_p"))
     df = per.groupBy("q").agg(F.count("tf_w").alias("df_w"), F.count("tf_p").alias("df_p"))
     rows = per.join(F.broadcast(df), "q").join(lengths, "doc_id").crossJoin(F.broadcast(whole))  # a row a query token, and one row
+    part = lambda tf, df_: _bm25(F.col(tf), F.col("len"), F.col(df_), F.col("n"), F.col("avg_len"))
+    return rows.groupBy("doc_id").agg(F.round(F.sum(F.greatest(2 * part("tf_w", "df_w"), part("tf_p", "df_p"))), 6).alias("score"))
+
 
-    def bm25(tf, df_):
-        idf = F.log(1 + (F.col("n") - df_ + 0.5) / (df_ + 0.5))
-        return F.coalesce(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))), F.lit(0.0))
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS else rows
 
-    best = F.greatest(2 * bm25(F.col("tf_w"), F.col("df_w")), bm25(F.col("tf_p"), F.col("df_p")))
-    return rows.groupBy("doc_id").agg(F.round(F.sum(best), 6).alias("score"))
+
+def top_k(index: Index, asked: list[str], k: int = 10, distance: int = 1, transpositions: bool = False) -> tuple[DataFrame, dict[str, int]]:
+    """(the k best of :func:`ranked`, what was read) of a written index, without scoring the rest.
+
+    Each window's blocks bound the scores of its documents. The k windows of the
+    highest bounds are scored; the score of the k-th document of those is one
+    that the answer reaches, so of the other windows only those are scored whose
+    bound isn't below it. read: postings that were met and those scored.
+    """
+    spark = index.tokens.sparkSession
+    root = store.work_folder(spark, "top-k")
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{root}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{root}/{name}")
+
+    kinds = F.filter(F.array(F.when(F.col("exact"), F.lit("w")), F.when(F.col("prefix"), F.lit("p"))), lambda x: x.isNotNull())
+    met = written(met_tokens(index, asked, distance, transpositions).join(index.tokens, "token").select("token", "q", "df", F.posexplode(kinds).alias("nth", "kind")), "met")
+    opened = [r[0] for r in met.select(_bucket(F.col("token"))).distinct().collect()]
+    blocks = index.table("blocks").where(F.col("bucket").isin(opened)).join(_few(met.drop("df")), "token")
+    # Documents that meet a query token: of one index token its df, of several the union of their blocks.
+    n_df = {(r.q, r.kind): (r.tokens, r.df) for r in met.groupBy("q", "kind").agg(F.count(F.lit(1)).alias("tokens"), F.sum("df").alias("df")).collect()}  # two a query token
+    several = [f"{kind}:{q}" for (q, kind), (tokens, _) in n_df.items() if tokens > 1]
+    unions = blocks.where(F.concat_ws(":", "kind", "q").isin(several)).groupBy("q", "kind", "window").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.col("docs.doc_id"))))).alias("n"))
+    n_df = {key: df for key, (_, df) in n_df.items()} | {(r.q, r.kind): r.n for r in unions.groupBy("q", "kind").agg(F.sum("n").alias("n")).collect()}
+    n, avg_len, _ = index.table("stats").first()
+
+    def best(tf_w: Column, tf_p: Column, length: Column) -> Column:
+        """A query token's part of a score."""
+        df = lambda kind: reduce(lambda other, q: F.when(F.col("q") == q, float(n_df.get((q, kind), 0))).otherwise(other), dict.fromkeys(asked), F.lit(0.0))
+        return F.greatest(2 * _bm25(tf_w, length, df("w"), F.lit(n), F.lit(avg_len)), _bm25(tf_p, length, df("p"), F.lit(n), F.lit(avg_len)))
+
+    of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col(c)))
+    most = blocks.groupBy("window", "q").agg(of("w", "max_tf").alias("w"), of("p", "max_tf").alias("p"), F.min("min_len").alias("len"), F.sum(F.when(F.col("nth") == 0, F.col("n")).otherwise(0)).alias("postings"))
+    bounds = most.groupBy("window").agg(F.sum(best(F.col("w"), F.col("p"), F.col("len"))).alias("bound"), F.sum("postings").alias("postings"))
+    bounds = written(bounds, "bounds")
+
+    def scored(windows: DataFrame) -> DataFrame:
+        rows = blocks.join(_few(windows.select("window")), "window").select("q", "kind", F.inline("docs"))
+        per = rows.groupBy("doc_id", "q").agg(of("w", "tf").alias("w"), of("p", "tf").alias("p"), F.min("len").alias("len"))
+        return per.groupBy("doc_id").agg(F.round(F.sum(best(F.col("w"), F.col("p"), F.col("len"))), 6).alias("score"))
+
+    order = [F.desc("score"), F.col("doc_id")]
+    first = bounds.where(F.col("window").isin([r.window for r in bounds.orderBy(F.desc("bound"), "window").limit(k).collect()]))
+    leading = written(scored(first).orderBy(*order).limit(k), "leading")
+    lead, reached = leading.count(), leading.agg(F.min("score")).first()[0]
+    rest = bounds.join(F.broadcast(first.select("window")), "window", "left_anti")  # k windows
+    rest = rest.where(F.col("bound") >= (reached - 1e-5 if lead == k else -1.0))
+    read = {"met": bounds.agg(F.sum("postings")).first()[0] or 0, "scored": first.unionByName(rest).agg(F.sum("postings")).first()[0] or 0}
+    return leading.unionByName(scored(rest)).orderBy(*order).limit(k), read
 
 
 def phrase_boost(docs: DataFrame, id_col: str, values: Column, asked: list[str], boost: float = 3.0) -> DataFrame:

@@ -312,12 +312,6 @@ def _(cat):
     return units.unit_counts(cat, P, W, structural=["FIELD_STORE", "ANNOTATION_VALUE"], value_type=["Integer", "Long"])
 
 
-@catalogue_query("F14_projection", "SELECT constant_value AS value, constant_value_type AS value_type, structural_type, confidence FROM unit_constants c JOIN constant_usages u ON u.constant_id=c.id WHERE snapshot_id%700=102")
-def _(cat):
-    rows = cat.constants.where("snapshot_id % 700 = 102").withColumnRenamed("id", "constant_id").join(cat.usages, "constant_id")
-    return rows.select(F.col("constant_value").alias("value"), F.col("constant_value_type").alias("value_type"), "structural_type", "confidence")
-
-
 @catalogue_query("F14_projection_whole", "SELECT constant_value AS value, constant_value_type AS value_type, structural_type, confidence FROM unit_constants c JOIN constant_usages u ON u.constant_id=c.id")
 def _(cat):
     rows = cat.constants.withColumnRenamed("id", "constant_id").join(cat.usages, "constant_id")
@@ -770,12 +764,6 @@ def _(cat):
     return diff.only(_entries(cat), "changed").select("path", "value")
 
 
-@catalogue_query("O07_diff_rows", "SELECT snapshot_id, constant_value, structural_type FROM unit_constants c JOIN constant_usages u ON u.constant_id=c.id WHERE snapshot_id%500=203 ORDER BY 1,2")
-def _(cat):
-    rows = cat.constants.where("snapshot_id % 500 = 203").withColumnRenamed("id", "constant_id").join(cat.usages, "constant_id")
-    return rows.select("snapshot_id", "constant_value", "structural_type").orderBy("snapshot_id", "constant_value")
-
-
 @catalogue_query("O07_rows_whole", "SELECT snapshot_id, constant_value, structural_type FROM unit_constants c JOIN constant_usages u ON u.constant_id=c.id ORDER BY 1,2")
 def _(cat):
     rows = cat.constants.withColumnRenamed("id", "constant_id").join(cat.usages, "constant_id")
@@ -794,9 +782,18 @@ TOKENISED = r"SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}
 ASKED, DISTANCE = ["the", "tion"], 1
 
 
-def _index(docs: DataFrame) -> search.Index:
-    """The documents' index, written: tokens are cut once, whatever the query reads."""
-    return search.write_index(docs, "doc_id", F.array("text"), store.work_folder(docs.sparkSession, "index"))
+#: where the index over a folder's documents stands, by application
+_indexed: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The documents' index; it is written once a session, as an index is."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexed:
+        root = store.work_folder(spark, "index")
+        search.write_index(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", F.array("text"), root)
+        _indexed[key] = root
+    return search.Index.at(spark, _indexed[key])
 
 
 @table_query("R01_S16_postings", "documents", f"SELECT doc_id, token, count(*) AS tf FROM ({TOKENISED}) GROUP BY ALL")
@@ -804,10 +801,10 @@ def _(docs):
     return search.postings(docs, "doc_id", F.array("text"))
 
 
-@table_query("S16_index_sink", "documents", f"SELECT token, count(DISTINCT doc_id) AS docs, count(*) AS n FROM ({TOKENISED}) GROUP BY token")
-def _(docs):
+@query("S16_index_sink", f"SELECT token, count(DISTINCT doc_id) AS docs, count(*) AS n FROM ({TOKENISED}) GROUP BY token")
+def _(spark, sf_dir):
     """The written index's postings, summed by token."""
-    index = _index(docs)
+    index = _index(spark, sf_dir)
     return index.tokens.join(index.postings, "token").groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("n"))
 
 
@@ -816,8 +813,8 @@ def _(docs):
     """Rows that are left of an index's tables after a bulk clear."""
     spark, root = docs.sparkSession, store.work_folder(docs.sparkSession, "cleared")
     names = ("lengths", "postings", "tokens")
-    search.write_index(docs.limit(20), "doc_id", F.array("text"), root)
-    store.clear_all(spark, root, names)
+    search.write_index(docs, "doc_id", F.array("text"), root)
+    store.clear_all(spark, root, search.TABLES)
     counts = [spark.read.parquet(f"{root}/{n}").agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n in names]
     return counts[0].union(counts[1]).union(counts[2])
 
@@ -833,9 +830,19 @@ LEV = f"levenshtein(regexp_replace(p.token, '[^\\x00-\\x7F]', '?', 'g'), q)<={DI
 HITS = f"SELECT p.doc_id, q, p.token, tf, {LEV} AS exact, starts_with(p.token, q) AND length(q) BETWEEN 2 AND 20 AS prefix FROM (SELECT doc_id, token, count(*) AS tf FROM ({TOKENISED}) GROUP BY ALL) p, (VALUES ('the'),('tion')) t(q) WHERE {LEV} OR starts_with(p.token, q)"
 
 
-@table_query("R03_R04_fuzzy_matches", "documents", HITS)
-def _(docs):
-    return search.matches(_index(docs), ASKED, DISTANCE)
+@query("R03_R04_fuzzy_matches", HITS)
+def _(spark, sf_dir):
+    return search.matches(_index(spark, sf_dir), ASKED, DISTANCE)
+
+
+TWO = "levenshtein(regexp_replace(token, '[^\\x00-\\x7F]', '?', 'g'), q)"
+
+
+@query("R04_fuzzy_tokens", f"SELECT DISTINCT token, q, {TWO} AS distance FROM ({TOKENISED}), (VALUES ('tion'),('commit'),('streets'),('x')) t(q) WHERE {TWO}<=2")
+def _(spark, sf_dir):
+    """Tokens within two edits, by their keys."""
+    met = search.met_tokens(_index(spark, sf_dir), ["tion", "commit", "streets", "x"], 2).where("exact")
+    return met.select("token", "q", F.levenshtein("token", "q").alias("distance"))
 
 
 BM = "coalesce(ln(1+(n-{d}+0.5)/({d}+0.5))*{t}*2.2/({t}+1.2*(0.25+0.75*len/avg_len)),0)"
@@ -844,27 +851,38 @@ RANKED = f"""WITH hit AS ({HITS}), lens AS (SELECT doc_id, count(*) AS len FROM
  SELECT per.doc_id, round(sum(greatest(2*{BM.format(d="dw", t="tw")}, {BM.format(d="dp", t="tp")})),6) AS score FROM per JOIN f USING (q) JOIN lens ON lens.doc_id=per.doc_id CROSS JOIN w GROUP BY per.doc_id"""
 
 
-@table_query("R05_ranked", "documents", f"SELECT doc_id, round(score,4) AS score FROM ({RANKED})")
-def _(docs):
-    got = search.ranked(_index(docs), ASKED, DISTANCE)
+@query("R05_ranked", f"SELECT doc_id, round(score,4) AS score FROM ({RANKED})")
+def _(spark, sf_dir):
+    got = search.ranked(_index(spark, sf_dir), ASKED, DISTANCE)
     return got.select("doc_id", F.round("score", 4).alias("score"))
 
 
-@table_query("O08_R07_top_k", "documents", f"SELECT doc_id, total_found FROM (SELECT doc_id, score, count(*) OVER () AS total_found FROM ({RANKED})) ORDER BY round(score,4) DESC, doc_id LIMIT 10")
-def _(docs):
-    scored = search.ranked(_index(docs), ASKED, DISTANCE)
+@query("R05_O08_block_max", f"SELECT doc_id, round(score,4) AS score FROM ({RANKED}) ORDER BY round(score,6) DESC, doc_id LIMIT 10")
+def _(spark, sf_dir):
+    """The ten best, scored in the windows whose bound reaches them."""
+    best, _ = search.top_k(_index(spark, sf_dir), ASKED, 10, DISTANCE)
+    return best.select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query("O08_R07_top_k", f"SELECT doc_id, total_found FROM (SELECT doc_id, score, count(*) OVER () AS total_found FROM ({RANKED})) ORDER BY round(score,4) DESC, doc_id LIMIT 10")
+def _(spark, sf_dir):
+    scored = search.ranked(_index(spark, sf_dir), ASKED, DISTANCE)
     total = scored.agg(F.count(F.lit(1)).alias("total_found"))
     return scored.orderBy(F.desc(F.round("score", 4)), "doc_id").limit(10).select("doc_id").crossJoin(F.broadcast(total))
 
 
-@catalogue_query("R06_R09_search_units", "SELECT 1 AS ok WHERE true")
-def _(cat):
-    name = cat.constants.agg(F.min("constant_value")).first()[0]
-    got = search.search(search.documents(cat), name, project=P, rows=10, fuzzy=1)
-    return got.agg(F.min(F.when((F.col("project") == P) & (F.col("total_found") >= 1), 1).otherwise(0)).cast("int").alias("ok"))
+WORDS = r"regexp_extract_all(lower(v), '[\p{L}\p{N}_]+(?:[.''][\p{L}\p{N}_]+)*')"
+FOUND = f"""WITH docs AS (SELECT DISTINCT d.project||':'||s.unit_name||':'||d.version AS doc_id, c.constant_value AS v FROM unit_descriptors d JOIN unit_snapshots s ON s.descriptor_id=d.id JOIN unit_constants c ON c.snapshot_id=s.id JOIN constant_usages u ON u.constant_id=c.id WHERE d.project='ASIA'),
+ term AS (SELECT lower(min(constant_value)) AS term FROM unit_constants), asked AS (SELECT DISTINCT unnest(string_split(term, ' ')) AS q FROM term),
+ post AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS token FROM docs) GROUP BY ALL), lens AS (SELECT doc_id, sum(tf) AS len FROM post GROUP BY doc_id), w AS (SELECT count(*) AS n, avg(len) AS avg_len FROM lens),
+ hit AS (SELECT doc_id, q, tf, levenshtein(token, q)<=1 AS exact, starts_with(token, q) AND length(q) BETWEEN 2 AND 20 AS prefix FROM post, asked),
+ per AS (SELECT doc_id, q, sum(tf) FILTER (exact) AS tw, sum(tf) FILTER (prefix) AS tp FROM hit WHERE exact OR prefix GROUP BY ALL), f AS (SELECT q, count(tw) AS dw, count(tp) AS dp FROM per GROUP BY q),
+ ranked AS (SELECT per.doc_id, round(sum(greatest(2*{BM.format(d="dw", t="tw")}, {BM.format(d="dp", t="tp")})),6) AS score FROM per JOIN f USING (q) JOIN lens ON lens.doc_id=per.doc_id CROSS JOIN w GROUP BY per.doc_id),
+ boost AS (SELECT DISTINCT doc_id, 3.0 AS boost FROM docs, term WHERE contains(' '||array_to_string({WORDS}, ' ')||' ', ' '||term||' '))
+ SELECT doc_id, round(score+coalesce(boost, 0),4) AS score, count(*) OVER () AS total_found FROM ranked LEFT JOIN boost USING (doc_id) ORDER BY score+coalesce(boost, 0) DESC, doc_id LIMIT 10"""
 
 
-@catalogue_query("R06_R09_search_hits")
+@catalogue_query("R06_R09_search_hits", FOUND)
 def _(cat):
     name = cat.constants.agg(F.min("constant_value")).first()[0]
     got = search.search(search.documents(cat), name, project=P, rows=10, fuzzy=1)

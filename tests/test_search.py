@@ -71,3 +71,52 @@ def test_search_hits_of_the_catalogue(spark):
     got = QUERIES["R06_R09_search_hits"](spark, SMALL).collect()
     assert got
     compare(got, plain(docs, term, 10, 1))
+
+
+def index_of(spark, path, docs):
+    from pyspark.sql import functions as F
+
+    return search.write_index(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", F.array("text"), str(path))
+
+
+def test_keys_find_all_tokens_within_the_distance(spark, tmp_path):
+    rng = random.Random(4)
+    words = {"".join(rng.choices("abcé", k=rng.randint(1, 12))) for _ in range(700)} | {"x" * 5000, "the", "hte", "teh", "abcdefghij", "abcdefghji"}
+    index = index_of(spark, tmp_path, [(0, " ".join(sorted(words)))])
+    asked = ["the", "abc", "a", "caébacbaabc", "abcdefghij", "bbbbbbbbbb"]
+    for distance in (0, 1, 2):
+        got = {(r.token, r.q) for r in search.met_tokens(index, asked, distance).where("exact").collect()}
+        assert got == {(w, q) for w in words for q in asked if abs(len(w) - len(q)) < 3 and edits(w, q) <= distance}
+    swapped = {(r.token, r.q) for r in search.met_tokens(index, ["the", "abcdefghij"], 1, True).where("exact").collect()}
+    assert {("hte", "the"), ("teh", "the"), ("abcdefghji", "abcdefghij")} <= swapped
+    begun = {(r.token, r.q) for r in search.met_tokens(index, asked, 1).where("prefix").collect()}
+    assert begun == {(w, q) for w in words for q in asked if w.startswith(q) and len(q) > 1}
+
+
+def test_fuzzy_words_open_folders_of_keys_and_no_list_of_tokens(spark, tmp_path):
+    index = index_of(spark, tmp_path, [(k, f"word{k} other{k}") for k in range(500)])
+    asked = "x" * 30  # too long for a beginning
+    plan = search.met_tokens(index, [asked], 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert len(search._buckets(search._keys_of(asked, 1))) <= 8 < search.BUCKETS
+
+
+@pytest.mark.parametrize(("asked", "distance"), [(["alpha"], 0), (["alpha", "be"], 1), (["rare"], 0), (["nothing"], 0), (["rare", "alpha", "gam"], 2)])
+def test_top_k_equals_the_whole_ranking(spark, tmp_path, asked, distance):
+    rng = random.Random(9)
+    words = ["alpha", "beta", "bets", "gamma", "alpah", "delta"]
+    docs = [(k, " ".join(rng.choices(words, k=rng.randint(0, 60)) + ["rare"] * (k % 97 == 0) * rng.randint(1, 9))) for k in range(1500)]
+    index = index_of(spark, tmp_path, docs)
+    got, read = search.top_k(index, asked, 10, distance)
+    want = sorted(((-r.score, r.doc_id) for r in search.ranked(index, asked, distance).collect()))[:10]
+    assert [(-r.score, r.doc_id) for r in got.collect()] == want
+    assert read["scored"] <= read["met"]
+
+
+def test_top_k_leaves_windows_out(spark, tmp_path):
+    """Few documents say a word often: the others' windows aren't scored."""
+    docs = [(k, "filler " * 50 + ("needle " * 40 if k in (5, 700, 1999) else "needle")) for k in range(2000)]
+    index = index_of(spark, tmp_path, docs)
+    got, read = search.top_k(index, ["needle"], 3, 0)
+    assert {r.doc_id for r in got.collect()} == {5, 700, 1999}
+    assert read["met"] == 2000 and read["scored"] < 400
