@@ -44,6 +44,11 @@ def own_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, ANNOUNCED, ""), QUOTED, "")
 
 
+def message_id(*columns: str) -> Column:
+    """128 bits of the digest of a row's columns; a null differs from every value, and from a null elsewhere."""
+    return F.substring(F.unhex(F.sha2(F.to_json(F.struct(*columns)), 256)), 1, 16)
+
+
 def _filled(units: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(units, normal)), lambda x: x != "")
 
@@ -134,8 +139,8 @@ def link_conversations(
     it sorts as text within a conversation. reply_to: turn of the message answered, null if none is
     quoted. outside: passages whose original is in another conversation. text:
     without quotes; null stays null. Rows without a conversation are one, that of
-    the smallest long; a null turn counts as 0. Rows that repeat count as one message and are each
-    returned; of unlike rows of one turn, one reply counts for the order.
+    the smallest long; a null turn counts as 0. Rows that repeat, nulls in the same places, count as
+    one message and are each returned; of unlike rows of one turn, one reply counts for the order.
     """
     spark: SparkSession = messages.sparkSession
     scratch = scratch or Scratch(spark, "quote-links")
@@ -146,7 +151,7 @@ def link_conversations(
         F.col(role_col).cast("string").alias("role"),
         F.col(text_col).cast("string").alias("text"),
     )
-    rows = rows.withColumn("group", F.coalesce("conv_id", F.lit(NO_CONVERSATION))).withColumn("mid", F.xxhash64("group", "turn", "role", "text"))
+    rows = rows.withColumn("group", F.coalesce("conv_id", F.lit(NO_CONVERSATION))).withColumn("mid", message_id("group", "turn", "role", "text"))
     one = rows.select("mid", F.col("group").alias("conv_id"), "turn", F.coalesce("text", F.lit("")).alias("text"))
     links = link_quotes(one, scratch)
     inside = (F.col("source_conv") == F.col("conv_id")) & (F.col("source_turn") < F.col("turn"))

@@ -586,3 +586,17 @@ def test_empty_tables(spark, empty):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_rows_equal_sql(spark, name):
     assert_same(registry.queries()[name](spark, SMALL), registry.oracle_sql()[name], SMALL)
+
+
+def test_messages_that_differ_in_nulls_are_two(spark):
+    """A role and a text change places with a null: each row keeps its own quotes, or none."""
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, 0, "user", "a b c d"), (1, 1, None, "> a b c d\nyes"), (1, 1, "> a b c d\nyes", None), (1, 1, "> a b c d\nyes", ""), (None, 1, "x", None), (None, None, "x", "")]
+    got = quote_links.link_conversations(spark.createDataFrame(rows, schema)).collect()
+    quotes = {(r.conv_id, r.turn, r.role, r.text): (r.n_quotes, r.n_linked) for r in got}
+    assert quotes == {
+        (1, 0, "user", "a b c d"): (0, 0), (1, 1, None, "yes"): (1, 1), (1, 1, "> a b c d\nyes", None): (0, 0), (1, 1, "> a b c d\nyes", ""): (0, 0),
+        (None, 1, "x", None): (0, 0), (None, None, "x", ""): (0, 0),
+    }
+    ids = spark.createDataFrame(rows, schema).select(quote_links.message_id("conv_id", "turn", "role", "text")).distinct()
+    assert ids.count() == len(rows)
