@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations", "embeddings")
@@ -58,8 +58,33 @@ def with_views(sql: str, recursive: bool = False) -> str:
 
 #: where the catalogue over a folder of test tables stands, by application
 _written: dict[tuple[str, str], str] = {}
-#: how its large tables are laid out: what lookups and joins narrow them by
-SORTED = {"unit_constants": "snapshot_id", "constant_usages": "constant_id"}
+#: How the large tables are laid out: in folders by a hash of the unit's snapshot,
+#: in the order of what they are joined by, with bloom filters on what they are looked up by.
+BUCKETS = 64
+LOOKED_UP = {"unit_descriptors": ("path",), "unit_snapshots": ("unit_name", "descriptor_id"), "unit_constants": ("snapshot_id",), "constant_usages": ("constant_id",)}
+SORTED = {"unit_descriptors": ("project", "version", "path"), "unit_snapshots": ("unit_name", "descriptor_id"), "unit_constants": ("snapshot_id", "id"), "constant_usages": ("constant_id",)}
+
+
+def bucket_of(snapshot_id: Column) -> Column:
+    """The folder that a unit's constants and usages stand in."""
+    return F.pmod(F.xxhash64(snapshot_id.cast("long")), F.lit(BUCKETS)).cast("int")
+
+
+def write_tables(frames: dict[str, DataFrame], root: str) -> None:
+    """Writes a catalogue's tables under a folder, laid out for lookups by unit and for scans alike."""
+    frames = dict(frames)
+    constants = frames["unit_constants"].withColumn("bucket", bucket_of(F.col("snapshot_id")))
+    if "constant_usages" in frames:  # a usage stands with its constant's unit
+        frames["constant_usages"] = frames["constant_usages"].join(constants.select(F.col("id").alias("constant_id"), "bucket"), "constant_id")
+    frames["unit_constants"] = constants
+    for name, rows in frames.items():
+        by = ("bucket",) if "bucket" in rows.columns else ()
+        if name in SORTED:
+            rows = rows.repartitionByRange(*by, *SORTED[name]).sortWithinPartitions(*by, *SORTED[name])
+        writer = rows.write.partitionBy(*by)
+        for column in LOOKED_UP.get(name, ()):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(f"{root}/{name}")
 
 
 def _write(spark: SparkSession, sf_dir: str) -> str:
@@ -68,10 +93,7 @@ def _write(spark: SparkSession, sf_dir: str) -> str:
     for name in BASE_TABLES[:2] + ("supplier", "part", "lineitem"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     root = work_folder(spark, "catalogue")
-    for name in VIEWS:
-        rows = spark.sql(with_views(f"SELECT * FROM {name}"))
-        rows = rows.repartitionByRange(SORTED[name]).sortWithinPartitions(SORTED[name]) if name in SORTED else rows
-        rows.write.parquet(f"{root}/{name}")
+    write_tables({name: spark.sql(with_views(f"SELECT * FROM {name}")) for name in VIEWS}, root)
     return root
 
 
@@ -86,12 +108,20 @@ class Catalogue:
     usages: DataFrame
     versions: DataFrame
     deletions: DataFrame
+    root: str | None = None
 
     @classmethod
     def at(cls, spark: SparkSession, root: str) -> Catalogue:
         """The catalogue written under a folder (see operators.store)."""
         names = ("unit_descriptors", "unit_snapshots", "unit_constants", "constant_usages", "project_versions", "version_deletions")
-        return cls(spark, *[spark.read.parquet(f"{root}/{n}") for n in names])
+        return cls(spark, *[spark.read.parquet(f"{root}/{n}").drop("bucket") for n in names], root)
+
+    def of_unit(self, snapshot_id: int) -> tuple[DataFrame, DataFrame]:
+        """(constants, usages) of the folder that a unit stands in: its own, and those of others there; all where tables aren't in folders."""
+        if self.root is None:
+            return self.constants, self.usages
+        bucket = self.spark.range(1).select(bucket_of(F.lit(snapshot_id))).first()[0]
+        return tuple(self.spark.read.parquet(f"{self.root}/{n}").where(F.col("bucket") == bucket).drop("bucket") for n in ("unit_constants", "constant_usages"))
 
     @classmethod
     def over(cls, spark: SparkSession, sf_dir: str) -> Catalogue:
@@ -99,6 +129,6 @@ class Catalogue:
         key = (spark.sparkContext.applicationId, sf_dir)
         if key not in _written:
             _written[key] = _write(spark, sf_dir)
-        frames = {n: spark.read.parquet(f"{_written[key]}/{n}") for n in VIEWS}
+        frames = {n: spark.read.parquet(f"{_written[key]}/{n}").drop("bucket") for n in VIEWS}
         usages = frames["constant_usages"].withColumns({c: F.lit(None).cast("string") for c in ("semantic_display_name", "location_class_name")})
-        return cls(spark, frames["unit_descriptors"], frames["unit_snapshots"], frames["unit_constants"], usages, frames["project_versions"], frames["version_deletions"])
+        return cls(spark, frames["unit_descriptors"], frames["unit_snapshots"], frames["unit_constants"], usages, frames["project_versions"], frames["version_deletions"], _written[key])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,25 @@ def merged_constants(cat: Catalogue, snapshots: DataFrame) -> DataFrame:
     return merged
 
 
+def find_snapshot(cat: Catalogue, project: str, path: str, version: int) -> int | None:
+    """The snapshot that a version has of a path, its own or inherited."""
+    unit = V.effective(cat, True, project, match_container=True, most_depth=V.MOST_DEPTH, wanted=(version,))
+    row = unit.where((F.col("version") == version) & (F.col("path") == path)).select("snapshot_id").first()
+    return None if row is None else row[0]
+
+
 def find_unit(cat: Catalogue, project: str, path: str, version: int) -> DataFrame:
-    """(value, value_type, usages) of a unit, its own or inherited over at most 50 parents; no rows if there is none."""
-    unit = V.effective(cat, True, project, match_container=True, most_depth=V.MOST_DEPTH, wanted=(version,)).where((F.col("version") == version) & (F.col("path") == path))
-    return merged_constants(cat, unit).drop("snapshot_id")
+    """(value, value_type, usages) of a unit, its own or inherited over at most 50 parents; no rows if there is none.
+
+    The snapshot is looked up first; then only the folder that its constants and
+    usages stand in is opened.
+    """
+    unit = find_snapshot(cat, project, path, version)
+    if unit is None:
+        unit = -1  # no snapshot has it
+    constants, usages = cat.of_unit(unit)
+    own = replace(cat, constants=constants.where(F.col("snapshot_id") == unit), usages=usages)
+    return merged_constants(own, cat.spark.createDataFrame([(unit,)], "snapshot_id long")).drop("snapshot_id")
 
 
 def find_key(cat: Catalogue, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +96,24 @@ def numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
     return sorted(int(n.removeprefix(prefix)) for n in names(spark, path) if n.startswith(prefix) and n.removeprefix(prefix).isdigit())
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file unless there is one of that name; whether it did."""
+    files, at = _folder(spark, path)
+    try:
+        out = files.create(at, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in str(error.java_exception) or "already exists" in str(error.java_exception):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r.value for r in spark.read.text(path).collect())
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Removes folders of written tables."""
     for path in paths:

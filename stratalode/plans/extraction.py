@@ -1,4 +1,4 @@
-"""Queries that show extraction from class files, one for each kind of usage and of instruction.
+"""Examples of extraction from class files, one for each kind of usage and of instruction.
 
 Each assembles a class, extracts it and returns the usages; the SQL holds the
 rows that must come out, written by hand.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources import extract
 from .assembler import Assembler, op, s4, u2
-from .registry import query
+from .registry import example
 
 PARAMETER, TARGET, ARITHMETIC = "METHOD_INVOCATION_PARAMETER", "METHOD_INVOCATION_TARGET", "ARITHMETIC_OPERAND"
 
@@ -41,7 +41,7 @@ def _sql(keys: tuple[str, ...], rows: list[tuple]) -> str:
 
 
 def method_query(name: str, rows: list[tuple], *keys: str, descriptor: str = "(I)V", flags: int = 9, cls: str = "p/T"):
-    """Registers a query over the usages of one method; the function gives its code, or (code, handlers)."""
+    """Registers an example over the usages of one method; the function gives its code, or (code, handlers)."""
 
     def add(code_of: Callable[[Assembler], bytes | tuple]) -> None:
         def run(spark, sf_dir):
@@ -51,7 +51,7 @@ def method_query(name: str, rows: list[tuple], *keys: str, descriptor: str = "(I
             a.method("m", descriptor, code, flags=flags, handlers=handlers)
             return _shown(extract.extract(_file(spark, **{"T.class": a.bytes()})), keys)
 
-        query(name, _sql(keys, rows))(run)
+        example(name, _sql(keys, rows))(run)
 
     return add
 
@@ -120,7 +120,7 @@ NOTES = [
 ]
 
 
-@query("E10_annotations", _sql(("targetKind", "elementName"), NOTES))
+@example("E10_annotations", _sql(("targetKind", "elementName"), NOTES))
 def _(spark, sf_dir):
     a = Assembler("p/T")
     a.attributes.append(a.annotations("jakarta/ws/rs/Path", "value", "/class"))
@@ -130,7 +130,7 @@ def _(spark, sf_dir):
     return _shown(extract.extract(_file(spark, **{"T.class": a.bytes()})), ("targetKind", "elementName"))
 
 
-@query("E11_static_final_fields", _sql(("fieldName",), [("key", "String", "STATIC_FIELD_STORE", "K"), ("1.0E10", "Double", "STATIC_FIELD_STORE", "D"), ("-1", "Long", "STATIC_FIELD_STORE", "L")]))
+@example("E11_static_final_fields", _sql(("fieldName",), [("key", "String", "STATIC_FIELD_STORE", "K"), ("1.0E10", "Double", "STATIC_FIELD_STORE", "D"), ("-1", "Long", "STATIC_FIELD_STORE", "L")]))
 def _(spark, sf_dir):
     a = Assembler("p/T")
     a.field("K", "Ljava/lang/String;", a.text("key"))
@@ -150,7 +150,7 @@ def _(a):  # one way leaves 1 and 2 on the stack, the other 1 alone: joined, the
     return op(4, 26, 153, u2(4), 5, use(a), 177)  # the jump lands on the call
 
 
-@query("E16_failures_stay_in_their_file", "SELECT * FROM (VALUES ('bad.class', 0, 1), ('good.class', 1, 0), ('x.properties', 1, 0), ('y.bin', 0, 0)) t(path, n, errors) WHERE path <> 'y.bin'")
+@example("E16_failures_stay_in_their_file", "SELECT * FROM (VALUES ('bad.class', 0, 1), ('good.class', 1, 0), ('x.properties', 1, 0), ('y.bin', 0, 0)) t(path, n, errors) WHERE path <> 'y.bin'")
 def _(spark, sf_dir):
     good, bad = Assembler("p/Good"), Assembler("p/Bad")
     good.method("m", "()V", op(8, use(good), 177))
@@ -160,7 +160,7 @@ def _(spark, sf_dir):
     return rows.groupBy("path").agg(F.count(F.when(F.col("error").isNull(), 1)).alias("n"), F.count("error").alias("errors"))
 
 
-@query("A13_extraction_counters", "SELECT * FROM (VALUES ('processed', 3), ('BadClass', 2), ('ValueError', 1)) t(outcome, files)")
+@example("A13_extraction_counters", "SELECT * FROM (VALUES ('processed', 3), ('BadClass', 2), ('ValueError', 1)) t(outcome, files)")
 def _(spark, sf_dir):
     good, bad = Assembler("p/Good"), Assembler("p/Bad")
     good.method("m", "()V", op(8, use(good), 177))
@@ -172,7 +172,7 @@ def _(spark, sf_dir):
 SEEDED = "(1,'a.jar','stored'),(1,'b.jar','stored'),(2,'a.jar','stored'),(2,'b.jar','deleted'),(3,'a.jar','stored'),(3,'b.jar','stored'),(3,'c.jar','stored')"
 
 
-@query("S20_S19_V10_seeding", f"SELECT * FROM (VALUES {SEEDED}) t(version, path, state)")
+@example("S20_S19_V10_seeding", f"SELECT * FROM (VALUES {SEEDED}) t(version, path, state)")
 def _(spark, sf_dir):
     """Three folders of archives: the second lacks b.jar, the third has it again and c.jar besides."""
 
@@ -226,7 +226,7 @@ def _(a):  # (byte) 300, (char) -1, (int) 1e20, (short) 32768, (long) 1, (long)
     return narrow + op(4, 133, use(a, "J"), 20, u2(a.add(6, -1e300)), 143, use(a, "J"), 6, 135, use(a, "D"), 177)
 
 
-@query("H06_subroutines_are_refused", "SELECT * FROM (VALUES ('T.class', 1, 0)) t(path, errors, n)")
+@example("H06_subroutines_are_refused", "SELECT * FROM (VALUES ('T.class', 1, 0)) t(path, errors, n)")
 def _(spark, sf_dir):
     a = Assembler("p/T")
     a.method("m", "()V", op(168, u2(4), 177, 75, 169, 0))
@@ -328,7 +328,7 @@ ARITHMETIC_OPCODES = [
 ]
 
 
-@query("C21_operator_symbols", "SELECT * FROM (VALUES " + ", ".join(f"({o}, '{s}')" for o, s in ARITHMETIC_OPCODES) + ") t(opcode, operator)")
+@example("C21_operator_symbols", "SELECT * FROM (VALUES " + ", ".join(f"({o}, '{s}')" for o, s in ARITHMETIC_OPCODES) + ") t(opcode, operator)")
 def _(spark, sf_dir):
     """What the interpreter calls each arithmetic instruction, from a class that holds one method for each."""
     a = Assembler("p/T")

@@ -17,6 +17,8 @@ from ..sources import class_file, extract, interpreter
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+#: Worked examples on fixed input, with the rows that they must give; tests run them, they are no queries.
+EXAMPLES: dict[str, tuple[Query, str]] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -31,6 +33,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def example(name: str, sql: str):
+    """Registers a worked example."""
+
+    def add(f: Query) -> Query:
+        EXAMPLES[name] = (f, sql)
+        return f
+
+    return add
+
+
 def catalogue_query(name: str, sql: str | None = None):
     """The same for a function of the catalogue alone."""
 
@@ -173,36 +185,36 @@ def _files(spark, **files):
 USAGES = "VALUES ('key','String','STATIC_FIELD_STORE','UNKNOWN',0.0::DOUBLE,0),('SELECT 1','String','METHOD_INVOCATION_PARAMETER','UNKNOWN',0.0,7),('kept','String','FIELD_STORE','UNKNOWN',0.0,7),('hello','String','METHOD_INVOCATION_PARAMETER','LOG_MESSAGE',0.85,7),('1','Integer','ARITHMETIC_OPERAND','UNKNOWN',0.0,7),('2','Integer','ARITHMETIC_OPERAND','UNKNOWN',0.0,7)"
 
 
-@query("S01_E01_E16_H01_H28_class_usages", f"SELECT * FROM ({USAGES}) t(value, value_type, structural_type, semantic_type, confidence, line_number)")
+@example("S01_E01_E16_H01_H28_class_usages", f"SELECT * FROM ({USAGES}) t(value, value_type, structural_type, semantic_type, confidence, line_number)")
 def _(spark, sf_dir):
     rows = extract.extract(_files(spark, **{"Greeter.class": bytes.fromhex(CLASS_BYTES)}))
     return rows.select("value", "value_type", "structural_type", "semantic_type", "confidence", "line_number")
 
 
-@query("S02_S05_archive_entries", "SELECT * FROM (VALUES ('a.jar',0,'/p/Greeter.class'),('a.jar',0,'/application.yml'),('a.jar',0,'/other/x.jar'),('a.jar!/BOOT-INF/lib/n.jar',1,'/n.properties'),('a.jar!/BOOT-INF/lib/n.jar',1,'/deep.jar')) t(container, depth, path)")
+@example("S02_S05_archive_entries", "SELECT * FROM (VALUES ('a.jar',0,'/p/Greeter.class'),('a.jar',0,'/application.yml'),('a.jar',0,'/other/x.jar'),('a.jar!/BOOT-INF/lib/n.jar',1,'/n.properties'),('a.jar!/BOOT-INF/lib/n.jar',1,'/deep.jar')) t(container, depth, path)")
 def _(spark, sf_dir):
     return extract.archive_entries(_files(spark, **{"a.jar": _archive()})).select("container", "depth", "path")
 
 
-@query("S05_A13_fat_archive", "SELECT * FROM (VALUES ('a.jar',6),('a.jar!/BOOT-INF/lib/n.jar',1)) t(container, n)")
+@example("S05_A13_fat_archive", "SELECT * FROM (VALUES ('a.jar',6),('a.jar!/BOOT-INF/lib/n.jar',1)) t(container, n)")
 def _(spark, sf_dir):
     rows = extract.extract(_files(spark, **{"a.jar": _archive()})).where("source_kind <> 'YAML'")
     return rows.groupBy(F.regexp_replace("path", "![^!]*$", "").alias("container")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("S08_S10_C22_yaml", "SELECT * FROM (VALUES ('server.port','8080','Integer','CONFIGURATION_VALUE','doc#0'),('app.features[0]','one','String','CONFIGURATION_VALUE','doc#0'),('app.features[1]','two','String','CONFIGURATION_VALUE','doc#0'),('app.url','https://db.example.com/x','String','URL_RESOURCE','doc#0'),('log-dir','/var/log','String','FILE_PATH','doc#1')) t(key_path, value, value_type, semantic_type, doc)")
+@example("S08_S10_C22_yaml", "SELECT * FROM (VALUES ('server.port','8080','Integer','CONFIGURATION_VALUE','doc#0'),('app.features[0]','one','String','CONFIGURATION_VALUE','doc#0'),('app.features[1]','two','String','CONFIGURATION_VALUE','doc#0'),('app.url','https://db.example.com/x','String','URL_RESOURCE','doc#0'),('log-dir','/var/log','String','FILE_PATH','doc#1')) t(key_path, value, value_type, semantic_type, doc)")
 def _(spark, sf_dir):
     rows = extract.extract(_files(spark, **{"application.yml": YAML}))
     return rows.select(F.col("method_name").alias("key_path"), "value", "value_type", "semantic_type", F.col("method_descriptor").alias("doc"))
 
 
-@query("S09_S10_properties", "SELECT * FROM (VALUES ('db.url','jdbc:x','URL_RESOURCE'),('date.format','yyyy','DATE_FORMAT'),('name','vA','CONFIGURATION_VALUE')) t(key_path, value, semantic_type)")
+@example("S09_S10_properties", "SELECT * FROM (VALUES ('db.url','jdbc:x','URL_RESOURCE'),('date.format','yyyy','DATE_FORMAT'),('name','vA','CONFIGURATION_VALUE')) t(key_path, value, semantic_type)")
 def _(spark, sf_dir):
     rows = extract.extract(_files(spark, **{"a.properties": PROPERTIES}))
     return rows.select(F.col("method_name").alias("key_path"), "value", "semantic_type")
 
 
-@query("C02_C16_names_and_numbers", "SELECT * FROM (VALUES ('(I[JLp/A$B;)V','(int,long[],p.A.B)void'),('i2b 300','44'),('i2c -1','65535'),('d2i 1e20','2147483647')) t(given, got)")
+@example("C02_C16_names_and_numbers", "SELECT * FROM (VALUES ('(I[JLp/A$B;)V','(int,long[],p.A.B)void'),('i2b 300','44'),('i2c -1','65535'),('d2i 1e20','2147483647')) t(given, got)")
 def _(spark, sf_dir):
     rows = [("(I[JLp/A$B;)V", class_file.java_descriptor("(I[JLp/A$B;)V"))]
     rows += [(f"{name} {v if not isinstance(v, float) else '1e20'}", str(interpreter.narrowed(v, letter))) for name, v, letter in (("i2b", 300, "B"), ("i2c", -1, "C"), ("d2i", 1e20, "I"))]
@@ -348,7 +360,7 @@ def _(cat):
     return grouped.select("unit_path", F.array_join(F.transform("units", lambda u: F.concat_ws("=", u["name"], u["constants"].cast("string"))), ",").alias("units"))
 
 
-@query(
+@example(
     "O06_X08_structural_types",
     "SELECT * FROM (VALUES ('ARITHMETIC_OPERAND', 'Arithmetic Operand'), ('STRING_CONCATENATION_MEMBER', 'String Concatenation Member'), ('STATIC_FIELD_STORE', 'Static Field Store'), ('FIELD_STORE', 'Field Store'),"
     " ('METHOD_INVOCATION_TARGET', 'Method Invocation Target'), ('METHOD_INVOCATION_PARAMETER', 'Method Invocation Parameter'), ('ANNOTATION_VALUE', 'Annotation Value')) t(name, display_name)",
@@ -362,7 +374,7 @@ def _(cat):
     return units.metadata(cat.spark, units.custom_types(cat))["semantic"]
 
 
-@query(
+@example(
     "X08_value_types",
     "SELECT name, name AS display_name FROM (VALUES ('ArrayDesc'), ('Boolean'), ('Byte'), ('Character'), ('ClassDescriptor'), ('Double'), ('DynamicConstant'), ('Float'), ('Integer'), ('Long'), ('MethodHandle'), ('Null'), ('Short'), ('String')) t(name)",
 )
@@ -607,7 +619,7 @@ def _(cat):
 OPERATORS = {"+": "iadd ladd fadd dadd", "-": "isub lsub fsub dsub ineg lneg fneg dneg", "*": "imul lmul fmul dmul", "/": "idiv ldiv fdiv ddiv", "%": "irem lrem frem drem", "<<": "ishl lshl", ">>": "ishr lshr", ">>>": "iushr lushr", "&": "iand land", "|": "ior lor", "^": "ixor lxor"}
 
 
-@query("C21_operators", "SELECT * FROM (VALUES " + ",".join(f"('{o}','{s}')" for s, ops in OPERATORS.items() for o in ops.split()) + ") t(opcode, symbol)")
+@example("C21_operators", "SELECT * FROM (VALUES " + ",".join(f"('{o}','{s}')" for s, ops in OPERATORS.items() for o in ops.split()) + ") t(opcode, symbol)")
 def _(spark, sf_dir):
     table = F.create_map(*[F.lit(x) for s, ops in OPERATORS.items() for o in ops.split() for x in (o, s)])
     return spark.range(1).select(F.explode(table).alias("opcode", "symbol"))
@@ -652,7 +664,7 @@ def _(rows):
 ANNOTATED = [("jakarta.ws.rs.Path", "value"), ("javax.inject.Named", "any"), ("javax.persistence.Table", "name"), ("jakarta.persistence.NamedQuery", "query"), ("jakarta.validation.constraints.Pattern", "regexp"), ("my.Other", "value")]
 
 
-@query("K06_annotation_rules", "SELECT * FROM (VALUES ('jakarta.ws.rs.Path','API_ENDPOINT',0.95::DOUBLE),('javax.inject.Named','PROPERTY_KEY',0.95),('javax.persistence.Table','SQL_FRAGMENT',0.85),('jakarta.persistence.NamedQuery','SQL_FRAGMENT',0.9),('jakarta.validation.constraints.Pattern','REGEX_PATTERN',0.95),('my.Other',NULL,NULL)) t(annotation, semantic, confidence)")
+@example("K06_annotation_rules", "SELECT * FROM (VALUES ('jakarta.ws.rs.Path','API_ENDPOINT',0.95::DOUBLE),('javax.inject.Named','PROPERTY_KEY',0.95),('javax.persistence.Table','SQL_FRAGMENT',0.85),('jakarta.persistence.NamedQuery','SQL_FRAGMENT',0.9),('jakarta.validation.constraints.Pattern','REGEX_PATTERN',0.95),('my.Other',NULL,NULL)) t(annotation, semantic, confidence)")
 def _(spark, sf_dir):
     rows = spark.createDataFrame(ANNOTATED, "annotation string, element string")
     got = classify.classify_annotation(F.col("annotation"), F.col("element"))
@@ -915,4 +927,4 @@ def _(events):
 
 
 # Further modules add theirs.
-from . import chains, extraction, services, streams  # noqa: E402, F401
+from . import chains, extraction, services, sinks, streams  # noqa: E402, F401

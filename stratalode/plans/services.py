@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import access, service, store
 from ..operators.versions import VersionConflict
 from ..streaming import job_tracking, outbox
-from .registry import NOW, query, table_query
+from .registry import NOW, example, table_query
 
 USERS = "SELECT c_custkey AS id, c_name AS name, c_custkey%7<>0 AS enabled, NULL::TIMESTAMP AS last_login FROM customer"
 TOKENS = "SELECT event_id AS token, user_id, event_type='error' AS revoked, ts AS expires_at FROM events"
@@ -53,12 +53,12 @@ def _(events):
     return access.blocked(tokens.select("token"), revoked.where("token % 2 = 0"), revoked, F.lit(NOW).cast("timestamp"))
 
 
-@query("X10_health", "SELECT 'UP' AS status")
+@example("X10_health", "SELECT 'UP' AS status")
 def _(spark, sf_dir):
     return service.health(spark).select("status")
 
 
-@query("X09_error_statuses", "SELECT * FROM (VALUES ('bad argument', 400), ('no rights', 401), ('missing', 404), ('finalized', 409), ('content', 422), ('other', 500)) t(failure, status)")
+@example("X09_error_statuses", "SELECT * FROM (VALUES ('bad argument', 400), ('no rights', 401), ('missing', 404), ('finalized', 409), ('content', 422), ('other', 500)) t(failure, status)")
 def _(spark, sf_dir):
     errors = {"bad argument": ValueError(), "no rights": PermissionError(), "missing": KeyError(), "finalized": VersionConflict(), "content": service.Unprocessable(), "other": RuntimeError()}
     return spark.createDataFrame([(k, service.status_of(e)) for k, e in errors.items()], "failure string, status int")
