@@ -2,19 +2,21 @@
 
 Base detectors find e-mail addresses, IP addresses, card and phone numbers by
 pattern; the values they find are the protected entities. Which other terms
-reveal an entity is estimated from the corpus: for a term t and an entity e,
-
-    disclosure(t, e) = PMI(t; e) / IC(e)
-                     = log(p(e|t) N / n(e)) / log(N / n(e)),
-    p(e|t) = (n(t,e) + prior n(e) / N) / (n(t) + prior),
-
-with counts over the lines of all documents. It nears 1 when a term is met only
-beside the entity, so that whoever reads it knows the entity, and is 0 when the
-two are independent. All terms of all entities are scored, however rare: the
-prior, ``prior`` lines in which the two are independent, holds back what few
-lines say. In documents that hold the entity, a term whose disclosure reaches
-``generalise_at`` is replaced by its class (number, code, name or word), one
-that reaches ``remove_at`` is removed. ``least`` above 1 asks for so many unlike contexts (copies are one).
+reveal an entity is estimated from the corpus: of the n(t) lines that say a term
+t, n(t,e) stand with the entity e. What is known of p(e|t) is a lower bound of it
+that holds in 95 of 100 cases (``z`` = 1.645: the score interval with continuity
+correction), so a word met once beside an address tells nothing of it, however
+rare the word. The disclosure takes off what the entity's own frequency gives:
+
+    disclosure(t, e) = (bound(n(t,e), n(t)) - n(e) / N) / (1 - n(e) / N).
+
+It is 0 where term and entity are independent and nears 1 where whoever reads
+the term knows the entity: -log2 of it is what is left of the entity's
+information. It doesn't move with the size of the corpus. In documents that
+hold the entity, a term whose disclosure reaches ``generalise_at`` (one bit
+left) is replaced by its class (number, code, name or word), one that reaches
+``remove_at`` (a third of a bit) is removed. Lines of one entity that are equal
+without it are one line, so copies don't add up to evidence.
 
 Patterns are written with possessive repetitions and look-behind, which find
 the same matches without backtracking, so a long run of digits or letters costs
@@ -46,6 +48,7 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32_000_000
 MATCH = "array<struct<place:int,kind:string,i:int,value:string,gap:int,wanted:boolean>>"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+TERM_SPAN = "array<struct<kind:string,start:int,end:int,value:string,disclosure:double>>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -127,41 +130,90 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+    """The distinct words of a text, each in lower case; cut before that, as lower case may have more letters."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def least_share(k: Column, n: Column, z: float) -> Column:
+    """Lower confidence bound of a share of which k of n were seen: Wilson's, with continuity correction."""
+    p = k / n
+    root = F.sqrt(F.greatest(z * z - 2 - 1 / n + 4 * p * (n * (1 - p) + 1), F.lit(0.0)))
+    return F.greatest((2 * k + z * z - 1 - z * root) / (2 * (n + z * z)), F.lit(0.0))
+
+
+def few_lines(z: float, at_least: float) -> int:
+    """The smallest number of lines, all of which hold, whose bound is that high."""
+    n, bound = 0, -1.0
+    while bound < at_least:
+        n += 1
+        bound = max((2 * n + z * z - 1 - z * max(z * z + 2 - 1 / n, 0) ** 0.5) / (2 * (n + z * z)), 0.0)
+    return n
 
 
-def _lines_of_entities(held: DataFrame) -> DataFrame:
-    """(entities, line, rest) of each line with base spans in texts (text, spans); rest: the line without them.
+CHUNK = 1024
+
+
+def by_chunk(cuts: DataFrame, key: str) -> DataFrame:
+    """(key, cuts): of (key, start, end, put) for each chunk of a text what is cut in it, as a map by the chunk's number."""
+    first, last = (F.floor(c / CHUNK).cast("int") for c in (F.col("start"), F.greatest("start", F.col("end") - 1)))
+    each = cuts.select(key, "start", "end", "put", F.explode(F.sequence(first, last)).alias("k"))
+    at = F.col("k") * CHUNK
+    own = F.struct(F.greatest(F.col("start") - at, F.lit(0)).cast("int").alias("start"), F.least(F.col("end") - at, F.lit(CHUNK)).cast("int").alias("end"), F.when(F.col("start") >= at, F.col("put")).otherwise("").alias("put"))
+    lists = each.groupBy(key, "k").agg(F.sort_array(F.collect_list(own)).alias("own"))
+    return lists.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("k", "own"))).alias("cuts"))
+
+
+def cut_out(text: Column, cuts: Column) -> Column:
+    """A text with its spans replaced; cuts as by_chunk gives them. Of spans that overlap each is put once, and what they cover goes.
+
+    The text is cut into chunks in one pass and each chunk takes its own spans,
+    so no place is counted from the text's beginning for each span.
+    """
+
+    def one(piece: Column, k: Column) -> Column:
+        own = F.element_at(cuts, k)
+        put = lambda done, s: F.struct(
+            F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["out"], F.substring(piece, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0))), s["put"]).alias("out")
+        )
+        begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        return F.when(own.isNull(), piece).otherwise(F.aggregate(own, begin, put, lambda done: F.concat(done["out"], F.substring(piece, done["at"] + 1, F.lit(CHUNK)))))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), one), "")
+
+
+def _lines_of_entities(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(entities, line, rest) of each line with base spans of texts (doc_id, text), found (doc_id, spans); rest: the line without them.
 
     Spans are replaced by their numbers between two private characters, then the
     text is cut into lines; no span holds a line break.
     """
-    clean = F.translate("text", "\uE000\uE001", "  ")
-    numbered = F.transform("spans", lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("i")))
-    held = held.select("spans", clean.alias("text"), F.array_sort(numbered).alias("s"))
-    marked = F.expr(
-        "aggregate(s, named_struct('at', 0, 'out', ''), (a, c) -> named_struct('at', greatest(a.at, c.end), 'out', concat(a.out, substring(text, a.at + 1, greatest(c.start - a.at, 0)), '\uE000', c.i, '\uE001')),"
-        " a -> concat(a.out, substring(text, a.at + 1)))"
-    )
-    lines = F.arrays_zip(F.split("text", "\n").alias("line"), F.split(marked, "\n").alias("marked"))
+    each = found.select("doc_id", F.posexplode("spans").alias("i", "s"))
+    cuts = by_chunk(each.select("doc_id", "s.start", "s.end", F.concat(F.lit("\uE000"), "i", F.lit("\uE001")).alias("put")), "doc_id")
+    held = texts.join(_few(found.join(cuts, "doc_id")), "doc_id").withColumn("text", F.translate("text", "\uE000\uE001", "  "))
+    lines = F.arrays_zip(F.split("text", "\n").alias("line"), F.split(cut_out(F.col("text"), F.col("cuts")), "\n").alias("marked"))
     rows = held.select("spans", F.explode(lines).alias("l")).select("spans", "l.line", "l.marked").where(F.col("marked").contains("\uE000"))
     of = F.transform(F.regexp_extract_all("marked", F.lit("\uE000([0-9]+)\uE001"), F.lit(1)), lambda i: F.element_at("spans", i.cast("int") + 1))
     entities = F.array_distinct(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["value"])))
     return rows.select(entities.alias("entities"), "line", F.regexp_replace("marked", "\uE000[0-9]+\uE001", " ").alias("rest"))
 
 
-def disclosing_terms(texts: DataFrame, found: DataFrame, scratch: Scratch, *, least: int, prior: float, generalise_at: float) -> DataFrame:
+def disclosing_terms(texts: DataFrame, found: DataFrame, scratch: Scratch, *, least: int, z: float, generalise_at: float) -> DataFrame:
     """(entity, term, disclosure) of the terms that reveal an entity.
 
     texts: (doc_id, text); found: (doc_id, spans). The context of an entity is
-    its whole line without the base spans. All four counts are of lines: an
-    entity or a term counts once in a line.
+    its whole line without the base spans; contexts that are equal count once,
+    for the entity, the pair and the term. All counts are of lines: an entity or
+    a term counts once in a line.
     """
-    held = scratch.write(_lines_of_entities(texts.join(_few(found), "doc_id")), "held")
-    contexts = held.select(F.explode("entities").alias("entity"), F.col("rest").alias("context"))
+    held = scratch.write(_lines_of_entities(texts, found), "held")
+    # With fewer unlike contexts than few_lines no term of an entity can reach the threshold.
+    digests = held.select(F.explode("entities").alias("entity"), F.md5("rest").alias("h")).groupBy("entity", "h").agg(F.count(F.lit(1)).alias("times"))
+    said = digests.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= max(least, few_lines(z, generalise_at)))
+    said = scratch.write(said, "said")
+    contexts = held.select(F.explode("entities").alias("entity"), F.col("rest").alias("context")).join(_few(said.select("entity")), "entity")
     contexts = scratch.write(contexts.groupBy("entity", "context").agg(F.count(F.lit(1)).alias("times")), "contexts")
     joint = contexts.select("entity", "times", F.explode(_words(F.col("context"))).alias("term"))
-    joint = joint.groupBy("entity", "term").agg(F.sum("times").alias("n_te"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") >= least)
+    joint = joint.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"), (F.sum("times") - F.count(F.lit(1))).alias("copies")).where(F.col("n_te") >= least)
     joint = scratch.write(joint, "joint")
     terms = joint.select("term").distinct()
     lines = texts.select(F.explode(F.split(F.col("text"), "\n")).alias("line"))
@@ -169,46 +221,56 @@ def disclosing_terms(texts: DataFrame, found: DataFrame, scratch: Scratch, *, le
     met = lines.select(F.explode(_words(F.col("line"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(_few(terms), "term")  # no semi-join: Spark would do that one before it counts
     inside = held.select(F.explode(F.array_except(_words(F.col("line")), _words(F.col("rest")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_in"))  # lines that hold a term in base spans only
     met = scratch.write(met.join(_few(inside), "term", "left").select("term", (F.col("n_t") - F.coalesce("n_in", F.lit(0))).alias("n_t")), "met")
-    said = contexts.groupBy("entity").agg(F.sum("times").alias("n_e"))
     rows = joint.join(_few(met), "term").join(_few(said), "entity")
-    ic = F.log(F.lit(total) / F.col("n_e"))
-    told = (F.col("n_te") + prior * F.col("n_e") / total) / (F.greatest("n_t", "n_te") + prior)
-    scored = rows.select("entity", "term", F.when(ic > 0, F.least(1 + F.log(told) / ic, F.lit(1.0))).otherwise(0.0).alias("disclosure"))
+    bound = least_share(F.col("n_te"), F.greatest(F.col("n_t") - F.col("copies"), F.col("n_te")), z)
+    base = F.least(F.col("n_e") / total, F.lit(1.0))
+    told = F.when(base < 1, F.greatest((bound - base) / (1 - base), F.lit(0.0))).otherwise(0.0)
+    scored = rows.select("entity", "term", told.alias("disclosure"))
     return scratch.write(scored.where(F.col("disclosure") >= generalise_at), "terms")
 
 
+def _outside(words: DataFrame, base: DataFrame) -> DataFrame:
+    """words (doc_id, start, end, ...) that overlap no base span (doc_id, start, end)."""
+    rows = words.withColumn("base", F.lit(False)).unionByName(base.select("doc_id", "start", "end").withColumn("base", F.lit(True)), allowMissingColumns=True)
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    before = F.max(F.when(F.col("base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.when(F.col("base"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    clear = (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))
+    return rows.withColumns({"before": before, "after": after}).where(~F.col("base") & clear).select(*words.columns)
+
+
 def find_pii(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     *,
     least: int = 1,
-    prior: float = 1.0,
-    generalise_at: float = 0.8,
+    z: float = 1.645,
+    generalise_at: float = 0.5,
     scratch: Scratch | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """((doc_id, base, terms) of the documents with spans, the terms' table).
 
-    base and terms are arrays of (kind, start, end, value); terms' value is the
-    term and their kind ``term``; a third table isn't needed by callers.
+    base is an array of (kind, start, end, value), terms one of (kind, start,
+    end, value, disclosure); terms' value is the term and their kind ``term``.
     """
     spark: SparkSession = docs.sparkSession
     scratch = scratch or Scratch(spark, "pii")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = scratch.write(base_spans(texts), "found")
-    terms = disclosing_terms(texts, found, scratch, least=least, prior=prior, generalise_at=generalise_at)
-    # A document's own words are looked up: rows in proportion to its text, however many terms its entities have elsewhere.
-    entities = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))
-    own = texts.join(_few(found), "doc_id").select("doc_id", entities.alias("entities"), F.explode(_words(F.col("text"))).alias("term"))
-    own = own.join(_few(terms.select("term").distinct()), "term").select("doc_id", "term", F.explode("entities").alias("entity"))
-    by_doc = own.join(_few(terms), ["entity", "term"]).groupBy("doc_id", "term").agg(F.max("disclosure").alias("disclosure"))
-    by_doc = scratch.write(by_doc.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told")), "told")
-    words = located(texts.join(_few(by_doc), "doc_id"), {TERM: (None, WORD)}, lambda m: F.map_contains_key("told", F.lower(m)))
-    of = scratch.write(_gathered(words, "words").join(by_doc, "doc_id"), "words")
-    inside = lambda w: F.exists("spans", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))
-    joined = found.join(of, "doc_id", "left")
-    kept = F.filter(F.coalesce("words", F.array().cast(SPAN)), lambda w: ~inside(w))
-    return scratch.write(joined.select("doc_id", F.col("spans").alias("base"), kept.alias("terms"), "told"), "spans"), terms
+    terms = disclosing_terms(texts, found, scratch, least=least, z=z, generalise_at=generalise_at)
+    base = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    entities = base.select("doc_id", F.concat_ws(":", "kind", "value").alias("entity")).distinct()
+    entities = scratch.write(entities.join(_few(terms.select("entity").distinct()), "entity"), "entities")
+    # Words of the documents whose entities have terms, then those that are terms, then those of an entity of their document.
+    words = located(texts.join(_few(entities.select("doc_id").distinct()), "doc_id"), {TERM: (None, WORD)})
+    words = words.withColumn("term", F.lower("value")).join(_few(terms), "term").join(_few(entities), ["doc_id", "entity"])
+    words = words.groupBy("doc_id", "start", "end", "kind", "value").agg(F.max("disclosure").alias("disclosure"))
+    clear = _outside(words, base.join(_few(entities.select("doc_id").distinct()), "doc_id", "left_semi"))
+    kept = clear.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "value", "disclosure"))).alias("t"))
+    kept = kept.select("doc_id", F.transform("t", lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "start", "end", "value", "disclosure")])).alias("terms"))
+    joined = found.join(kept, "doc_id", "left").select("doc_id", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast(TERM_SPAN)).alias("terms"))
+    return scratch.write(joined, "spans"), terms
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -222,7 +284,8 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     found, _ = find_pii(docs, scratch=scratch, **options)
     none = F.array().cast(SPAN)
     rows = docs.select("doc_id").join(found, "doc_id", "left")
-    rows = rows.select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"))
+    plain = F.transform("terms", lambda t: F.struct(*[t[c].alias(c) for c in ("kind", "start", "end", "value")]))
+    rows = rows.select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce(plain, none).alias("terms"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     out = rows.select(
         "doc_id",
@@ -234,39 +297,30 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     return given_ids(out, names, "doc_id")
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, remove_at: float = 0.95, **options) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, remove_at: float = 0.8, **options) -> DataFrame:
     """docs with ``text_col`` sanitised; all other columns and rows as they are.
 
     Base spans become ``[KIND]``; a term becomes its class, see CLASSES, or
-    nothing from remove_at on. Spans that overlap are replaced once, as the
-    first of them. Documents without spans keep their text byte for byte; null
-    stays null. Rows of one id are documents of their own, and so are rows
-    without one.
+    nothing from remove_at on. Spans that overlap go together and become what
+    the first of them does. Documents without spans keep their text byte for
+    byte; null stays null. Rows of one id are documents of their own, and so are
+    rows without one.
     """
     scratch = options.pop("scratch", None) or Scratch(docs.sparkSession, "pii")
     docs, names = own_rows(docs, scratch, id_col)
     found, _ = find_pii(docs, id_col, text_col, scratch=scratch, **options)
     key = "__pii_doc"
-    all_ = F.array_sort(F.concat("base", "terms"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    keep = "aggregate(spans, cast(array() as array<struct<start:int,end:int,put:string>>), (done, s) -> if(size(done) = 0 or element_at(done, -1).end <= s.start, array_append(done, named_struct('start', s.start, 'end', s.end, 'put', s.put)), done))"
-    put = F.transform(
-        all_,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            F.when(s["kind"] != TERM, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-            .when(F.element_at("told", F.lower(s["value"])) >= remove_at, "")
-            .otherwise(class_of(s["value"]))
-            .alias("put"),
-        ),
-    )
-    cuts = found.select(F.col("doc_id").alias(key), put.alias("spans")).select(key, F.expr(keep).alias("__pii_cuts"))
+    base = found.select(F.col("doc_id").alias(key), F.explode("base").alias("s")).select(key, "s.start", "s.end", F.concat(F.lit("["), F.upper("s.kind"), F.lit("]")).alias("put"))
+    terms = found.select(F.col("doc_id").alias(key), F.explode("terms").alias("s"))
+    terms = terms.select(key, "s.start", "s.end", F.when(F.col("s.disclosure") >= remove_at, "").otherwise(class_of(F.col("s.value"))).alias("put"))
+    order = Window.partitionBy(key).orderBy("start", F.desc("end"))
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = base.union(terms).withColumn("first", F.when(F.coalesce(reached, F.lit(0)) <= F.col("start"), 1).otherwise(0))
+    spans = spans.withColumn("group", F.sum("first").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = spans.groupBy(key, "group").agg(F.min_by("put", F.struct("start", -F.col("end"))).alias("put"), F.min("start").alias("start"), F.max("end").alias("end"))
+    cuts = scratch.write(by_chunk(spans, key).withColumnRenamed("cuts", "__pii_cuts"), "cuts")
     joined = docs.withColumn(key, F.col(id_col).cast("long")).join(_few(cuts), key, "left")
-    rebuilt = F.expr(
-        f"concat(aggregate(__pii_cuts, named_struct('at', 0, 'out', ''), (a, c) -> named_struct('at', c.end, 'out', concat(a.out, substring(`{text_col}`, a.at + 1, c.start - a.at), c.put)), a -> a.out),"
-        f" substring(`{text_col}`, element_at(__pii_cuts, -1).end + 1))"
-    )
-    text = F.when(F.col("__pii_cuts").isNull(), F.col(text_col)).otherwise(rebuilt)
+    text = F.when(F.col("__pii_cuts").isNull(), F.col(text_col)).otherwise(cut_out(F.col(text_col).cast("string"), F.col("__pii_cuts")))
     return given_ids(joined.withColumn(text_col, text).select(*docs.columns), names, id_col)
 
 

@@ -200,12 +200,17 @@ def quote_links(messages):
 # -- disclosure -----------------------------------------------------------------------------------------
 
 
-def disclosures(docs, prior=1.0):
-    """{(entity, term): disclosure} of all terms that share a line with an entity; docs: (id, text)."""
-    import math
+def least_share(k, n, z=1.645):
+    """Lower confidence bound of a share: Wilson's, with continuity correction."""
+    p = k / n
+    root = max(z * z - 2 - 1 / n + 4 * p * (n * (1 - p) + 1), 0) ** 0.5
+    return max((2 * k + z * z - 1 - z * root) / (2 * (n + z * z)), 0.0)
+
 
+def disclosures(docs, z=1.645):
+    """{(entity, term): disclosure} of all terms that share a line with an entity; docs: (id, text)."""
     term = re.compile(r"[^\W_](?:[\w'-])*")
-    n_e, n_t, n_te, total = defaultdict(int), defaultdict(int), defaultdict(int), 0
+    n_t, contexts, total = defaultdict(int), defaultdict(lambda: defaultdict(int)), 0
     for _, text in docs:
         for line in (text or "").split("\n"):
             total += 1
@@ -215,16 +220,18 @@ def disclosures(docs, prior=1.0):
                 rest += line[at : max(a, at)] + " "
                 at = max(at, b)
             rest += line[at:]
-            words = set(term.findall(rest.lower()))
-            for w in words:
+            for w in {w.lower() for w in term.findall(rest)}:
                 n_t[w] += 1
             for e in {f"{kind}:{line[a:b]}" for kind, a, b in spans}:
-                n_e[e] += 1
-                for w in words:
-                    n_te[e, w] += 1
+                contexts[e][rest] += 1
     out = {}
-    for (e, w), n in n_te.items():
-        ic = math.log(total / n_e[e])
-        told = (n + prior * n_e[e] / total) / (n_t[w] + prior)
-        out[e, w] = min(1 + math.log(told) / ic, 1.0) if ic > 0 else 0.0
+    for e, said in contexts.items():
+        base = len(said) / total
+        joint = defaultdict(list)
+        for rest, times in said.items():
+            for w in {w.lower() for w in term.findall(rest)}:
+                joint[w].append(times)
+        for w, times in joint.items():
+            n = max(n_t[w] - sum(times) + len(times), len(times))
+            out[e, w] = max((least_share(len(times), n, z) - base) / (1 - base), 0.0) if base < 1 else 0.0
     return out

@@ -349,26 +349,79 @@ def test_pii_terms_that_reveal_an_entity(spark):
 
 
 def test_pii_terms_of_a_rare_entity(spark):
-    """One context, or two, of an entity: words met nowhere else reveal it, short and numeric ones too; common words don't."""
-    rows = list(enumerate(["said Zerbino of mail b@y.org to 7719", "said Qx of mail c@y.org", "mail Qx said c@y.org", *(f"said of mail to {prose(10)}" for _ in range(200)), "elsewhere said Qx alone"]))
+    """What is met beside an entity in one line, or two, or in copies of one, tells nothing; in eight unlike lines it does, short and numeric terms too."""
+    lines = ["said Zerbino of mail b@y.org to 7719", "said Qx of mail c@y.org", "mail Qx said c@y.org", *["said Copin of mail d@y.org to"] * 30]
+    lines += [f"{w} said Zy of {v} mail e@y.org 4471" for w, v in zip(VOCABULARY[:8], VOCABULARY[8:16], strict=True)]
+    rows = list(enumerate([*lines, *(f"said of mail to {prose(10)}" for _ in range(200)), "elsewhere said Qx alone"]))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.n_term for r in pii.pii_spans(df).collect()}
-    assert [got[k] for k in range(3)] == [2, 1, 1] and sum(got.values()) == 4
+    assert not any(got[k] for k in range(33)) and all(got[k] == 2 for k in range(33, 41)) and sum(got.values()) == 16
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert clean[0] == "said [NAME] of mail [EMAIL] to [NUMBER]" and clean[1] == "said [NAME] of mail [EMAIL]" and clean[203] == rows[203][1]
+    assert clean[0] == "said Zerbino of mail [EMAIL] to 7719" and clean[33] == f"{VOCABULARY[0]} said [NAME] of {VOCABULARY[8]} mail [EMAIL] [NUMBER]" and clean[241] == rows[241][1]
 
 
 def test_pii_terms_far_along_the_line(spark):
     """A term 600 characters from the entity on its line counts, one on the next line doesn't; no word is cut; counts are of whole lines."""
     far = "said of mail " * 50
-    rows = list(enumerate([f"Zerbino {far}\u00e9\U0001F600 b@y.org, +14155550123 {far}Quorl\nNextline", *(f"said of mail to {prose(10)}" for _ in range(200))]))
+    line = lambda k: f"Zerbino {far}{VOCABULARY[k]} \u00e9\U0001F600 b@y.org, +14155550123 {far}Quorl"
+    rows = list(enumerate([*(line(k) + "\nNextline" for k in range(20)), *(f"said of mail to {prose(10)}" for _ in range(200))]))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert got[0] == f"[NAME] {far}[WORD]\U0001F600 [EMAIL], [PHONE] {far}[NAME]\nNextline" and all(got[k] == t for k, t in rows[1:])
-    held = pii._lines_of_entities(df.join(pii.base_spans(df), "doc_id")).collect()
+    got = {r.doc_id: r.text for r in pii.sanitise(df, remove_at=0.99).collect()}
+    assert got[0] == f"[NAME] {far}{VOCABULARY[0]} [WORD]\U0001F600 [EMAIL], [PHONE] {far}[NAME]\nNextline" and all(got[k] == t for k, t in rows[20:])
+    assert pii.sanitise(df).where("doc_id = 0").first().text == f" {far}{VOCABULARY[0]} \U0001F600 [EMAIL], [PHONE] {far}\nNextline"  # 20 lines: removed
+    held = pii._lines_of_entities(df.where("doc_id = 0"), pii.base_spans(df)).collect()
     assert [(sorted(r.entities), r.line) for r in held] == [(["email:b@y.org", "phone:+14155550123"], rows[0][1].split("\n")[0])]
 
 
+def planted_terms(n_noise, seed=8):
+    """Documents with 12 addresses in 12 unlike lines each, which a name of each gives away; decoys: words met once beside an address, in half of its lines and elsewhere too, beside all addresses."""
+    r = random.Random(seed)
+    docs, names = [], {f"email:user{k}@x.org": f"nickname{k}" for k in range(12)}
+    for k, (entity, name) in enumerate(names.items()):
+        for n in range(12):
+            docs.append(" ".join([name, r.choice(VOCABULARY), f"once{k}x{n}", f"half{k}" if n % 2 else "none", "signed", entity.split(":")[1], r.choice(VOCABULARY)]))
+        docs += [f"half{k} and {r.choice(VOCABULARY)}" for _ in range(12)]
+    docs += [f"signed {prose(8)}" for _ in range(n_noise)]
+    return list(enumerate(docs)), names
+
+
+def test_terms_of_planted_entities_and_no_decoys(spark):
+    """Precision and recall of the disclosing terms, the same in a corpus many times as large."""
+    for n_noise in (300, 30_000):
+        rows, names = planted_terms(n_noise)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        _, terms = pii.find_pii(df)
+        assert {(t.entity, t.term) for t in terms.collect()} == set(names.items())
+
+
+def test_disclosure_does_not_move_with_the_corpus(spark):
+    """The same evidence in 10**3, 10**6 and 10**12 lines."""
+    rows = spark.createDataFrame([(1, 1), (4, 4), (5, 5), (8, 9), (50, 100), (1000, 1000)], "k long, n long")
+    got = [(r.k, r.n, r.b) for r in rows.select("k", "n", pii.least_share(F.col("k"), F.col("n"), 1.645).alias("b")).collect()]
+    assert all(b == pytest.approx(brute.least_share(k, n)) for k, n, b in got)
+    for k, n, b in got:
+        told = [(b - k / total) / (1 - k / total) for total in (1e6, 1e12)]
+        assert abs(told[0] - told[1]) < 0.002 and 0 <= b < k / n
+    assert [b >= 0.5 for *_, b in got] == [False, False, True, True, False, True]
+
+
+def test_many_spans_of_one_document_cost_time_in_proportion(spark):
+    import time
+
+    text = " ".join(f"{w} u{k}@x{k % 7}.org é😀" for k, w in enumerate(random.choices(VOCABULARY, k=4000)))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    pii.sanitise(df.limit(0)).count()
+    began = time.perf_counter()
+    got = pii.sanitise(df).first().text
+    assert time.perf_counter() - began < 40 and got.count("[EMAIL]") == 4000 and "@" not in got
+    cuts = [(1, a, b, p) for a, b, p in ((0, 2, "x"), (1020, 1030, "y"), (1500, 3200, "zz"), (5000, 5000, "!"), (8191, 8192, ""))]
+    plain, at = "", 0
+    for _, a, b, p in cuts:
+        plain, at = plain + text[at:a] + p, b
+    made = df.join(pii.by_chunk(spark.createDataFrame(cuts, "doc_id long, start int, end int, put string"), "doc_id"), "doc_id")
+    assert made.select(pii.cut_out(F.col("text"), F.col("cuts"))).first()[0] == plain + text[at:]
+
+
 def test_disclosures_equal_plain_counts(spark):
     names = ["Quorl", "Zerb", "7719", "x9y", "said", "to"]
     mails = ["a@b.cc", "c@d.ee", "+14155550123"]
@@ -376,7 +429,7 @@ def test_disclosures_equal_plain_counts(spark):
     rows = list(enumerate([*texts, None, "", texts[0], *(prose(12) for _ in range(60))]))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     scratch = Scratch(spark, "t")
-    got = pii.disclosing_terms(df.fillna(""), pii.base_spans(df.fillna("")), scratch, least=1, prior=1.0, generalise_at=-99.0).collect()
+    got = pii.disclosing_terms(df.fillna(""), pii.base_spans(df.fillna("")), scratch, least=1, z=1.645, generalise_at=-99.0).collect()
     want = brute.disclosures(rows)
     assert {(r.entity, r.term) for r in got} == set(want) and want
     assert all(abs(r.disclosure - want[r.entity, r.term]) < 1e-9 for r in got)
