@@ -118,6 +118,37 @@ def given_ids(result: DataFrame, names: DataFrame | None, *columns: str) -> Data
     return result.select(*order)
 
 
+def kept_rows(rows: DataFrame, ids: DataFrame, scratch: Scratch, id_col: str = "doc_id", *, most_words: int = 1_000_000) -> DataFrame:
+    """The rows whose id is in ids (id_col); rows are read from Parquet files, their ids their own.
+
+    Ids are joined with the places of their rows, file and number, so that only
+    ids are shuffled. What stays is one bit a row, 64 to a word, and the rows
+    are filtered where they are read, by a broadcast of their files' words.
+    most_words: words (some 60 bytes each) of one broadcast, so that 64,000,000
+    rows are one; more files are read in turns, each with its own words.
+    """
+    file, at = F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
+    places = rows.select(id_col, file.alias("__file"), at.alias("__at")).join(ids.select(id_col), id_col, "left_semi")
+    words = places.groupBy("__file", F.shiftright("__at", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__at % 64 as int))")).alias("__bits"))
+    words = scratch.write(words, "kept-bits")
+    turns = max(1, -(-words.count() // most_words))
+
+    def chosen(part: DataFrame, own: DataFrame) -> DataFrame:
+        placed = part.select("*", file.alias("__file"), F.shiftright(at, 6).alias("__word"), (at % 64).cast("int").alias("__bit"))
+        return placed.join(F.broadcast(own), ["__file", "__word"]).where("shiftright(__bits, __bit) & 1 = 1").select(*rows.columns)
+
+    if turns == 1:
+        return chosen(rows, words)
+    files: dict[int, list[str]] = {}
+    for path, turn in rows.select(F.col("_metadata.file_path").alias("p")).distinct().select("p", F.pmod(F.xxhash64("p"), F.lit(turns))).collect():  # one a file
+        files.setdefault(turn, []).append(path)
+    parts = [chosen(scratch.spark.read.schema(rows.schema).parquet(*paths), words.where(F.pmod("__file", F.lit(turns)) == turn)) for turn, paths in sorted(files.items())]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
 def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): rows (node, component), component the smallest node.
 

@@ -270,5 +270,18 @@ def quality_scores(
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", *, threshold: float = 0.7) -> DataFrame:
+    """Rows of docs, with all their columns, whose score reaches the threshold: scored and chosen in one pass, without a join."""
+    given, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for first, part in chunks(texts, 700_000):
+                yield batch.slice(first, len(part)).filter(pa.array(given.value.score(part) >= threshold))
+
+    return docs.mapInArrow(lean(run), docs.schema)
+
+
 def op4_quality_crf(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

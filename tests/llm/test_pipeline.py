@@ -11,6 +11,7 @@ import brute
 from conftest import SMALL
 
 import corpus_pipeline
+from stratalode.llm import common
 from stratalode.llm.common import Scratch, table
 
 
@@ -103,3 +104,23 @@ def test_exact_and_near_stages_keep_one_of_equal_rows(spark):
     assert sorted((str(r.doc_id), r.text or "") for r in exact.collect()) == [("7", ""), ("None", "other"), ("None", text + " ")]
     near = corpus_pipeline.near(spark, docs, SMALL)
     assert sorted((str(r.doc_id), r.text or "") for r in near.collect()) == [("1", text), ("7", ""), ("7", ""), ("None", "other")]
+
+
+@pytest.mark.parametrize("most_words", [1_000_000, 3, 1])
+def test_kept_rows_by_bits(spark, tmp_path, most_words):
+    """Rows of several files, read in one turn or in several; ids that aren't there are passed over."""
+    made = spark.range(1000).select((F.col("id") * 7).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit(None).cast("string").alias("lang"))
+    made.repartition(5).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    wanted = [7 * k for k in range(0, 1000, 3)] + [1, 2, 10**9]
+    ids = spark.createDataFrame([(k,) for k in wanted], "doc_id long")
+    got = common.kept_rows(rows, ids, Scratch(spark, "t"), most_words=most_words)
+    assert got.columns == rows.columns and sorted(r.doc_id for r in got.collect()) == wanted[:-3]
+    assert common.kept_rows(rows, ids.limit(0), Scratch(spark, "t"), most_words=most_words).count() == 0
+
+
+def test_texts_are_not_shuffled_to_be_kept(spark, tmp_path):
+    spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    plan = common.kept_rows(rows, rows.where("doc_id % 2 = 0").select("doc_id"), Scratch(spark, "t"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
