@@ -21,17 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalode.llm import exact_dedup, jaccard_join, packing, pii, quality_crf
-from stratalode.llm.common import Scratch, given_ids, own_rows, table
+from stratalode.llm.common import Scratch, given_ids, kept_rows, own_rows, table
 
 
 def _kept(docs: DataFrame, name: str, choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The rows of docs whose id choose gives; up to 500,000 ids (8 bytes each) are broadcast, more are joined by a shuffle."""
+    """The rows of docs whose id choose gives, filtered where they are read."""
     scratch = Scratch(docs.sparkSession, f"pipeline-{name}")
     rows, names = own_rows(docs, scratch)
+    if names is not None or not docs.inputFiles():
+        rows = scratch.write(rows, "rows")
     ids = scratch.write(choose(rows).select("doc_id"), "kept")
-    if ids.count() <= 500_000:
-        ids = F.broadcast(ids)
-    return given_ids(rows.join(ids, "doc_id", "left_semi").select(*docs.columns), names, "doc_id")
+    return given_ids(kept_rows(rows, ids, scratch), names, "doc_id").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document without words is scored as one empty line. Rows of a repeated
     id have its label where that is learned from; each is judged for itself.
     """
-    labels = table(spark, sf_dir, "labels")
-    model = quality_crf.train(docs, labels)
-    return _kept(docs, "quality", lambda rows: quality_crf.quality_scores(rows, labels, model=model).where("predicted = 1"))
+    return quality_crf.accepted(docs, quality_crf.train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
