@@ -438,8 +438,13 @@ def _found(scratch: Scratch, member: DataFrame, least: float, block: int) -> Dat
     return found
 
 
-def audit(firsts: DataFrame, found: DataFrame, least: float, queries: int) -> tuple[int, int]:
-    """(links found, links there are) of at most ``queries`` vectors, those of smallest hash of ids divisible by 50, against all vectors."""
+def audit(firsts: DataFrame, found: DataFrame, least: float, queries: int) -> float | None:
+    """Recall of at most ``queries`` vectors, those of smallest hash of ids divisible by 50, against all vectors.
+
+    It is the lesser of two: the mean over queries, in which a vector of one
+    link counts as much as one of a million, and the share of all links. None
+    where no query has a link.
+    """
     spark = firsts.sparkSession
     few = firsts.where("vec_id % 50 = 0").orderBy(F.xxhash64("vec_id"), "vec_id").limit(queries).select("vec_id", "v").toArrow()
     asked = {d: (rows["vec_id"].to_numpy(), unit(np.array(rows["v"].to_pylist()))) for b in few.to_batches() for d, rows in _by_length(b)}
@@ -456,8 +461,10 @@ def audit(firsts: DataFrame, found: DataFrame, least: float, queries: int) -> tu
 
     there = firsts.mapInArrow(lean(count), "vec_id long, links long").groupBy("vec_id").agg(F.sum("links").alias("there"))
     got = found.where("vec_id is not null").groupBy("vec_id").agg(F.sum("links").alias("links"))
-    row = there.join(got, "vec_id", "left").agg(F.sum(F.coalesce("links", F.lit(0))), F.sum("there")).first()
-    return int(row[0] or 0), int(row[1] or 0)
+    rows = there.where("there > 0").join(got, "vec_id", "left").select(F.coalesce("links", F.lit(0)), "there").collect()  # one a query
+    if not rows:
+        return None
+    return min(sum(got / links for got, links in rows) / len(rows), sum(r[0] for r in rows) / sum(r[1] for r in rows))
 
 
 def near_duplicates(
@@ -482,7 +489,8 @@ def near_duplicates(
     ignored. Centres are fitted, for each length of more than ``block``
     vectors, on at most ``sample`` of them and ``sample_bytes``, those of
     smallest hash; all vectors are indexed and all are queries. recall: of the
-    audit of at most audit_queries queries; null where they have no links.
+    audit of at most audit_queries queries, by query and by link; null where
+    they have no links.
     """
     spark: SparkSession = vectors.sparkSession
     scratch = scratch or Scratch(spark, "embedding-dedup")
@@ -506,8 +514,8 @@ def near_duplicates(
         member = scratch.write(_routed(firsts, centres, least, overlap), "member")
         found = _found(scratch, member, least, block)
         scratch.drop("member")
-        got, there = audit(firsts, found, least, audit_queries)
-        if got >= TARGET_RECALL * there or overlap >= max([0, *map(len, centres.values())]):
+        recall = audit(firsts, found, least, audit_queries)
+        if recall is None or recall >= TARGET_RECALL or overlap >= max([0, *map(len, centres.values())]):
             break
         overlap *= 2
     links = found.where("vec_id is not null").groupBy(F.col("vec_id").alias("first")).agg(F.sum("links").alias("links"))
@@ -517,7 +525,7 @@ def near_duplicates(
     scratch.drop("found", "firsts", "classes")
     rows = sized.select("vec_id", "k1", "k2").join(by_class, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "vec_id")
-    recall = F.lit(got / there if there else None).cast("double").alias("recall")
+    recall = F.lit(recall).cast("double").alias("recall")
     out = rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"), recall)
     return given_ids(out, names, "vec_id", "component_id")
 

@@ -18,7 +18,7 @@ from conftest import SMALL
 from oracle import assert_same
 
 from stratalode.llm import bpe, bpe_codec, embedding_dedup, exact_dedup, jaccard_join, packing, pii, quality_crf, quote_links, registry, substring_dedup, token_counts
-from stratalode.llm.common import Scratch, components
+from stratalode.llm.common import Scratch, components, table
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -653,3 +653,35 @@ def test_messages_that_differ_in_nulls_are_two(spark):
     }
     ids = spark.createDataFrame(rows, schema).select(quote_links.message_id("conv_id", "turn", "role", "text")).distinct()
     assert ids.count() == len(rows)
+
+
+def planted_families(hub=400, families=120, d=24, seed=6):
+    """Vectors: a hub that all link, families of three, and loners; ids in turn, so that queries meet all kinds."""
+    r = np.random.default_rng(seed)
+    near = lambda base, n: base + r.normal(size=(n, d)) * 0.04 / np.sqrt(d) * np.linalg.norm(base)
+    rows = [*near(r.normal(size=d), hub), *(x for _ in range(families) for x in near(r.normal(size=d), 3)), *r.normal(size=(300, d))]
+    return [(k, [float(x) for x in rows[i]]) for k, i in enumerate(r.permutation(len(rows)))]
+
+
+def test_embedding_audit_sees_families_that_are_lost(spark):
+    """Families hold few of the links: an index that loses them all has most links, and a bad recall all the same."""
+    rows = planted_families()
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    links = ((x @ x.T) >= 0.95).sum(1) - 1
+    firsts = spark.createDataFrame([(k, 1, v) for k, v in rows], "vec_id long, copies long, v array<double>")
+    found = lambda few: spark.createDataFrame([(k, int(n)) for k, n in enumerate(links) if n > few], "vec_id long, links long")
+    assert embedding_dedup.audit(firsts, found(0), 0.95, 10**6) == 1.0
+    asked = [int(n) for k, n in enumerate(links) if k % 50 == 0 and n]
+    assert sum(n for n in asked if n > 2) / sum(asked) > 0.99  # by links alone all would be well
+    assert embedding_dedup.audit(firsts, found(2), 0.95, 10**6) < 0.7
+    assert embedding_dedup.audit(firsts.limit(0), found(0), 0.95, 10) is None
+
+
+def test_embedding_families_beside_a_hub_are_all_found(spark, tmp_path):
+    """The planted table's rows equal the SQL's, its recall too."""
+    spark.createDataFrame(planted_families(), "vec_id long, embedding array<double>").withColumn("label", F.lit(0)).coalesce(1).write.parquet(f"{tmp_path}/all")
+    next((tmp_path / "all").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    got = embedding_dedup.near_duplicates(table(spark, str(tmp_path), "embeddings"), block=64)
+    assert_same(got, registry.oracle_sql()["op2_embedding_dedup"], str(tmp_path))
+    assert got.first().recall == 1.0
