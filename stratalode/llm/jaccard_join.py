@@ -19,6 +19,9 @@ prefixes go, by shingle, to owner tasks:
    pair for each document and component;
 3. all pairs whose ends are still in different components.
 
+A shingle that very many documents have is split for 2 and 3: each two blocks of
+its documents are a cell, and cells are dealt to the owner tasks like shingles.
+
 Before a pair of 2 or 3 is a row, its owner task rules it out if the sizes, the
 places in the order or the documents' sketches say so. A sketch holds, for each
 of its bits, whether an odd number of the set's shingles fall on it; two
@@ -399,6 +402,67 @@ def _star_owner(percent: int):
     return run
 
 
+# -- shingles of very many documents ----------------------------------------------------------------
+
+
+def _mark_counts(batches):
+    """(h, n): how many documents of a batch have each shingle in their marks."""
+    for batch in batches:
+        marks = [np.unique(np.frombuffer(b"".join(m), MARK))["h"] for m in batch.column("marks").to_pylist()]
+        h, n = np.unique(np.concatenate(marks) if marks else np.zeros(0, np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+
+
+def split_marks(hot: np.ndarray, blocks: np.ndarray):
+    """Documents (doc_id, n, marks) with the marks of hot shingles (sorted) under cells in their place.
+
+    A hot shingle's documents are dealt to blocks by hash, and each pair of
+    blocks is a cell, a shingle of its own to the owner tasks; a document goes
+    to the cells of its block. So every two documents of the shingle meet in a
+    cell, and no cell has more than two blocks of them, whatever task it is in.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, lists in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                marks = np.unique(np.frombuffer(b"".join(lists), MARK))
+                at = np.minimum(np.searchsorted(hot, marks["h"]), max(0, len(hot) - 1))
+                split = hot[at] == marks["h"] if len(hot) else np.zeros(len(marks), bool)
+                if split.any():
+                    k = blocks[at[split]]
+                    cell = np.repeat(marks[split], k)
+                    every = np.repeat(k, k).astype(np.uint64)
+                    own = textscan.mix64(cell["h"] ^ textscan.mix64(np.full(len(cell), doc).astype(np.uint64))) % every
+                    other = (np.arange(len(cell)) - np.repeat(np.cumsum(k) - k, k)).astype(np.uint64)
+                    low, high = np.minimum(own, other), np.maximum(own, other)
+                    cell["h"] = textscan.mix64(cell["h"] + textscan.mix64(low * np.uint64(0x9E3779B97F4A7C15) + high + np.uint64(1))) | NEAR
+                    marks = np.concatenate([marks[~split], cell])
+                out.append([marks.tobytes()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.binary()))], names=["doc_id", "n", "marks"])
+
+    return run
+
+
+def _split_hot(rows: DataFrame, split_from: int) -> DataFrame:
+    """rows (doc_id, n, marks) with shingles of more than ``split_from`` documents split into cells.
+
+    At most some 500,000 shingles (16 bytes each) are told to the tasks: where
+    there are more of that size, those of the most documents are.
+    """
+    counts = rows.mapInArrow(lean(_mark_counts), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > split_from)
+    told = counts.orderBy(F.desc("n"), "h").limit(500_000).toArrow().sort_by("h")
+    hot = told["h"].to_numpy().view(np.uint64)
+    order = np.argsort(hot)
+    blocks = -(-told["n"].to_numpy() // split_from)[order]
+    given = rows.sparkSession.sparkContext.broadcast((hot[order], blocks.astype(np.int64)))
+
+    def run(batches):
+        yield from split_marks(*given.value)(batches)
+
+    return rows.mapInArrow(lean(run), "doc_id long, n long, marks array<binary>")
+
+
 # -- probes and all pairs across components ---------------------------------------------------------
 
 CROSSED = "part int, blob binary"
@@ -659,6 +723,7 @@ def jaccard_join(
     fragments: int = 3,
     frequent_from: int = 12,
     frequent_most: int = 500_000,
+    split_from: int = 2048,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row.
@@ -670,15 +735,16 @@ def jaccard_join(
     component_id: the smallest id reachable by links. Rows of one id are
     documents of their own, and so are rows without one, which stand after all
     others (a component of such rows alone has a null id). Other columns are
-    ignored. fragments: 1 or more.
+    ignored. fragments: 1 or more. split_from: a shingle of more documents that
+    still are in pairs goes to several owner tasks.
     """
     spark: SparkSession = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard-join")
     one, names = own_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), scratch)
-    return given_ids(_joined(one, shingle, percent, fragments, frequent_from, frequent_most, scratch), names, "doc_id", "component_id")
+    return given_ids(_joined(one, shingle, percent, fragments, frequent_from, frequent_most, split_from, scratch), names, "doc_id", "component_id")
 
 
-def _joined(one: DataFrame, shingle: int, percent: int, fragments: int, frequent_from: int, frequent_most: int, scratch: Scratch) -> DataFrame:
+def _joined(one: DataFrame, shingle: int, percent: int, fragments: int, frequent_from: int, frequent_most: int, split_from: int, scratch: Scratch) -> DataFrame:
     """jaccard_join of (doc_id, text) with ids that are unique."""
     spark = one.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 2
@@ -734,10 +800,11 @@ def _joined(one: DataFrame, shingle: int, percent: int, fragments: int, frequent
         return owned(rows.mapInArrow(lean(_cross_map(parts)), CROSSED), owner, schema)
 
     # Only shingles that documents of different components share go on, and only their documents need sketches.
-    mixed = crossed(marked(met).join(chosen.select("doc_id", "n"), "doc_id"), _mixed_owner(percent), "doc long, marks binary")
+    met = scratch.write(marked(met).join(chosen.select("doc_id", "n"), "doc_id").select("doc_id", "n", "marks"), "met")
+    mixed = crossed(_split_hot(met, split_from), _mixed_owner(percent), "doc long, marks binary")
     mixed = scratch.write(mixed, "mixed")
     shared = scratch.write(marked(mixed).join(chosen.select("doc_id", "n", "sketch"), "doc_id"), "shared")
-    scratch.drop("stars", "chosen", "mixed")
+    scratch.drop("stars", "met", "chosen", "mixed")
     for name in ("probe", "cross"):
         probe = name == "probe"
         lists = crossed(shared, _cross_owner(percent, probe), PARTNERS)

@@ -247,6 +247,37 @@ def test_jaccard_join_near_the_threshold(spark, frequent, fragments):
     assert got == brute.jaccard(rows)
 
 
+@pytest.mark.parametrize("split_from", [1, 4, 30])
+def test_jaccard_join_of_split_shingles(spark, split_from):
+    """Passages that very many unlike documents share, near copies among them: cells of any size find the same links."""
+    passages = [prose(12) for _ in range(3)]
+    texts = [f"{passages[k % 3]} {prose(14)}" for k in range(90)]
+    texts += [edited(t, 0.02) for t in texts[:30]] + [f"{p} {prose(2)}" for p in passages for _ in range(6)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(df, split_from=split_from).collect()}
+    want = brute.jaccard(rows)
+    assert got == want and len({c for _, c in want.values()}) < len(rows) - 10
+
+
+def test_split_shingle_meets_all_pairs_in_small_cells():
+    import pyarrow as pa
+
+    mark = np.array([(77 | 1, 3), (1001, 5)], jaccard_join.MARK)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array([9] * 500), pa.array([[mark.tobytes()]] * 500)], names=["doc_id", "n", "marks"])
+    out = next(jaccard_join.split_marks(np.array([77], np.uint64), np.array([10]))([batch]))
+    cells, plain = {}, set()
+    for doc, lists in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True):
+        for h, pos in np.frombuffer(lists[0], jaccard_join.MARK).tolist():
+            if h == 1001:
+                plain.add(doc)
+            else:
+                assert pos == 3
+                cells.setdefault(h, set()).add(doc)
+    assert len(plain) == 500 and len(cells) == 55 and max(map(len, cells.values())) <= 160
+    assert len({(a, b) for c in cells.values() for a in c for b in c if a < b}) == 500 * 499 // 2
+
+
 def test_jaccard_join_of_a_large_group_below_the_threshold(spark):
     """700 edits of one text, most of them just short of each other."""
     base = prose(150)
