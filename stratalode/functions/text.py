@@ -48,6 +48,33 @@ def concat_pieces(recipe: Column) -> Column:
     return F.array_distinct(F.split(recipe, "\u0001", -1))
 
 
+#: Characters that have a letter of their own in a Java literal. Fixed values.
+NAMED = (("\b", "b"), ("\t", "t"), ("\n", "n"), ("\f", "f"), ("\r", "r"), ('"', '"'), ("'", "'"), ("\\", "\\"))
+
+
+def log_escaped(text: Column) -> Column:
+    """The text as the inside of a Java literal, for logs: no control character is left to forge a line with.
+
+    Other control characters are octal, in three digits where a digit follows;
+    what isn't ASCII is four hex digits for each of its UTF-16 units.
+    """
+    units = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def one(chars: Column, c: Column, i: Column) -> Column:
+        code, following = F.ascii(c), F.try_element_at(chars, i + 2)
+        octal = F.conv(code, 10, 8)
+        octal = F.when(F.coalesce(following.rlike("^[0-7]"), F.lit(False)), F.lpad(octal, 3, "0")).otherwise(octal)
+        pair = F.concat(units(F.lit(0xD800) + F.floor((code - 0x10000) / 1024)), units(F.lit(0xDC00) + (code - 0x10000) % 1024))
+        told = F.when(code > 0xFFFF, pair).when(code > 126, F.when(code == 127, F.lit("\\177")).otherwise(units(code))).when(code < 32, F.concat(F.lit("\\"), octal)).otherwise(c)
+        for char, letter in NAMED:
+            told = F.when(c == char, F.lit("\\" + letter)).otherwise(told)
+        return told
+
+    chars = F.split(text, "")
+    escaped = F.array_join(F.transform(chars, lambda c, i: one(chars, c, i)), "")
+    return F.when(text.rlike(r"""[^ !#-&(-\[\]-~]"""), escaped).otherwise(text)
+
+
 def escape_query(text: Column) -> Column:
     return F.regexp_replace(text, ESCAPED, r"\\$1")
 

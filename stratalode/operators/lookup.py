@@ -57,6 +57,13 @@ def find_key(cat: Catalogue, key: str) -> DataFrame:
     return find_unit(cat, project, path, int(version))
 
 
+def paths_of(cat: Catalogue, rows: DataFrame, snapshot_col: str = "snapshot_id") -> DataFrame:
+    """rows with ``path`` and ``container`` of their snapshot; null where it is unknown or none is given."""
+    known = cat.snapshots.select(F.col("id").alias("_snapshot"), "descriptor_id", F.col("unit_name").alias("path"))
+    known = known.join(cat.descriptors.select(F.col("id").alias("descriptor_id"), F.col("path").alias("container")), "descriptor_id").drop("descriptor_id")
+    return rows.join(known, F.col(snapshot_col) == F.col("_snapshot"), "left").drop("_snapshot")
+
+
 def unit_of_class(rows: DataFrame, units: DataFrame, class_col: str = "class_name") -> DataFrame:
     """rows with ``unit_name``: the unit of their class, named like it or with .class after it."""
     names = units.select("unit_name", F.regexp_replace("unit_name", r"\.class$", "").alias("_stem"))

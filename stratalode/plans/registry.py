@@ -616,15 +616,32 @@ def _(cat):
 
 
 # Opcodes of each operator.
-OPERATORS = {"+": "iadd ladd fadd dadd", "-": "isub lsub fsub dsub ineg lneg fneg dneg", "*": "imul lmul fmul dmul", "/": "idiv ldiv fdiv ddiv", "%": "irem lrem frem drem", "<<": "ishl lshl", ">>": "ishr lshr", ">>>": "iushr lushr", "&": "iand land", "|": "ior lor", "^": "ixor lxor"}
+OPERATORS = (
+    ("iadd", "+"), ("ladd", "+"), ("fadd", "+"), ("dadd", "+"),
+    ("isub", "-"), ("lsub", "-"), ("fsub", "-"), ("dsub", "-"), ("ineg", "-"), ("lneg", "-"), ("fneg", "-"), ("dneg", "-"),
+    ("imul", "*"), ("lmul", "*"), ("fmul", "*"), ("dmul", "*"),
+    ("idiv", "/"), ("ldiv", "/"), ("fdiv", "/"), ("ddiv", "/"),
+    ("irem", "%"), ("lrem", "%"), ("frem", "%"), ("drem", "%"),
+    ("ishl", "<<"), ("lshl", "<<"),
+    ("ishr", ">>"), ("lshr", ">>"),
+    ("iushr", ">>>"), ("lushr", ">>>"),
+    ("iand", "&"), ("land", "&"),
+    ("ior", "|"), ("lor", "|"),
+    ("ixor", "^"), ("lxor", "^"),
+)
 
 
-@example("C21_operators", "SELECT * FROM (VALUES " + ",".join(f"('{o}','{s}')" for s, ops in OPERATORS.items() for o in ops.split()) + ") t(opcode, symbol)")
+@example("C21_operators", "SELECT * FROM (VALUES " + ",".join(f"('{o}','{s}')" for o, s in OPERATORS) + ") t(opcode, symbol)")
 def _(spark, sf_dir):
-    table = F.create_map(*[F.lit(x) for s, ops in OPERATORS.items() for o in ops.split() for x in (o, s)])
+    table = F.create_map(*[F.lit(x) for row in OPERATORS for x in row])
     return spark.range(1).select(F.explode(table).alias("opcode", "symbol"))
 
 
+@table_query("C08_log_escaping", "events", """SELECT event_id, replace(replace(props, '\\', '\\\\'), '"', '\\"') AS told FROM events""")
+def _(events):
+    return events.select("event_id", T.log_escaped(F.col("props")).alias("told"))
+
+
 @table_query("C23_names", "pages", r"SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS short, CASE WHEN contains(url,'/') THEN regexp_extract(url, '^(.*)/[^/]*$', 1) ELSE '' END AS package, regexp_replace(url, '(?i)(EX)', '[\1]', 'g') AS marked FROM pages")
 def _(pages):
     url = F.col("url")
@@ -901,6 +918,13 @@ def _(cat):
     return got.select("doc_id", F.round("score", 4).alias("score"), "total_found").orderBy(F.desc("score"), "doc_id")
 
 
+@catalogue_query("J12_paths_of_snapshots", f"{MATCHES} SELECT category, from_snapshot, s.unit_name AS path, d.path AS container FROM j LEFT JOIN unit_snapshots s ON s.id=j.from_snapshot LEFT JOIN unit_descriptors d ON d.id=s.descriptor_id")
+def _(cat):
+    """Paths of the snapshots that a diff names, looked up from their ids alone."""
+    rows = diff.effective_pair(cat, P, 2, 5).select("category", "from_snapshot")
+    return lookup.paths_of(cat, rows, "from_snapshot")
+
+
 @catalogue_query("R08_indexed_unit", f"SELECT constant_value AS value, array_to_string(list_sort(list(DISTINCT structural_type)),',') AS usages FROM {SCOPE} JOIN unit_constants c ON c.snapshot_id=s.id JOIN constant_usages u ON u.constant_id=c.id WHERE s.unit_name=(SELECT min(path) FROM unit_descriptors WHERE project='ASIA' AND version=2) GROUP BY constant_value")
 def _(cat):
     path = units.scoped(cat, P, W).agg(F.min("path")).first()[0]

@@ -73,3 +73,11 @@ def test_paging(spark):
     assert units.page(df, None, None, 4).count() == 4
     with pytest.raises(ValueError):
         units.page(df, -1, 3, 50)
+
+
+def test_log_escaping(spark):
+    given = ["plain [x]", 'a"b\'c\\d', "l1\nl2\r\tl3\b\f", "\x01", "\x01" + "7x", "\x1f9", "\x7f", "é", "😀!", "", None]
+    want = ["plain [x]", "a\\\"b\\'c\\\\d", "l1\\nl2\\r\\tl3\\b\\f", "\\1", "\\0017x", "\\379", "\\177", "\\u00e9", "\\ud83d\\ude00!", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(given)], "k int, t string")
+    got = {r.k: r.told for r in rows.select("k", T.log_escaped(F.col("t")).alias("told")).collect()}
+    assert [got[k] for k in range(len(given))] == want
