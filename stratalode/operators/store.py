@@ -129,6 +129,21 @@ def snapshot_json(constants: DataFrame) -> DataFrame:
 
 
 def chunk(rows: DataFrame, by: list[str], order: str, size: int = 500) -> DataFrame:
-    """rows with ``chunk`` and ``first``: runs of ``size`` within a container, in order."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
-    return rows.withColumn("chunk", F.floor(place / size)).withColumn("first", F.col("chunk") == 0)
+    """rows with ``chunk`` and ``first``: runs of ``size`` within a container, in order.
+
+    The rows are written in the order of container and ``order``, in as many
+    parts as Spark makes of them, and numbered in each part; where a container
+    goes over several parts, the rows of those before are added. So a container
+    of any size is sorted and numbered by many tasks.
+    """
+    spark, path = rows.sparkSession, work_folder(rows.sparkSession, "chunks")
+    placed = rows.orderBy(*by, order).withColumn("_at", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    runs = placed.groupBy("_part", *by).agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))  # a row a part and container
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").withColumnsRenamed({c: f"_of_{c}" for c in ("_part", *by)})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in ("_part", *by)]
+    place = F.col("_at") - F.col("_from") + F.col("_before")
+    out = placed.join(runs, same).withColumn("chunk", F.floor(place / size)).withColumn("first", F.col("chunk") == 0)
+    return out.select(*rows.columns, "chunk", "first")

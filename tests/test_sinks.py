@@ -147,3 +147,14 @@ def test_progress_of_a_stream(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert told[-1] == ("stream", 300, 6) and len(told) >= 3
+
+
+def test_chunks_of_containers_over_many_parts(spark):
+    from stratalode.operators import store
+
+    made = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("n"), F.when(F.col("id") % 10 == 0, F.lit(None).cast("string")).when(F.col("id") % 3 == 0, "small").otherwise("hot").alias("container"))
+    got = store.chunk(made.repartition(6), ["container"], "n", size=100).collect()
+    for name in (None, "small", "hot"):
+        own = sorted((r.n, r.chunk, r["first"]) for r in got if r.container == name)
+        assert [(c, f) for _, c, f in own] == [(k // 100, k < 100) for k in range(len(own))]
+    assert len(got) == 5000
