@@ -9,6 +9,8 @@ from ..streaming import cached, job_tracking, ordered, outbox
 from .registry import table_query
 from .services import STEPS
 
+PARTITIONS = 8  # of the streams' state: some thousand keys
+
 ORDERED = """WITH s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_id%23=5 AS held FROM events),
  m AS (SELECT user_id, coalesce(max(seq) FILTER (NOT held), 0) AS top FROM s GROUP BY user_id),
  t AS (SELECT s.*, CASE WHEN held AND seq<top THEN 'late' WHEN NOT held AND lag(held) OVER (PARTITION BY s.user_id ORDER BY seq) THEN 'after_gap' ELSE 'delivered' END AS status FROM s JOIN m ON m.user_id=s.user_id)
@@ -26,7 +28,7 @@ def delivered(events):
     loads = ((numbered.where(~held & odd), 0), (numbered.where(~held & ~odd), 1), (clock, 120), (numbered.where(held), 121))
     for rows, minutes in loads:
         rows.withColumn("came", came + F.make_dt_interval(mins=F.lit(minutes))).write.mode("append").parquet(f"{root}/loads")
-        query = ordered.start(spark, f"{root}/loads", "user_id long, event_id long, seq int, came timestamp", f"{root}/out", f"{root}/offsets", ["user_id"], "seq", "came", patience=1800, most_files=100_000)
+        query = ordered.start(spark, f"{root}/loads", "user_id long, event_id long, seq int, came timestamp", f"{root}/out", f"{root}/offsets", ["user_id"], "seq", "came", patience=1800, most_files=100_000, partitions=PARTITIONS)
         query.awaitTermination()
     return spark.read.schema("user_id long, seq long, event_id long, status string, place long").parquet(f"{root}/out")
 
@@ -51,7 +53,7 @@ def cached_reads(events):
     for first, last in ((1, 10), (11, 20), (21, 31)):
         rows.where(F.dayofmonth("at").between(first, last)).write.mode("append").parquet(f"{root}/requests")
         schema = "user_id long, id long, at timestamp, op string, value string"
-        cached.start(spark, f"{root}/requests", schema, f"{root}/out", f"{root}/offsets", ["user_id"], ttl=6 * 3600, most_files=100_000).awaitTermination()
+        cached.start(spark, f"{root}/requests", schema, f"{root}/out", f"{root}/offsets", ["user_id"], ttl=6 * 3600, most_files=100_000, partitions=PARTITIONS).awaitTermination()
     return spark.read.schema("user_id long, id long, outcome string, value string").parquet(f"{root}/out").withColumnRenamed("id", "event_id")
 
 

@@ -87,8 +87,8 @@ def through_cache(stream: DataFrame, by: list[str], ttl: int, invalidate: bool =
     return whole.withWatermark("at", late).withColumn("millis", F.unix_millis("at")).groupBy(*by).transformWithState(Cache(by, ttl * 1000, invalidate), out, "Append", "EventTime")
 
 
-def start(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, by: list[str], *, ttl: int, invalidate: bool = True, most_files: int = 1) -> StreamingQuery:
+def start(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, by: list[str], *, ttl: int, invalidate: bool = True, most_files: int = 1, partitions: int | None = None) -> StreamingQuery:
     """Serves a folder of requests, its files in order of time, into the table under path."""
-    stream = state_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(source)
+    stream = state_session(spark, partitions).readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(source)
     writer = through_cache(stream, by, ttl, invalidate).writeStream.format("parquet").outputMode("append")
     return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -120,8 +120,8 @@ def in_order(stream: DataFrame, by: list[str], seq: str, at: str, patience: int
     return timed.groupBy(*by).transformWithState(processor, out, "Append", "EventTime")
 
 
-def start(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, by: list[str], seq: str, at: str, *, patience: int = 60, first: int = 1, most_files: int = 1) -> StreamingQuery:
+def start(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, by: list[str], seq: str, at: str, *, patience: int = 60, first: int = 1, most_files: int = 1, partitions: int | None = None) -> StreamingQuery:
     """Delivers a folder of files as a stream, ``most_files`` at a time, into the table under path."""
-    stream = state_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(source)
+    stream = state_session(spark, partitions).readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(source)
     writer = in_order(stream, by, seq, at, patience, first).writeStream.format("parquet").outputMode("append")
     return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
