@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,11 +57,13 @@ def with_views(sql: str, recursive: bool = False) -> str:
     return (f"WITH {', '.join(ctes)} " if ctes else "") + body
 
 
-#: where the catalogue over a folder of test tables stands, by application
-_written: dict[tuple[str, str], str] = {}
+#: where the catalogue over a folder of test tables stands, by application, and the tables that are written there
+_roots: dict[tuple[str, str], str] = {}
+_written: dict[str, set[str]] = {}
+_writing = threading.RLock()
 #: How the large tables are laid out: in folders by a hash of the unit's snapshot,
 #: in the order of what they are joined by, with bloom filters on what they are looked up by.
-BUCKETS = 64
+BUCKETS = 64  # as many as a long has bits
 LOOKED_UP = {"unit_descriptors": ("path",), "unit_snapshots": ("unit_name", "descriptor_id"), "unit_constants": ("snapshot_id",), "constant_usages": ("constant_id",)}
 SORTED = {"unit_descriptors": ("project", "version", "path"), "unit_snapshots": ("unit_name", "descriptor_id"), "unit_constants": ("snapshot_id", "id"), "constant_usages": ("constant_id",)}
 
@@ -70,31 +73,83 @@ def bucket_of(snapshot_id: Column) -> Column:
     return F.pmod(F.xxhash64(snapshot_id.cast("long")), F.lit(BUCKETS)).cast("int")
 
 
+def _beside_constants(usages: DataFrame, constants: DataFrame) -> DataFrame:
+    """usages with the ``bucket`` of their constant's unit.
+
+    Where several units share a constant's id, its usages stand in the folder
+    of each, in all but the first as a ``copy``: a scan leaves copies out, so
+    that each usage counts once.
+    """
+    folders = constants.groupBy(F.col("id").alias("constant_id")).agg(F.min("bucket").alias("_first"), F.bit_or(F.expr("shiftleft(1L, bucket)")).alias("_all"))
+    others = F.filter(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: (b != F.col("_first")) & (F.getbit(F.col("_all"), b) == 1))
+    places = F.when(F.bit_count("_all") == 1, F.array("_first")).otherwise(F.concat(F.array("_first"), others))
+    rows = usages.join(folders, "constant_id").select(*usages.columns, F.posexplode(places).alias("_nth", "bucket"))
+    return rows.withColumn("copy", F.col("_nth") > 0).drop("_nth")
+
+
+def _write_table(name: str, rows: DataFrame, root: str) -> None:
+    by = ("bucket",) if "bucket" in rows.columns else ()
+    if name in SORTED:
+        rows = rows.repartitionByRange(*by, *SORTED[name]).sortWithinPartitions(*by, *SORTED[name])
+    writer = rows.write.partitionBy(*by)
+    for column in LOOKED_UP.get(name, ()):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(f"{root}/{name}")
+
+
 def write_tables(frames: dict[str, DataFrame], root: str) -> None:
     """Writes a catalogue's tables under a folder, laid out for lookups by unit and for scans alike."""
     frames = dict(frames)
     constants = frames["unit_constants"].withColumn("bucket", bucket_of(F.col("snapshot_id")))
-    if "constant_usages" in frames:  # a usage stands with its constant's unit
-        frames["constant_usages"] = frames["constant_usages"].join(constants.select(F.col("id").alias("constant_id"), "bucket"), "constant_id")
+    if "constant_usages" in frames:
+        frames["constant_usages"] = _beside_constants(frames["constant_usages"], constants)
     frames["unit_constants"] = constants
     for name, rows in frames.items():
-        by = ("bucket",) if "bucket" in rows.columns else ()
-        if name in SORTED:
-            rows = rows.repartitionByRange(*by, *SORTED[name]).sortWithinPartitions(*by, *SORTED[name])
-        writer = rows.write.partitionBy(*by)
-        for column in LOOKED_UP.get(name, ()):
-            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-        writer.parquet(f"{root}/{name}")
+        _write_table(name, rows, root)
+
 
+def _read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    rows = spark.read.parquet(f"{root}/{name}")
+    return rows.where("not copy").drop("copy", "bucket") if name == "constant_usages" else rows.drop("bucket")
 
-def _write(spark: SparkSession, sf_dir: str) -> str:
+
+#: What each view is made of.
+BASES = {
+    "project_versions": ("region",),
+    "unit_descriptors": ("region", "nation", "supplier"),
+    "unit_snapshots": ("unit_descriptors",),
+    "version_deletions": ("region", "nation", "supplier"),
+    "unit_constants": ("part", "lineitem", "unit_snapshots"),
+    "constant_usages": ("part", "lineitem", "unit_constants"),
+}
+
+
+def _root(spark: SparkSession, sf_dir: str) -> str:
     from .operators.store import work_folder
 
-    for name in BASE_TABLES[:2] + ("supplier", "part", "lineitem"):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    root = work_folder(spark, "catalogue")
-    write_tables({name: spark.sql(with_views(f"SELECT * FROM {name}")) for name in VIEWS}, root)
-    return root
+    with _writing:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _roots:
+            _roots[key] = work_folder(spark, "catalogue")
+        return _roots[key]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the catalogue's tables over the test tables; it is written when it is first asked for, from those written before."""
+    root = _root(spark, sf_dir)
+    with _writing:
+        if name not in _written.setdefault(root, set()):
+            for base in BASES[name]:
+                rows = _table(spark, sf_dir, base) if base in VIEWS else spark.read.parquet(f"{sf_dir}/{base}.parquet")
+                rows.createOrReplaceTempView(base)
+            rows = spark.sql(VIEWS[name])
+            if name == "unit_constants":
+                rows = rows.withColumn("bucket", bucket_of(F.col("snapshot_id")))
+            elif name == "constant_usages":
+                rows = _beside_constants(rows, spark.read.parquet(f"{root}/unit_constants"))
+            _write_table(name, rows, root)
+            _written[root].add(name)
+    return _read_table(spark, root, name)
 
 
 @dataclass
@@ -114,21 +169,33 @@ class Catalogue:
     def at(cls, spark: SparkSession, root: str) -> Catalogue:
         """The catalogue written under a folder (see operators.store)."""
         names = ("unit_descriptors", "unit_snapshots", "unit_constants", "constant_usages", "project_versions", "version_deletions")
-        return cls(spark, *[spark.read.parquet(f"{root}/{n}").drop("bucket") for n in names], root)
+        return cls(spark, *[_read_table(spark, root, n) for n in names], root)
 
     def of_unit(self, snapshot_id: int) -> tuple[DataFrame, DataFrame]:
         """(constants, usages) of the folder that a unit stands in: its own, and those of others there; all where tables aren't in folders."""
+        constants, usages = self.constants, self.usages  # written, if they weren't
         if self.root is None:
-            return self.constants, self.usages
+            return constants, usages
         bucket = self.spark.range(1).select(bucket_of(F.lit(snapshot_id))).first()[0]
-        return tuple(self.spark.read.parquet(f"{self.root}/{n}").where(F.col("bucket") == bucket).drop("bucket") for n in ("unit_constants", "constant_usages"))
+        return tuple(self.spark.read.parquet(f"{self.root}/{n}").where(F.col("bucket") == bucket).drop("bucket", "copy") for n in ("unit_constants", "constant_usages"))
 
     @classmethod
     def over(cls, spark: SparkSession, sf_dir: str) -> Catalogue:
-        """The test tables, shaped like a catalogue; they are written as one once a session, as a catalogue is."""
-        key = (spark.sparkContext.applicationId, sf_dir)
-        if key not in _written:
-            _written[key] = _write(spark, sf_dir)
-        frames = {n: spark.read.parquet(f"{_written[key]}/{n}").drop("bucket") for n in VIEWS}
-        usages = frames["constant_usages"].withColumns({c: F.lit(None).cast("string") for c in ("semantic_display_name", "location_class_name")})
-        return cls(spark, frames["unit_descriptors"], frames["unit_snapshots"], frames["unit_constants"], usages, frames["project_versions"], frames["version_deletions"], _written[key])
+        """The test tables, shaped like a catalogue; each of its tables is written once a session, when it is first asked for."""
+        cat = cls.__new__(cls)
+        cat.spark, cat.root, cat._sf_dir = spark, _root(spark, sf_dir), sf_dir
+        return cat
+
+    def __getattr__(self, name: str):
+        """A table that isn't there yet."""
+        if name not in SHAPED or "_sf_dir" not in self.__dict__:
+            raise AttributeError(name)
+        rows = _table(self.spark, self._sf_dir, SHAPED[name])
+        if name == "usages":
+            rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("semantic_display_name", "location_class_name")})
+        setattr(self, name, rows)
+        return rows
+
+
+#: The view of each of the catalogue's tables.
+SHAPED = {"descriptors": "unit_descriptors", "snapshots": "unit_snapshots", "constants": "unit_constants", "usages": "constant_usages", "versions": "project_versions", "deletions": "version_deletions"}
