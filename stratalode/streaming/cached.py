@@ -32,13 +32,12 @@ class Cache(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.row = handle, Row(*self.by, "id", "outcome", "value")
-        self.stored = handle.getValueState("stored", "value string")
-        self.loaded = handle.getValueState("loaded", "value string, until long, written boolean")
+        self.state = handle.getValueState("state", "stored string, loaded string, until long, written boolean")  # until null: nothing was loaded yet
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        stored = self.stored.get()[0] if self.stored.exists() else None
-        loaded = tuple(self.loaded.get()) if self.loaded.exists() else None
-        before = loaded
+        given = self.state.get()
+        stored, *rest = given or (None, None, None, None)
+        loaded = before = tuple(rest) if rest[1] is not None else None
         for row in sorted(rows, key=lambda r: (r["at"], r["id"])):
             at = row["millis"]
             if row["op"] == WRITE:
@@ -55,18 +54,19 @@ class Cache(StatefulProcessor):
             if outcome != HIT:
                 loaded = (stored, at + self.ttl, False)
             yield self.row(*key, row["id"], outcome, loaded[0])
-        self.stored.update((stored,))
-        if loaded is not None and loaded != before:
-            self.loaded.update(loaded)
-            if before is None or before[1] != loaded[1]:
-                if before is not None:
-                    self.handle.deleteTimer(before[1])
-                self.handle.registerTimer(loaded[1])
+        now = (stored, *(loaded or (None, None, None)))
+        if given is None or now != tuple(given):
+            self.state.update(now)
+        if loaded is not None and (before is None or before[1] != loaded[1]):
+            if before is not None:
+                self.handle.deleteTimer(before[1])
+            self.handle.registerTimer(loaded[1])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.loaded.exists():
-            _, until, written = self.loaded.get()
-            self.loaded.update((None, until, written))  # its time stays, so that the next read is told as expired
+        given = self.state.get()
+        if given is not None and given[1] is not None:
+            stored, _, until, written = given
+            self.state.update((stored, None, until, written))  # its time stays, so that the next read is told as expired
         return iter(())
 
     def close(self) -> None:
