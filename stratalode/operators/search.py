@@ -34,6 +34,7 @@ LEAST_GRAM, MOST_GRAM = 2, 20
 PREFIX, MOST_EDITS = 7, 2
 BUCKETS, WINDOW_DOCS = 64, 64
 FEW_ROWS = 200_000
+TASK_TOKENS, TASK_POSTINGS = 20_000, 500_000
 
 
 def tokens(text: Column) -> Column:
@@ -86,6 +87,9 @@ class Index:
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "tokens", "lengths")], path)
 
     def table(self, name: str) -> DataFrame:
+        """A written index's table; keys and blocks that were left for later are written now."""
+        if name in LATER and not store.exists(self.tokens.sparkSession, f"{self.path}/{name}/_SUCCESS"):
+            LATER[name](self)
         return self.tokens.sparkSession.read.parquet(f"{self.path}/{name}")
 
 
@@ -122,26 +126,52 @@ def _keys_of(asked: str, edits: int) -> set[str]:
     return keys
 
 
-def write_index(docs: DataFrame, id_col: str, values: Column, path: str) -> Index:
-    """Writes the index of documents under a folder and opens it."""
+def _write(rows: DataFrame, path: str, *by: str) -> None:
+    rows.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def _spread(rows: DataFrame, each: int) -> Column:
+    """How many slices a bucket is cut into, for so many rows of the source a slice."""
+    return F.lit(1 + rows.count() // (BUCKETS * each))
+
+
+def write_keys(index: Index) -> None:
+    """Work goes by the number of tokens, not by the bytes of their files; each key is made once, so it isn't sampled for ranges."""
+    tasks = max(index.tokens.sparkSession.sparkContext.defaultParallelism, index.tokens.count() // TASK_TOKENS)
+    keys = index.tokens.select("token").repartition(tasks).select("token", F.inline(deletion_keys(F.col("token")))).withColumn("bucket", _bucket(F.col("key")))
+    placed = keys.repartition("bucket", F.pmod(F.xxhash64("key"), _spread(index.tokens, TASK_TOKENS)))
+    _write(placed.sortWithinPartitions("bucket", "key"), f"{index.path}/keys", "bucket")
+
+
+def write_blocks(index: Index) -> None:
+    """Postings are shuffled once, by bucket and slice of the windows, and grouped where they are."""
+    windows = index.table("stats").first()["windows"]
+    rows = index.postings.join(index.lengths, "doc_id").withColumns({"window": F.pmod(F.xxhash64("doc_id"), F.lit(windows)), "bucket": _bucket(F.col("token"))})
+    rows = rows.withColumn("slice", F.pmod(F.col("window"), _spread(index.postings, TASK_POSTINGS))).repartition("bucket", "slice")
+    blocks = rows.groupBy("bucket", "slice", "token", "window").agg(
+        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("docs")
+    )
+    _write(blocks.drop("slice").sortWithinPartitions("bucket", "token", "window"), f"{index.path}/blocks", "bucket")
+
+
+#: Tables that may be written when they are first asked for.
+LATER = {"keys": write_keys, "blocks": write_blocks}
+
+
+def write_index(docs: DataFrame, id_col: str, values: Column, path: str, later: bool = False) -> Index:
+    """Writes the index of documents under a folder and opens it; later: keys and blocks when they are first asked for."""
     spark = docs.sparkSession
-    write = lambda rows, name, *by: rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
-    write(postings(docs, id_col, values).repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id"), "postings")
+    _write(postings(docs, id_col, values).repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id"), f"{path}/postings")
     made = Index.of(spark.read.parquet(f"{path}/postings"))
-    write(made.tokens.repartitionByRange("token").sortWithinPartitions("token"), "tokens")
-    write(made.lengths, "lengths")
+    _write(made.tokens.repartitionByRange("token").sortWithinPartitions("token"), f"{path}/tokens")
+    _write(made.lengths, f"{path}/lengths")
     made = Index.at(spark, path)
     stats = made.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    write(stats.withColumn("windows", F.greatest(F.lit(1), F.ceil(F.col("n") / WINDOW_DOCS))).coalesce(1), "stats")
-    windows = made.table("stats").first()["windows"]
-    keys = made.tokens.select("token", F.inline(deletion_keys(F.col("token")))).withColumn("bucket", _bucket(F.col("key")))
-    write(keys.repartitionByRange("bucket", "key", "token").sortWithinPartitions("bucket", "key"), "keys", "bucket")
-    rows = made.postings.join(made.lengths, "doc_id").withColumn("window", F.pmod(F.xxhash64("doc_id"), F.lit(windows)))
-    blocks = rows.groupBy("token", "window").agg(
-        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("docs")
-    )
-    blocks = blocks.withColumn("bucket", _bucket(F.col("token")))
-    write(blocks.repartitionByRange("bucket", "token", "window").sortWithinPartitions("bucket", "token", "window"), "blocks", "bucket")
+    _write(stats.withColumn("windows", F.greatest(F.lit(1), F.ceil(F.col("n") / WINDOW_DOCS))).coalesce(1), f"{path}/stats")
+    for name in LATER:
+        store.remove(spark, f"{path}/{name}")  # of an index that stood here before
+        if not later:
+            LATER[name](made)
     return made
 
 
