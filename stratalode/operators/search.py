@@ -3,11 +3,12 @@
 A unit's document holds its constants' values. An index is written once
 (:func:`write_index`) and is these tables:
 
-* ``postings`` (doc_id, token, tf) and ``lengths`` (doc_id, len), ``stats``, one row;
+* ``postings`` (doc_id, token, tf, and its document's len), by document, and ``lengths`` (doc_id, len), ``stats``, one row;
 * ``tokens`` (token, df), sorted: a beginning is a range of it;
 * ``keys`` (key, cut, token): what is left of a token's first seven characters
   when at most two are deleted. Tokens within two edits of each other share a
-  key, so a fuzzy lookup is an equi-join of few keys, verified by distance;
+  key, so a fuzzy lookup is an equi-join of few keys, verified by distance.
+  Those of two deletions, three in four, stand apart: only two edits need them;
 * ``blocks`` (token, window, n, max_tf, min_len, docs): a token's postings in a
   window of some 64 documents, with what bounds their scores.
 
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalogue
@@ -34,7 +35,7 @@ LEAST_GRAM, MOST_GRAM = 2, 20
 PREFIX, MOST_EDITS = 7, 2
 BUCKETS, WINDOW_DOCS = 64, 64
 FEW_ROWS = 200_000
-TASK_TOKENS, TASK_POSTINGS = 20_000, 500_000
+TASK_DOCS, TASK_TOKENS, TASK_POSTINGS = 1_000, 20_000, 500_000
 
 
 def tokens(text: Column) -> Column:
@@ -84,14 +85,26 @@ class Index:
 
     @classmethod
     def at(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "tokens", "lengths")], path)
+        rows, *others = [spark.read.parquet(f"{path}/{name}") for name in ("postings", "tokens", "lengths")]
+        return cls(rows.drop("len"), *others, path)
 
     def table(self, name: str) -> DataFrame:
         """A written index's table; keys and blocks that were left for later are written now."""
-        if name in LATER and not store.exists(self.tokens.sparkSession, f"{self.path}/{name}/_SUCCESS"):
-            LATER[name](self)
+        if name == "keys":
+            return self.keys(MOST_EDITS)
+        if name == "blocks" and not store.exists(self.tokens.sparkSession, f"{self.path}/{name}/_SUCCESS"):
+            write_blocks(self)
         return self.tokens.sparkSession.read.parquet(f"{self.path}/{name}")
 
+    def keys(self, edits: int) -> DataFrame:
+        """(key, token, cut, bucket) as far as lookups of so many edits need them; those that aren't there are written now."""
+        spark, levels = self.tokens.sparkSession, [f"{self.path}/keys/level={n}" for n in range(1, max(1, edits) + 1)]
+        for n, folder in enumerate(levels, 1):
+            if not store.exists(spark, f"{folder}/_SUCCESS"):
+                write_keys(self, n)
+        rows = spark.read.schema("key string, cut int, token string, level int, bucket int").option("basePath", f"{self.path}/keys")
+        return rows.parquet(*levels).drop("level")
+
 
 TABLES = ("postings", "tokens", "lengths", "stats", "keys", "blocks")
 
@@ -104,8 +117,8 @@ def _buckets(texts: list[str]) -> list[int]:
     return sorted({zlib.crc32(t.encode()) % BUCKETS for t in texts})
 
 
-def deletion_keys(token: Column) -> Column:
-    """array<struct<key, cut>>: the first characters of a token without none, one or two of them."""
+def deletion_keys(token: Column, level: int) -> Column:
+    """array<struct<key, cut>>: the first characters of a token without none or one of them (level 1), or without two (level 2)."""
     start = F.substring(token, 1, PREFIX)
 
     def cuts(t: Column) -> Column:
@@ -114,7 +127,7 @@ def deletion_keys(token: Column) -> Column:
 
     told = lambda keys, n: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(n).alias("cut")))
     once = cuts(start)
-    return F.array_distinct(F.concat(told(F.array(start), 0), told(once, 1), told(F.flatten(F.transform(once, cuts)), 2)))
+    return F.array_distinct(F.concat(told(F.array(start), 0), told(once, 1)) if level == 1 else told(F.flatten(F.transform(once, cuts)), 2))
 
 
 def _keys_of(asked: str, edits: int) -> set[str]:
@@ -135,18 +148,18 @@ def _spread(rows: DataFrame, each: int) -> Column:
     return F.lit(1 + rows.count() // (BUCKETS * each))
 
 
-def write_keys(index: Index) -> None:
+def write_keys(index: Index, level: int) -> None:
     """Work goes by the number of tokens, not by the bytes of their files; each key is made once, so it isn't sampled for ranges."""
     tasks = max(index.tokens.sparkSession.sparkContext.defaultParallelism, index.tokens.count() // TASK_TOKENS)
-    keys = index.tokens.select("token").repartition(tasks).select("token", F.inline(deletion_keys(F.col("token")))).withColumn("bucket", _bucket(F.col("key")))
+    keys = index.tokens.select("token").repartition(tasks).select("token", F.inline(deletion_keys(F.col("token"), level))).withColumn("bucket", _bucket(F.col("key")))
     placed = keys.repartition("bucket", F.pmod(F.xxhash64("key"), _spread(index.tokens, TASK_TOKENS)))
-    _write(placed.sortWithinPartitions("bucket", "key"), f"{index.path}/keys", "bucket")
+    _write(placed.sortWithinPartitions("bucket", "key"), f"{index.path}/keys/level={level}", "bucket")
 
 
 def write_blocks(index: Index) -> None:
     """Postings are shuffled once, by bucket and slice of the windows, and grouped where they are."""
     windows = index.table("stats").first()["windows"]
-    rows = index.postings.join(index.lengths, "doc_id").withColumns({"window": F.pmod(F.xxhash64("doc_id"), F.lit(windows)), "bucket": _bucket(F.col("token"))})
+    rows = index.table("postings").where("doc_id is not null").withColumns({"window": F.pmod(F.xxhash64("doc_id"), F.lit(windows)), "bucket": _bucket(F.col("token"))})
     rows = rows.withColumn("slice", F.pmod(F.col("window"), _spread(index.postings, TASK_POSTINGS))).repartition("bucket", "slice")
     blocks = rows.groupBy("bucket", "slice", "token", "window").agg(
         F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("docs")
@@ -154,24 +167,28 @@ def write_blocks(index: Index) -> None:
     _write(blocks.drop("slice").sortWithinPartitions("bucket", "token", "window"), f"{index.path}/blocks", "bucket")
 
 
-#: Tables that may be written when they are first asked for.
-LATER = {"keys": write_keys, "blocks": write_blocks}
+def write_postings(docs: DataFrame, id_col: str, values: Column, path: str) -> None:
+    """Texts are shuffled once, by document, and not their tokens; counts and lengths are made where a document is."""
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, docs.count() // TASK_DOCS)
+    whole = docs.select(F.col(id_col).alias("doc_id"), values.alias("values")).repartition(tasks, "doc_id")
+    own = Window.partitionBy("doc_id").orderBy("token").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    _write(postings(whole, "doc_id", F.col("values")).withColumn("len", F.sum("tf").over(own)), f"{path}/postings")
 
 
 def write_index(docs: DataFrame, id_col: str, values: Column, path: str, later: bool = False) -> Index:
     """Writes the index of documents under a folder and opens it; later: keys and blocks when they are first asked for."""
     spark = docs.sparkSession
-    _write(postings(docs, id_col, values).repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id"), f"{path}/postings")
+    write_postings(docs, id_col, values, path)
     made = Index.of(spark.read.parquet(f"{path}/postings"))
     _write(made.tokens.repartitionByRange("token").sortWithinPartitions("token"), f"{path}/tokens")
     _write(made.lengths, f"{path}/lengths")
     made = Index.at(spark, path)
     stats = made.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     _write(stats.withColumn("windows", F.greatest(F.lit(1), F.ceil(F.col("n") / WINDOW_DOCS))).coalesce(1), f"{path}/stats")
-    for name in LATER:
+    for name in ("keys", "blocks"):
         store.remove(spark, f"{path}/{name}")  # of an index that stood here before
         if not later:
-            LATER[name](made)
+            made.table(name)
     return made
 
 
@@ -213,7 +230,7 @@ def met_tokens(index: Index, asked: list[str], distance: int, transpositions: bo
         pairs = {(q, k) for q in asked for k in _keys_of(q, distance)}
         if transpositions and distance:
             pairs |= {(q, k) for q in asked for i in range(len(q) - 1) for k in _keys_of(q[:i] + q[i + 1] + q[i] + q[i + 2 :], distance - 1)}
-        keys = index.table("keys").where(F.col("bucket").isin(_buckets([k for _, k in pairs])) & (F.col("cut") <= distance))
+        keys = index.keys(distance).where(F.col("bucket").isin(_buckets([k for _, k in pairs])) & (F.col("cut") <= distance))
         wanted = spark.createDataFrame(sorted(pairs), "q string, key string")  # some 30 for each query token
         near = keys.join(F.broadcast(wanted), "key").select("token", "q").distinct()
         words = near.where(reduce(or_, [(F.col("q") == q) & within(q) for q in asked], F.lit(False)))
