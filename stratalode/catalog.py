@@ -64,6 +64,7 @@ _writing = threading.RLock()
 #: How the large tables are laid out: in folders by a hash of the unit's snapshot,
 #: in the order of what they are joined by, with bloom filters on what they are looked up by.
 BUCKETS = 64  # as many as a long has bits
+SLICE_ROWS = 1_000_000  # rows of line items for each slice of a folder
 LOOKED_UP = {"unit_descriptors": ("path",), "unit_snapshots": ("unit_name", "descriptor_id"), "unit_constants": ("snapshot_id",), "constant_usages": ("constant_id",)}
 SORTED = {"unit_descriptors": ("project", "version", "path"), "unit_snapshots": ("unit_name", "descriptor_id"), "unit_constants": ("snapshot_id", "id"), "constant_usages": ("constant_id",)}
 
@@ -87,16 +88,22 @@ def _beside_constants(usages: DataFrame, constants: DataFrame) -> DataFrame:
     return rows.withColumn("copy", F.col("_nth") > 0).drop("_nth")
 
 
-def _write_table(name: str, rows: DataFrame, root: str) -> None:
+def _write_table(name: str, rows: DataFrame, root: str, placed: bool = False) -> None:
+    """placed: rows stand in tasks by folder already."""
     by = ("bucket",) if "bucket" in rows.columns else ()
     if name in SORTED:
-        rows = rows.repartitionByRange(*by, *SORTED[name]).sortWithinPartitions(*by, *SORTED[name])
+        rows = (rows if placed else rows.repartitionByRange(*by, *SORTED[name])).sortWithinPartitions(*by, *SORTED[name])
     writer = rows.write.partitionBy(*by)
     for column in LOOKED_UP.get(name, ()):
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     writer.parquet(f"{root}/{name}")
 
 
+def _in_folders(rows: DataFrame, id_col: str, slices: int) -> DataFrame:
+    """rows in tasks by ``bucket`` and ``_slice`` of their ids; nothing is sampled for ranges, so the rows are made once."""
+    return rows.withColumn("_slice", F.pmod(F.xxhash64(id_col), F.lit(slices))).repartition("bucket", "_slice")
+
+
 def write_tables(frames: dict[str, DataFrame], root: str) -> None:
     """Writes a catalogue's tables under a folder, laid out for lookups by unit and for scans alike."""
     frames = dict(frames)
@@ -142,12 +149,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             for base in BASES[name]:
                 rows = _table(spark, sf_dir, base) if base in VIEWS else spark.read.parquet(f"{sf_dir}/{base}.parquet")
                 rows.createOrReplaceTempView(base)
-            rows = spark.sql(VIEWS[name])
-            if name == "unit_constants":
-                rows = rows.withColumn("bucket", bucket_of(F.col("snapshot_id")))
-            elif name == "constant_usages":
-                rows = _beside_constants(rows, spark.read.parquet(f"{root}/unit_constants"))
-            _write_table(name, rows, root)
+            facts = "lineitem" in BASES[name]
+            slices = 1 + spark.table("lineitem").count() // (BUCKETS * SLICE_ROWS) if facts else 1
+            if name == "unit_constants":  # the shuffle that puts rows into place serves to make them distinct too
+                repeated = spark.sql(VIEWS[name].replace("SELECT DISTINCT", "SELECT", 1)).withColumn("bucket", bucket_of(F.col("snapshot_id")))
+                rows = _in_folders(repeated, "id", slices).distinct().drop("_slice")
+            else:
+                rows = spark.sql(VIEWS[name])
+            if name == "constant_usages":
+                rows = _in_folders(_beside_constants(rows, spark.read.parquet(f"{root}/unit_constants")), "constant_id", slices).drop("_slice")
+            _write_table(name, rows, root, placed=facts)
             _written[root].add(name)
     return _read_table(spark, root, name)
 
