@@ -48,10 +48,14 @@ def edge_grams(token: Column) -> Column:
     return F.when(top >= LEAST_GRAM, F.transform(F.sequence(F.lit(LEAST_GRAM), top), lambda n: F.substring(token, F.lit(1), n))).otherwise(F.array().cast("array<string>"))
 
 
-def documents(cat: Catalogue) -> DataFrame:
-    """(id, project, unit_name, unit_version, source_kind, constant_values, constant_pairs, semantic_pairs) of every unit."""
+def documents(cat: Catalogue, project: str | None = None) -> DataFrame:
+    """(id, project, unit_name, unit_version, source_kind, constant_values, constant_pairs, semantic_pairs) of every unit; project: of its units, and only their constants are gathered."""
     units = cat.descriptors.withColumnRenamed("id", "descriptor_id").join(cat.snapshots.withColumnRenamed("id", "snapshot_id"), "descriptor_id")
-    rows = cat.constants.withColumnRenamed("id", "constant_id").join(cat.usages, "constant_id")
+    constants = cat.constants
+    if project is not None:
+        units = units.where(F.col("project") == project)
+        constants = constants.join(units.select("snapshot_id"), "snapshot_id", "left_semi")
+    rows = constants.withColumnRenamed("id", "constant_id").join(cat.usages, "constant_id")
     display = F.coalesce("semantic_display_name", "semantic_type_name")
     said = rows.groupBy("snapshot_id").agg(
         F.sort_array(F.collect_set("constant_value")).alias("constant_values"),
