@@ -90,6 +90,8 @@ def _beside_constants(usages: DataFrame, constants: DataFrame) -> DataFrame:
 
 def _write_table(name: str, rows: DataFrame, root: str, placed: bool = False) -> None:
     """placed: rows stand in tasks by folder already."""
+    from .operators.store import clear, names
+
     by = ("bucket",) if "bucket" in rows.columns else ()
     if name in SORTED:
         rows = (rows if placed else rows.repartitionByRange(*by, *SORTED[name])).sortWithinPartitions(*by, *SORTED[name])
@@ -97,6 +99,8 @@ def _write_table(name: str, rows: DataFrame, root: str, placed: bool = False) ->
     for column in LOOKED_UP.get(name, ()):
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     writer.parquet(f"{root}/{name}")
+    if by and not any(folder.startswith("bucket=") for folder in names(rows.sparkSession, f"{root}/{name}")):
+        clear(rows, f"{root}/{name}")  # no rows make no folders; a file without rows tells the columns
 
 
 def _in_folders(rows: DataFrame, id_col: str, slices: int) -> DataFrame:
