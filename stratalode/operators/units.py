@@ -83,7 +83,9 @@ def usage_details(cat: Catalogue, project: str, version: int, structural=None, s
 
 
 def details_order() -> list[Column]:
-    return [F.desc("n"), F.asc("constant_value"), *[F.asc(c) for c in ("constant_value_type", "structural_type", "semantic_type_name", "confidence", "metadata")]]
+    """Most frequent first; nulls last, as SQL has them."""
+    columns = ("constant_value", "constant_value_type", "structural_type", "semantic_type_name", "confidence", "metadata")
+    return [F.desc("n"), *[F.asc_nulls_last(c) for c in columns]]
 
 
 def custom_types(cat: Catalogue) -> DataFrame:
