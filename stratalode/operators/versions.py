@@ -105,9 +105,11 @@ def next_version(versions: DataFrame) -> DataFrame:
 
 
 def reconcile_counters(counters: DataFrame, versions: DataFrame) -> DataFrame:
-    """(project, counter): the greater of a counter and the greatest version, per project."""
+    """(project, counter): the greater of a counter and the greatest version, per project; a null project is one as well."""
     top = versions.groupBy("project").agg(F.max("version").alias("top"))
-    return top.join(counters, "project", "left").select("project", F.greatest("top", F.coalesce("counter", F.lit(0))).alias("counter"))
+    own = counters.select(F.col("project").alias("_project"), "counter")
+    rows = top.join(own, F.col("project").eqNullSafe(F.col("_project")), "left")
+    return rows.select("project", F.greatest("top", F.coalesce("counter", F.lit(0))).alias("counter"))
 
 
 def open_version(versions: DataFrame) -> DataFrame:
